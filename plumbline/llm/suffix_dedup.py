@@ -4,10 +4,10 @@ The difference cover is content-defined: of each LENGTH-byte string the sample h
 whose GRAM bytes hash lowest, so equal strings hold their sample at the same place (a fixed residue
 cover needs all positions sorted, which is more than the input's size several times over). Samples
 are named by the fingerprint of what follows; samples whose name is unique can't lie in a repeat and
-drop out. The remaining suffixes are merged by (bytes up to the sample, name): those of STEP
-neighbouring offsets at first together. If the strings around all of them are repeated, all are; if
-what they have in common isn't, none is; only what is left goes on to a sort of single suffixes,
-where neighbours are compared over LENGTH bytes by their 128-bit fingerprints.
+drop out. The remaining suffixes are merged by (bytes up to the sample, name): those of
+neighbouring offsets at first together, in STEPS of fewer and fewer. If the strings around all of them are repeated, all are; if
+what they have in common isn't, none is; only what is left goes on, at last to single suffixes,
+which are brought together over LENGTH bytes by their 96-bit fingerprints.
 
 Defined results: null counts as empty; texts under LENGTH bytes stay; repeated rows are documents of
 their own, so they remove each other; a null doc_id is a document; an empty table gives an empty
@@ -25,9 +25,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import Prints, in_sketch, materialize, pieces, same, sketch, text_buffer
+from plumbline.llm.common import Prints, in_sketch, materialize, mix, pieces, same, sketch, text_buffer
 
-LENGTH, GRAM, STEP = 400, 32, 64
+LENGTH, GRAM = 400, 32
+#: Offsets that are settled together, level by level.
+STEPS = (64, 8, 1)
 #: Possible distances of a string's start to its sample.
 SPAN = LENGTH - GRAM + 1
 _SECOND = 0xC2B2AE3D27D4EB4F
@@ -66,79 +68,72 @@ def _doc_keys(raw: bytes, off: np.ndarray) -> np.ndarray:
 
 def _sample_names(docs: DataFrame) -> DataFrame:
     def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, 2 << 20):
+        for b in pieces(batches, 1 << 20):
             data, off = text_buffer(b.column("text"))
             yield pa.RecordBatch.from_arrays([pa.array(samples(data, off, Prints(data))[3].view(np.int64))], ["name"])
 
     return docs.select("text").mapInArrow(names, "name long")
 
 
-def _ranges(data: np.ndarray, off: np.ndarray, prints: Prints, bits: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of samples that the bitmap passes, cut into STEP offsets: (position, text, first and last offset, lowest and highest offset that starts in the text)."""
+def _ranges(data: np.ndarray, off: np.ndarray, prints: Prints, bits: np.ndarray, opened: list[np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of samples that the bitmap passes, the ranges of offsets of level len(opened): those of each level before that are still open, cut up.
+
+    (sample's position, text, nearest and farthest offset, lowest and highest offset whose string lies in the text).
+    """
     pos, first, last, name = samples(data, off, prints)
     keep = in_sketch(bits, name)
-    pos, first, last = pos[keep], first[keep], last[keep]
-    lo, hi = (pos - last) // STEP, (pos - first) // STEP
-    n = hi - lo + 1
-    at = np.repeat(np.arange(len(pos)), n)
-    cell = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-    p = pos[at]
-    doc = np.searchsorted(off, p, "right") - 1
-    near, far = cell * STEP, np.minimum(cell * STEP + STEP, SPAN) - 1
-    # The nearest offset's string must end, and the farthest must start, inside the text.
-    lowest = np.maximum(near, p + LENGTH - off[doc + 1])
-    highest = np.minimum(far, p - off[doc])
-    return p, doc, near, far, lowest, highest
-
-
-RANGE = "c1 long, c2 long, w1 long, w2 long, doc_id long, key long, lo int, hi int"
-
-
-def _range_rows(docs: DataFrame, bits) -> DataFrame:
-    """Each range of starts [lo, hi] of a text with fingerprints of what its strings share (c1, c2) and of all they cover (w1, w2)."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, 2 << 20):
-            data, off = text_buffer(b.column("text"))
-            one, two = Prints(data), Prints(data, _SECOND)
-            p, doc, near, far, lowest, highest = _ranges(data, off, one, bits.value)
-            # What all strings of the range share lies inside each of them, and so inside the text. Its place to the sample is part of it.
-            mark = mix_at(near, far)
-            core = p - near, p - far + LENGTH
-            whole = p - highest, p - lowest + LENGTH
-            c1, c2 = (x.of(*core) ^ mark for x in (one, two))
-            own = mix_at(highest, lowest)
-            w1, w2 = (x.of(*whole) ^ own for x in (one, two))
-            key, ids = _doc_keys(data.tobytes(), off)[doc], b.column("doc_id").take(pa.array(doc))
-            lo, hi = (whole[0] - off[doc]).astype(np.int32), (p - lowest - off[doc]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (c1, c2, w1, w2)), ids, pa.array(key), pa.array(lo), pa.array(hi)], ["c1", "c2", "w1", "w2", "doc_id", "key", "lo", "hi"])
+    p, low, high = pos[keep], (pos - last)[keep], (pos - first)[keep]  # the offsets that the sample is for
+    cell_low, cell_high = low // STEPS[0], high // STEPS[0]
+    for level, step in enumerate(STEPS[: len(opened) + 1]):
+        n = cell_high - cell_low + 1
+        at = np.repeat(np.arange(len(p)), n)
+        cell = np.repeat(cell_low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        p, low, high = p[at], low[at], high[at]
+        doc = np.searchsorted(off, p, "right") - 1
+        near, far = cell * step, np.minimum(cell * step + step, SPAN) - 1
+        # The nearest offset's string must end, and the farthest must start, inside the text.
+        lowest, highest = np.maximum(near, p + LENGTH - off[doc + 1]), np.minimum(far, p - off[doc])
+        if level == len(opened):
+            return p, doc, near, far, lowest, highest
+        keep = in_sketch(opened[level], _row_names(keys[doc], p - highest - off[doc], near))
+        p, low, high, near, far = (x[keep] for x in (p, low, high, near, far))
+        cell_low, cell_high = np.maximum(near, low) // STEPS[level + 1], np.minimum(far, high) // STEPS[level + 1]
+    raise ValueError("more levels than steps")
+
+
+def shared_part(prints: Prints, p: np.ndarray, near: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """Fingerprint of what the strings of a range all hold, and of its place to the sample. It lies inside each of them, and so inside the text."""
+    return prints.of(p - near, p - far + LENGTH) ^ _mark(near, far)
+
+
+def _mark(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix((a.astype(np.uint64) << np.uint64(20)) + b.astype(np.uint64) + np.uint64(1 << 50))
 
-    return docs.mapInArrow(rows, RANGE)
 
+def _row_names(keys: np.ndarray, lo: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """A name for a range of a text, by which one of equal ranges stands for all."""
+    return mix(keys.view(np.uint64) + _mark(lo, near)).view(np.int64)
 
-def mix_at(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    from plumbline.llm.common import mix
 
-    return mix((a.astype(np.uint64) << np.uint64(20)) + b.astype(np.uint64) + np.uint64(1 << 50))
+RANGE = "c long, w1 long, w2 int, doc_id long, key int, lo int, hi int, row long"
 
 
-def _single_rows(docs: DataFrame, bits, open_) -> DataFrame:
-    """Each start in a range whose shared part is among the open ones, with its string's fingerprint."""
+def _range_rows(docs: DataFrame, bits, opened: list) -> DataFrame:
+    """Each range of starts [lo, hi] of a text with fingerprints of what its strings share (c) and of all they cover (w1, w2)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, 2 << 20):
+        for b in pieces(batches, 1 << 20):
             data, off = text_buffer(b.column("text"))
             one, two = Prints(data), Prints(data, _SECOND)
-            p, doc, near, far, lowest, highest = _ranges(data, off, one, bits.value)
-            keep = in_sketch(open_.value, one.of(p - near, p - far + LENGTH) ^ mix_at(near, far))
-            first, last = (p - highest)[keep], (p - lowest)[keep]
-            n = last - first + 1
-            start = np.unique(np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum()))
-            d = np.searchsorted(off, start, "right") - 1
-            key, ids = _doc_keys(data.tobytes(), off)[d], b.column("doc_id").take(pa.array(d))
-            yield pa.RecordBatch.from_arrays([*(pa.array(x.of(start, start + LENGTH).view(np.int64)) for x in (one, two)), ids, pa.array(key), pa.array((start - off[d]).astype(np.int32))], ["w1", "w2", "doc_id", "key", "lo"])
+            keys = _doc_keys(data.tobytes(), off) ^ mix(np.array(b.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False)).view(np.uint64)).view(np.int64)
+            p, doc, near, far, lowest, highest = _ranges(data, off, one, bits.value, [x.value for x in opened], keys)
+            start, end, own = p - highest, p - lowest + LENGTH, _mark(highest, lowest)
+            w1, w2 = (x.of(start, end) ^ own for x in (one, two))
+            ids, key = b.column("doc_id").take(pa.array(doc)), keys[doc]
+            lo, hi = (start - off[doc]).astype(np.int32), (p - lowest - off[doc]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(shared_part(one, p, near, far).view(np.int64)), pa.array(w1.view(np.int64)), pa.array((w2 >> np.uint64(32)).astype(np.uint32).view(np.int32)), ids, pa.array((key >> 32).astype(np.int32)), pa.array(lo), pa.array(hi), pa.array(_row_names(key, lo.astype(np.int64), near))], ["c", "w1", "w2", "doc_id", "key", "lo", "hi", "row"])
 
-    return docs.mapInArrow(rows, "w1 long, w2 long, doc_id long, key long, lo int")
+    return docs.mapInArrow(rows, RANGE)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -172,11 +167,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 
 def _key_of(docs: DataFrame):
-    @F.pandas_udf("long")
-    def key(text):
-        return text.map(lambda t: xxhash.xxh3_64_intdigest((t or "").encode()) - (1 << 63))
+    @F.pandas_udf("int")
+    def key(doc_id, text):
+        own = np.array([xxhash.xxh3_64_intdigest((t or "").encode()) - (1 << 63) for t in text], np.int64) ^ mix(doc_id.fillna(-1).to_numpy(np.int64).view(np.uint64)).view(np.int64)
+        return (doc_id * 0).fillna(0).astype(np.int32) + (own >> 32).astype(np.int32)
 
-    return key(F.col("text"))
+    return key(F.col("doc_id"), F.col("text"))
 
 
 def repeat_spans(docs: DataFrame) -> DataFrame:
@@ -185,16 +181,18 @@ def repeat_spans(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     repeated = _sample_names(docs).groupBy("name").agg(F.count("*").alias("n")).where("n > 1")
     bits = sc.broadcast(sketch(repeated, "name"))
-    rows = materialize(_range_rows(docs, bits), "suffix-ranges")
-    wholes = rows.groupBy("c1", "c2", "w1", "w2").agg(F.count("*").alias("n"))
-    wholes = materialize(wholes, "suffix-classes")
-    open_ = wholes.groupBy("c1", "c2").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1")
-    open_bits = sc.broadcast(sketch(open_, "c1"))
-    sure = rows.join(wholes.where("n > 1").select("w1", "w2", "c1", "c2"), ["w1", "w2", "c1", "c2"]).select("doc_id", "key", "lo", (F.col("hi") + LENGTH).alias("hi"))
-    single = materialize(_single_rows(docs, bits, open_bits), "suffix-singles")
-    twice = single.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
-    some = single.join(twice, ["w1", "w2"]).select("doc_id", "key", "lo", (F.col("lo") + LENGTH).alias("hi"))
-    return sure.unionByName(some).groupBy("doc_id", "key").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    opened, spans = [], None
+    for level in range(len(STEPS)):
+        rows = materialize(_range_rows(docs, bits, opened), "suffix-ranges")
+        kinds = rows.groupBy("c", "w1", "w2").agg(F.count("*").alias("n"), F.min("row").alias("row"))
+        if level < len(STEPS) - 1:
+            kinds = materialize(kinds, "suffix-classes")
+            still = kinds.groupBy("c").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("c")
+            # Of equal ranges one goes on for all: they are settled, but others may repeat a part of them.
+            opened.append(sc.broadcast(sketch(kinds.join(still, "c").select("row"), "row")))
+        twice = rows.join(kinds.where("n > 1").select("c", "w1", "w2"), ["c", "w1", "w2"]).select("doc_id", "key", "lo", (F.col("hi") + LENGTH).alias("hi"))
+        spans = twice if spans is None else spans.unionByName(twice)
+    return spans.groupBy("doc_id", "key").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
 
 def _merged(lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int]]:
