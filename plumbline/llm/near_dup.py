@@ -9,7 +9,10 @@ key. Candidates are confirmed on the full sets.
 
 Inside a bucket of one key, classes are first compared with one centre; once links have become
 components, only members of different components are still compared, so a large group of copies
-doesn't yield all its pairs and no link between different components is lost.
+doesn't yield all its pairs and no link between different components is lost. That last comparison
+runs inside tasks on blocks of a bucket's members, so a large bucket is many small groups; what
+leaves a task are pairs under the signature distance whose sketches (the lowest hashes of their
+sets) don't rule the similarity out, each from the first key that it shares.
 
 Defined results: documents without words link with nothing; with fewer words than a shingle the
 whole sequence is the one shingle; repeated rows (one doc_id) are one document and get a row each;
@@ -33,6 +36,11 @@ from plumbline.llm.components import components
 SYMBOLS, BITS, CHUNKS, DISTANCE = 64, 16, 16, 20
 #: Rounds in which a bucket's members are compared with one centre before all that is left is.
 STAR_ROUNDS = 2
+#: Members of a bucket that are compared in one group, and pairs that are compared at a time.
+BLOCK, PAIRS_AT_ONCE = 512, 1 << 15
+#: Lowest set hashes in a sketch, and the deviations by which it must fall short to rule a pair out.
+SKETCH, DEVIATIONS = 512, 4.0
+_PAD = np.uint32(0xFFFFFFFF)
 _RNG = np.random.default_rng(20240229)
 _A = (_RNG.integers(1, 1 << 32, SYMBOLS, np.uint64) | np.uint64(1)).astype(np.uint32)
 _B = _RNG.integers(0, 1 << 32, SYMBOLS, np.uint64).astype(np.uint32)
@@ -100,6 +108,120 @@ def index_keys(sig: np.ndarray, chunks: int = CHUNKS, distance: int = DISTANCE)
     return np.stack(keys, 1)
 
 
+def sketch_of(s: np.ndarray) -> bytes:
+    """The sketch of a sorted set: the upper halves of its lowest hashes."""
+    return np.minimum(s[:SKETCH] >> np.uint64(32), np.uint64(_PAD - 1)).astype(np.uint32).tobytes()
+
+
+def _sketches(col: pa.Array) -> np.ndarray:
+    """A row of SKETCH values for each sketch; sets of fewer are filled up."""
+    out = np.full((len(col), SKETCH), _PAD, np.uint32)
+    for i, low in enumerate(col.to_pylist()):
+        out[i, : len(low) // 4] = np.frombuffer(low, np.uint32)
+    return out
+
+
+def may_be_similar(x: np.ndarray, y: np.ndarray, similar: int) -> np.ndarray:
+    """Of rows of sketches x and y, whether the similarity of the sets may reach `similar` hundredths.
+
+    Up to the lower of both last values a sketch holds all of its set: the share of common values
+    there is exact for sets smaller than a sketch and else an estimate with a known deviation.
+    """
+    keep = np.zeros(len(x), bool)
+    for at in range(0, len(x), 4096):
+        a, b = x[at : at + 4096], y[at : at + 4096]
+        both = np.sort(np.concatenate([a, b], 1), 1)
+        top = np.minimum(a[:, -1], b[:, -1])[:, None]
+        inside = (both <= top) & (both < _PAD)
+        common = ((both[:, 1:] == both[:, :-1]) & inside[:, 1:]).sum(1)
+        union = inside.sum(1) - common
+        share = similar / 100
+        slack = np.where(top[:, 0] == _PAD, 0.0, DEVIATIONS * np.sqrt(union * share * (1 - share)))
+        keep[at : at + 4096] = common + 1 >= share * (union - 1) - slack  # one value may be two hashes
+    return keep
+
+
+def _signature_rows(col: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(col.to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+
+
+def _open_sketches(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """id and sketch (`low`) of each of the classes ids."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, 2 << 20):
+            sets = shingle_sets(text_buffer(b.column("text")), k)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([sketch_of(x) for x in sets], pa.binary())], ["id", "low"])
+
+    few = docs.alias("a").join(ids.select(F.col("id").alias("doc_id")).distinct().alias("b"), "doc_id", "left_semi")
+    return materialize(few.mapInArrow(scan, "id long, low binary").dropDuplicates(["id"]), "open-sketches")
+
+
+def _block_pairs(open_: DataFrame, reps: DataFrame, docs: DataFrame, k: int, similar: int) -> DataFrame:
+    """The candidates (a, b) among members (key, id, root) of each bucket that lie in different components.
+
+    Members are dealt to blocks of about BLOCK; each two blocks of a bucket are one group.
+    """
+    blocks = open_.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = open_.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = dealt.select("key", "id", "root", "block", other.alias("other")).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
+    carried = _open_sketches(open_, docs, k).join(reps.select("id", "sig"), "id")
+    dealt = dealt.join(carried, "id").select("key", "lo", "hi", "block", "id", "root", "sig", "low")
+    grouped = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([*rest, b]).combine_chunks()
+            edges = _group_edges(t)
+            rest = t.slice(edges[-2]).to_batches()
+            yield from _compared(t.slice(0, edges[-2]), edges[:-1], similar)
+        if rest:
+            t = pa.Table.from_batches(rest).combine_chunks()
+            yield from _compared(t, _group_edges(t), similar)
+
+    return grouped.mapInArrow(compare, "a long, b long")
+
+
+def _group_edges(t: pa.Table) -> np.ndarray:
+    """Where the groups of a sorted table start, and its end."""
+    new = np.zeros(t.num_rows, bool)
+    new[0] = True
+    for c in ("key", "lo", "hi"):
+        x = t.column(c).to_numpy()
+        new[1:] |= x[1:] != x[:-1]
+    return np.append(np.flatnonzero(new), t.num_rows)
+
+
+def _compared(t: pa.Table, edges: np.ndarray, similar: int) -> Iterator[pa.RecordBatch]:
+    if not t.num_rows:
+        return
+    key, lo, hi, block, ids, root = (t.column(c).to_numpy() for c in ("key", "lo", "hi", "block", "id", "root"))
+    sig, low = _signature_rows(t.column("sig")), _sketches(t.column("low"))
+    left = np.repeat(edges[1:], np.diff(edges)) - np.arange(len(ids)) - 1  # members after each in its group
+    ends, at = np.cumsum(left), 0
+    while at < len(ids):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS_AT_ONCE, "right")))
+        n = left[at:to]
+        x = np.repeat(np.arange(at, to), n)
+        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
+        at = to
+        keep = (root[x] != root[y]) & ((block[x] != block[y]) | (lo[x] == hi[x]))
+        x, y = x[keep], y[keep]
+        keep = (sig[x] != sig[y]).sum(1) <= DISTANCE
+        x, y = x[keep], y[keep]
+        kx, ky = index_keys(sig[x]), index_keys(sig[y])
+        keep = kx[np.arange(len(x)), (kx == ky).argmax(1)].view(np.int64) == key[x]
+        x, y = x[keep], y[keep]
+        keep = may_be_similar(low[x], low[y], similar)
+        x, y = ids[x[keep]], ids[y[keep]]
+        if len(x):
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+
 def _classes(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n_shingles, set1, set2 (a digest of the shingle set), sig (bytes; null without shingles)."""
 
@@ -114,25 +236,27 @@ def _classes(docs: DataFrame, k: int) -> DataFrame:
                     one, two = (int(np.bitwise_xor.reduce(mix(s * c)).view(np.int64) if len(s) > 1 else mix(s * c)[0].view(np.int64)) for c in (_C1, _C2))
                     at += 1
                 rows.append((i, len(s), one, two, sig[at - 1].tobytes() if len(s) else None))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "n_shingles", "set1", "set2", "sig"])
+            kinds = (*[pa.int64()] * 4, pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "n_shingles", "set1", "set2", "sig"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, n_shingles long, set1 long, set2 long, sig binary")
 
 
-def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, similar: int) -> DataFrame:
-    """Those of pairs (a, b: class ids) whose full sets are similar: signatures first, then texts."""
+def _close(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Those of pairs (a, b: class ids) under the signature distance."""
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(-1, SYMBOLS) for c in ("sa", "sb"))
-                keep = pa.array((x != y).sum(1) <= DISTANCE)
-                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(keep)
+                keep = (_signature_rows(b.column("sa")) != _signature_rows(b.column("sb"))).sum(1) <= DISTANCE
+                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep))
+
+    one, two = (reps.select(F.col("id").alias(x), F.col("sig").alias(f"s{x}")) for x in ("a", "b"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(near, "a long, b long")
 
-    sig = reps.select("id", "sig")
-    with_sig = pairs.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b").select("a", "b", "sa", "sb")
-    close = materialize(with_sig.mapInArrow(near, "a long, b long"), "close-pairs")
 
+def _confirmed(close: DataFrame, docs: DataFrame, k: int, similar: int) -> DataFrame:
+    """Those of pairs (a, b: class ids) whose full sets are similar."""
     texts = docs.alias("a").join(close.select(F.col("a").alias("doc_id")).union(close.select("b")).distinct().alias("b"), "doc_id", "left_semi").groupBy("doc_id").agg(F.first("text").alias("text"))
     texts = materialize(texts, "pair-texts")
     both = close.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
@@ -178,15 +302,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, similar: int = 80) -> DataFrame
             known = buckets.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
             split = known.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("id").alias("last")).where("lo <> hi")
             open_ = known.join(split.select("key", "last"), "key")
-            if turn < STAR_ROUNDS:
-                ends = open_.where("id = last").select("key", F.col("root").alias("r2"))
-                pairs = open_.join(ends, "key").where("root <> r2").select(F.col("last").alias("a"), F.col("id").alias("b"))
-            else:
-                pairs = open_.alias("x").join(open_.alias("y"), "key").where("x.id < y.id and x.root <> y.root").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-        if pairs.limit(1).count() == 0:
-            break
-        found = materialize(_confirmed(pairs, reps, docs, k, similar), "near-links")
+            ends = open_.where("id = last").select("key", F.col("root").alias("r2"))
+            pairs = open_.join(ends, "key").where("root <> r2").select(F.col("last").alias("a"), F.col("id").alias("b"))
+        if turn < STAR_ROUNDS:
+            pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+            close = materialize(_close(pairs, reps), "close-pairs")
+        else:
+            close = materialize(_block_pairs(open_.select("key", "id", "root"), reps, docs, k, similar), "close-pairs")
+        found = materialize(_confirmed(close, docs, k, similar), "near-links")
         links = found if links is None else links.unionByName(found)
         roots = components(links)
     class_roots = reps.select("set1", "set2", "n_shingles", "id").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("set1", "set2", "n_shingles", F.coalesce("root", "id").alias("component"))
