@@ -26,11 +26,12 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import LOWER, Prints, materialize, mix, pieces, same, text_buffer, words_of
+from plumbline.llm.common import LOWER, Prints, in_sketch, materialize, mix, pieces, sketch, text_buffer, words_of
 from plumbline.llm.components import components
 
 SYMBOLS, BITS, CHUNKS, DISTANCE = 64, 16, 16, 20
@@ -145,6 +146,18 @@ def _signature_rows(col: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), np.uint16).reshape(-1, SYMBOLS)
 
 
+def _with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is in ids; a bitmap of fixed size keeps nearly all others out of the exchange."""
+    ids = materialize(ids.select(F.col("id").alias("doc_id")).distinct(), "wanted-ids")
+    bits = docs.sparkSession.sparkContext.broadcast(sketch(ids, "doc_id"))
+
+    @F.pandas_udf("boolean")
+    def maybe(x: pd.Series) -> pd.Series:
+        return pd.Series(in_sketch(bits.value, x.to_numpy(np.int64)))
+
+    return docs.where("doc_id is not null").where(maybe(F.coalesce("doc_id", F.lit(-1).cast("long")))).join(ids, "doc_id", "left_semi")
+
+
 def _open_sketches(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """id and sketch (`low`) of each of the classes ids."""
 
@@ -153,8 +166,7 @@ def _open_sketches(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
             sets = shingle_sets(text_buffer(b.column("text")), k)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([sketch_of(x) for x in sets], pa.binary())], ["id", "low"])
 
-    few = docs.alias("a").join(ids.select(F.col("id").alias("doc_id")).distinct().alias("b"), "doc_id", "left_semi")
-    return materialize(few.mapInArrow(scan, "id long, low binary").dropDuplicates(["id"]), "open-sketches")
+    return materialize(_with_ids(docs, ids).mapInArrow(scan, "id long, low binary").dropDuplicates(["id"]), "open-sketches")
 
 
 def _block_pairs(open_: DataFrame, reps: DataFrame, docs: DataFrame, k: int, similar: int) -> DataFrame:
@@ -257,7 +269,7 @@ def _close(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
 def _confirmed(close: DataFrame, docs: DataFrame, k: int, similar: int) -> DataFrame:
     """Those of pairs (a, b: class ids) whose full sets are similar."""
-    texts = docs.alias("a").join(close.select(F.col("a").alias("doc_id")).union(close.select("b")).distinct().alias("b"), "doc_id", "left_semi").groupBy("doc_id").agg(F.first("text").alias("text"))
+    texts = _with_ids(docs, close.select(F.col("a").alias("id")).union(close.select("b"))).groupBy("doc_id").agg(F.first("text").alias("text"))
     texts = materialize(texts, "pair-texts")
     both = close.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
