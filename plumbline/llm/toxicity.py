@@ -64,7 +64,7 @@ class Distances:
         self.runs = {toxic[i : i + 3] for i in range(len(toxic) - 2)}
 
     def __call__(self, words: list[bytes]) -> list[float]:
-        new = set(words) - self.of.keys()
+        new = {w for w in words if w not in self.of}  # a set less a dictionary's keys would walk all of them
         if len(self.of) + len(new) > _MEMO_WORDS:
             self.of.clear()
             new = set(words)
