@@ -30,10 +30,12 @@ from plumbline.llm.common import LOWER, materialize, mix, pieces, text_buffer
 
 #: Bounds of what is fitted on: labelled documents of each class, windows of ordinary text, toxic words.
 SAMPLE_DOCS, SAMPLE_WINDOWS, TOXIC_WORDS = 2000, 20_000, 256
+#: Least log-likelihood ratio of a word of the toxic dictionary, and how much rarer it is in ordinary documents.
+LEAST_RATIO, RARER = 20.0, 10
 #: Dictionary bytes before they are widened.
 ORDINARY_BYTES = 8192
-#: Least bytes that a window saves, and what an empty window's frame takes.
-LEAST_SAVING, FRAME = 6, 10
+#: Least bytes that a window saves, and what a window takes that is one match.
+LEAST_SAVING, FRAME = 6, 13
 _EDGE = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 _MEMO_WORDS = 400_000
 _memo: dict = {}
@@ -61,7 +63,7 @@ class Distances:
 
     def __init__(self, ordinary: bytes, toxic: bytes):
         self.ordinary, self.toxic, self.of = _compressor(ordinary), _compressor(ordinary + toxic), {}
-        self.runs = {toxic[i : i + 3] for i in range(len(toxic) - 2)}
+        self.runs = {toxic[i : i + 4] for i in range(len(toxic) - 3)}
 
     def __call__(self, words: list[bytes]) -> list[float]:
         new = {w for w in words if w not in self.of}  # a set less a dictionary's keys would walk all of them
@@ -70,8 +72,8 @@ class Distances:
             new = set(words)
         for w in new:
             raw = b" " + w + b" "
-            if not any(raw[i : i + 3] in self.runs for i in range(len(raw) - 2)):
-                self.of[w] = 0.0  # no unit in common: what sets the toxic dictionary apart can't shorten it
+            if not any(raw[i : i + 4] in self.runs for i in range(len(raw) - 3)):
+                self.of[w] = 0.0  # no two units in a row in common: what sets the toxic dictionary apart can't save LEAST_SAVING
                 continue
             window = _wide(raw)
             a, b = len(self.ordinary.compress(window)), len(self.toxic.compress(window))
@@ -111,9 +113,14 @@ def train(sample: DataFrame) -> tuple[bytes, bytes]:
         return b"", b""
     df = sample.select("toxic", "text").mapInArrow(vocabulary, "toxic int, words array<string>").select("toxic", F.explode("words").alias("w")).groupBy("w").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("o"))
     share = (F.col("t") + F.col("o")) / (nt + no)
-    z = (F.col("t") / nt - F.col("o") / no) / F.sqrt(share * (1 - share) * (1 / nt + 1 / no))
-    best = df.where((F.col("t") >= max(3, nt // 100)) & (share < 1)).withColumn("z", z).orderBy(F.desc("z"), "w").limit(TOXIC_WORDS).collect()
-    picked = [r["w"].encode() for r in best if r["z"] >= max(3.0, 0.4 * best[0]["z"])]
+
+    def part(x: Column, mean: Column) -> Column:
+        return F.when(x > 0, x * F.ln(x / mean)).otherwise(0.0)
+
+    t, o = F.col("t"), F.col("o")
+    ratio = 2 * (part(t, nt * share) + part(o, no * share) + part(nt - t, nt * (1 - share)) + part(no - o, no * (1 - share)))
+    typical = df.where((t >= 3) & (share < 1) & (RARER * o / no <= t / nt)).withColumn("g", ratio).where(F.col("g") >= LEAST_RATIO)
+    picked = [r["w"].encode() for r in typical.orderBy(F.desc("g"), "w").limit(TOXIC_WORDS).collect()]
 
     def triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
