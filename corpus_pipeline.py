@@ -31,9 +31,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    found = decontaminate.leaks(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.alias("a").join(found.alias("b"), same("doc_id"), "left_anti")
+    """Documents that hold no benchmark item; texts under one doc_id, null too, are judged each by itself."""
+    found = decontaminate.found_in(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id", "digest").distinct()
+    mine = F.xxhash64("a.text") == F.col("b.digest")
+    return docs.alias("a").join(found.alias("b"), same("doc_id") & mine, "left_anti")
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

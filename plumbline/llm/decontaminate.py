@@ -37,6 +37,7 @@ _STEPS = 4096
 _BITS = _RNG.integers(0, 2, (WALKS, _STEPS, 256), np.int8)
 _PLACES = _RNG.random((WALKS, REPEATS * SAMPLED))
 LEAK = "doc_id long, item_id long, start long, edit_distance int"
+FOUND = "digest long, " + LEAK
 
 
 def normalised(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -184,12 +185,17 @@ class Items:
 
 def leaks(docs: DataFrame, benchmark: DataFrame, similar: float = 0.8) -> DataFrame:
     """doc_id, item_id, start (in the normalised text) and edit_distance: a row for each document and item it holds."""
+    return found_in(docs, benchmark, similar).drop("digest")
+
+
+def found_in(docs: DataFrame, benchmark: DataFrame, similar: float = 0.8) -> DataFrame:
+    """The rows of `leaks` with the xxhash64 of the document's text, which tells texts under one doc_id apart."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), "text")
     bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null and text <> ''")
     size = bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).collect()[0][0]
     blocks = -(-size // BLOCK_BYTES)
-    out = spark.createDataFrame([], LEAK)
+    out = spark.createDataFrame([], FOUND)
     for block in range(blocks):
         rows = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
         items = spark.sparkContext.broadcast(Items([r["item_id"] for r in rows], [r["text"].encode() for r in rows], similar))
@@ -197,10 +203,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similar: float = 0.8) -> DataFr
         def find(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             of = items.value
             for b in pieces(batches):
-                ids = b.column("doc_id").to_pylist()
+                ids, digests = b.column("doc_id").to_pylist(), b.column("digest").to_pylist()
                 found = of.leaks(*text_buffer(b.column("text")))
-                cols = [[ids[x[0]] for x in found], [of.ids[x[1]] for x in found], [x[2] for x in found], [x[3] for x in found]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], ["doc_id", "item_id", "start", "edit_distance"])
+                cols = [[digests[x[0]] for x in found], [ids[x[0]] for x in found], [of.ids[x[1]] for x in found], [x[2] for x in found], [x[3] for x in found]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], ["digest", "doc_id", "item_id", "start", "edit_distance"])
 
-        out = out.unionByName(docs.mapInArrow(find, LEAK)) if block else docs.mapInArrow(find, LEAK)
+        out = out.unionByName(docs.mapInArrow(find, FOUND)) if block else docs.mapInArrow(find, FOUND)
     return out

@@ -1,12 +1,13 @@
 """Line dedup: lines inside a window of three consecutive lines that occurred earlier are removed.
 
-Lines are what lies between \\n. A window's first occurrence is the smallest (doc_id, line number);
-all others are later ones, and every line that a later occurrence covers goes. Windows of blank
+Lines are what lies between \\n. A window's first occurrence is the smallest (doc_id, digest of the
+text, line number); all others are later ones, and every line that a later occurrence covers goes. Windows of blank
 lines alone don't count. Built-in functions only.
 
 Defined results: documents of fewer than three lines and null texts stay as they are (null stays
-null); rows with one doc_id count as one document, whose windows aren't later occurrences of each
-other; a null doc_id sorts first; an empty table gives an empty one. Other columns pass unread.
+null); a document is a doc_id and a text, so that texts under one doc_id, null too, are told apart by
+a digest, and rows alike in both are one document, of whose rows none is later than another; a null
+doc_id sorts first; an empty table gives an empty one. Other columns pass unread.
 """
 
 from __future__ import annotations
@@ -24,16 +25,16 @@ def _lines(text: Column) -> Column:
 
 
 def covered_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id and `cover`: the sorted line numbers that later occurrences of repeated windows cover."""
-    d = docs.select("doc_id", _lines(F.col("text")).alias("l")).where(F.size("l") >= window)
+    """doc_id, digest and `cover`: the sorted line numbers that later occurrences of repeated windows cover."""
+    d = docs.select("doc_id", F.xxhash64("text").alias("digest"), _lines(F.col("text")).alias("l")).where(F.size("l") >= window)
     at = lambda i: [F.get("l", i + k) for k in range(window)]
     blank = lambda i: F.trim(F.translate(F.concat(*at(i)), "\t\x0b\f\r", "    ")) == ""
     rows = F.transform(F.sequence(F.lit(0), F.size("l") - window), lambda i: F.struct(F.xxhash64(*at(i)).alias("h1"), F.xxhash64(F.lit("second"), *at(i)).alias("h2"), i.alias("pos"), blank(i).alias("blank")))
-    w = d.select("doc_id", F.inline(rows)).where(~F.col("blank")).select("doc_id", "h1", "h2", "pos")
-    repeated = w.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = w.join(repeated, ["h1", "h2"]).where(~F.struct("doc_id", "pos").eqNullSafe(F.col("first")))
+    w = d.select("doc_id", "digest", F.inline(rows)).where(~F.col("blank")).select("doc_id", "digest", "h1", "h2", "pos")
+    repeated = w.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "digest", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = w.join(repeated, ["h1", "h2"]).where(~F.struct("doc_id", "digest", "pos").eqNullSafe(F.col("first")))
     spread = F.flatten(F.transform(F.collect_set("pos"), lambda p: F.transform(F.sequence(F.lit(0), F.lit(window - 1)), lambda k: p + k)))
-    return later.groupBy("doc_id").agg(F.array_sort(F.array_distinct(spread)).alias("cover"))
+    return later.groupBy("doc_id", "digest").agg(F.array_sort(F.array_distinct(spread)).alias("cover"))
 
 
 def drop_repeated_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -41,7 +42,8 @@ def drop_repeated_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     cover = covered_lines(docs, window)
     kept = F.array_join(F.filter(_lines(F.col("a.text")), lambda x, i: F.coalesce(~F.array_contains("b.cover", i), F.lit(True))), "\n")
     other = [F.col(f"a.`{c}`") for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
-    return docs.alias("a").join(cover.alias("b"), same("doc_id"), "left").select(
+    mine = F.xxhash64("a.text") == F.col("b.digest")
+    return docs.alias("a").join(cover.alias("b"), same("doc_id") & mine, "left").select(
         *other, F.when(F.col("b.cover").isNull(), F.col("a.text")).otherwise(kept).alias("text"),
         F.coalesce(F.size(_lines(F.col("a.text"))), F.lit(0)).cast("long").alias("n_lines"), F.greatest(F.size("b.cover"), F.lit(0)).cast("long").alias("n_removed"),
     )

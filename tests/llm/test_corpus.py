@@ -114,6 +114,14 @@ def test_line_dedup(spark):
     assert got == {1: ("a\nb\nc\nd", 0), 2: ("x\ny", 4), 3: ("a\nb", 0), 4: (None, 0), 5: ("\n\n\n\n", 0), 6: ("\n\n\n\n", 0)}
 
 
+def test_line_dedup_tells_texts_of_one_doc_id_apart(spark):
+    one, two, three = "a\nb\nc\nd\ne\nf", "p\nq\nr\nd\ne\nf", "t\nu\nv\nw\nx\ny\nz"
+    for doc_id in (None, 7):
+        d = spark.createDataFrame([(doc_id, one), (doc_id, two), (doc_id, three), (doc_id, three)], "doc_id long, text string")
+        got = bag(line_dedup.drop_repeated_lines(d), "text", "n_removed")
+        assert got in (Counter({(one, 0): 1, ("p\nq\nr", 3): 1, (three, 0): 2}), Counter({("a\nb\nc", 3): 1, (two, 0): 1, (three, 0): 2}))
+
+
 def test_toxicity_held_out(spark):
     random.seed(1)
     words = ["".join(random.choices("aeiolnrst", k=random.randint(2, 7))) for _ in range(400)]
@@ -139,6 +147,13 @@ def test_decontamination_recall(spark):
     assert not {g for g in got if g[0] >= 900}
 
 
+def test_decontamination_stage_tells_texts_of_one_doc_id_apart(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    clean = "nothing of the kind stands in here " * 3
+    d = spark.createDataFrame([(i, t) for i in (None, 7) for t in ("before " + item, clean, None)], "doc_id long, text string")
+    assert bag(corpus_pipeline.decontamination(spark, d, SF), "doc_id", "text") == Counter((i, t) for i in (None, 7) for t in (clean, None))
+
+
 def test_lm_scores(docs):
     small = docs.where("doc_id < 40 or doc_id >= 10001 or doc_id is null")
     texts = [(i, (t or "").encode().translate(lm.LOWER)) for i, t in rows(small)]
