@@ -190,6 +190,14 @@ def test_lm_scores(docs):
         assert g[:3] == x[:3] and g[3:] == pytest.approx(x[3:], abs=1e-6)
 
 
+def test_lm_scores_do_not_depend_on_what_is_broadcast(docs, monkeypatch):
+    small = docs.where("doc_id < 20 or doc_id >= 10001 or doc_id is null")
+    score = lambda: sorted((str(r.doc_id), r.score) for r in lm.score(small, ~lm.held_out(F.col("doc_id"))).collect())
+    want = score()
+    monkeypatch.setattr(lm, "TRIE_LEAVES", 40)
+    assert [(i, pytest.approx(x, abs=1e-6)) for i, x in want] == score()
+
+
 def test_suffix_dedup(docs):
     raw = [(i, (t or "").encode()) for i, t in rows(docs)]
     n = Counter(t[i : i + 400] for _, t in raw for i in range(len(t) - 399))
