@@ -1,4 +1,4 @@
-"""Benchmark decontamination: CGK embedding, bit-sampling LSH, exact edit distance.
+"""Benchmark decontamination: candidates by seeds with CGK embedding and by counted runs, exact edit distance.
 
 Texts and items are compared in lower case with white space as single blanks. Wherever a text
 repeats a run of SEED bytes of an item, the item-sized window that would line the two up is taken.
@@ -7,9 +7,11 @@ edit distance into Hamming distance; they are a candidate if in one of REPEATS d
 of WALKS walks all SAMPLED sampled coordinates agree. Candidates are verified by their exact edit distance: at most
 floor((1 - similar) * item bytes) to some substring around the window.
 
-With a fifth of an item's bytes edited at random about 96 in 100 items keep an intact seed run, and
-of those the draws find about 98; whole words or phrases exchanged leave longer runs and lose
-nothing. Items are broadcast in blocks of BLOCK_BYTES at most, one pass over the documents a block.
+Edits may leave no seed run, and the draws miss some windows. So every text is searched by
+counted runs as well (see Parts): the items' parts whose 4-byte runs stand in the text as often, and
+as nearly on one diagonal, as the edits allowed must leave them. This loses no match.
+
+Items are broadcast in blocks of BLOCK_BYTES at most, one pass over the documents a block.
 
 Defined results: null and empty texts and items match nothing; items shorter than SEED bytes match
 as they stand only; an item or text repeated gives its rows again; rows with a null doc_id or
@@ -28,6 +30,9 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import LOWER, SPACE, pieces, text_buffer
 
 SEED = 12
+#: Longest part of an item (bits of a word), diagonals whose windows are compared as one, and positions of a text looked up at a time.
+PART, GROUP, STEP = 63, 16, 1 << 15
+WIDTH = STEP + 8 * (PART + 1)
 #: A walk that an edit throws off may stay off: several of them make up for it.
 WALKS, REPEATS, SAMPLED = 3, 192, 5
 BLOCK_BYTES = 8 << 20
@@ -112,6 +117,91 @@ def edit_distance_within(item: bytes, text: bytes, most: int) -> int:
     return best
 
 
+def within(part: np.ndarray, size: np.ndarray, most: np.ndarray, peq: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """Of parts of PART bytes at most, by their row in peq: whether a substring of the window is within `most` edits (Myers, all side by side)."""
+    one = np.uint64(1)
+    pv, mv = np.full(len(part), ~np.uint64(0)), np.zeros(len(part), np.uint64)
+    top, now = (size - 1).astype(np.uint64), size.astype(np.int64)
+    best, flat, base = now.copy(), peq.ravel(), part.astype(np.int64) * 256
+    for c in windows.T:
+        e = flat[base + c]
+        xv = e | mv
+        xh = (((e & pv) + pv) ^ pv) | e
+        ph, mh = mv | ~(xh | pv), pv & xh
+        now += (ph >> top & one).astype(np.int64) - (mh >> top & one).astype(np.int64)
+        np.minimum(best, now, out=best)
+        ph, mh = ph << one, mh << one
+        pv, mv = mh | ~(xv | ph), ph & xv
+    return best <= most
+
+
+class Parts:
+    """Items cut into parts of PART bytes at most, one of which a match holds with its share of the edits; an index of their 4-byte runs.
+
+    A part with k edits keeps size - 3 - 4k of its runs, on k + 1 neighbouring diagonals of text
+    and part: where sorted diagonals have as many so close together, and no match has fewer, the part
+    is compared with the text there.
+    """
+
+    def __init__(self, texts: list[bytes], limit: list[int], which: list[int]):
+        rows = []
+        for k in which:
+            n = len(texts[k])
+            cuts = np.linspace(0, n, -(-n // PART) + 1).astype(int).tolist()
+            rows += [(k, a, b - a, limit[k] * (b - a) // n) for a, b in zip(cuts, cuts[1:], strict=False)]
+        self.item, self.at, self.size, self.most = np.array(rows, np.int64).reshape(-1, 4).T
+        self.texts = [texts[k][a : a + n] for k, a, n, _ in rows]
+        self.least = self.size - 3 - 4 * self.most
+        grams = [_grams(np.frombuffer(t, np.uint8)) for t in self.texts]
+        g = np.concatenate(grams) if grams else np.zeros(0, np.uint32)
+        order = np.argsort(g, kind="stable")
+        self.start = np.searchsorted(g[order], np.arange((1 << 20) + 1)).astype(np.int32)
+        part = np.repeat(np.arange(len(rows)), [len(x) for x in grams])
+        place = np.concatenate([np.arange(len(x)) for x in grams]) if grams else np.zeros(0, np.int64)
+        # of each run: where the diagonals of its part begin, which leaves gaps between those of two parts
+        self.key = (part * WIDTH + PART - place)[order].astype(np.int32 if (len(rows) + 1) * WIDTH < 1 << 31 else np.int64)
+
+    def candidates(self, data: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, first, last start of the item): every match in the buffer has its start in one of these, give or take the item's edits."""
+        g = _grams(data)
+        step = min(STEP, max(1 << 10, (1 << 31) // max(1, len(self.key))))
+        for s in range(0, len(g), step):
+            # the blocks overlap by what a part's match may take
+            h = g[s : s + step + 4 * PART]
+            first = self.start[h]
+            n = self.start[h + 1] - first
+            if not n.any():
+                continue
+            key = self.key[np.repeat((first - np.cumsum(n, dtype=np.int32) + n), n) + np.arange(n.sum(), dtype=np.int32)]
+            key += np.repeat(np.arange(len(h), dtype=np.int32), n)
+            key.sort()
+            size = np.diff(np.searchsorted(key, np.arange(len(self.texts) + 1, dtype=key.dtype) * key.dtype.type(WIDTH)))
+            last = np.arange(len(key), dtype=np.int32) + np.repeat((self.least - 1).astype(np.int32), size)
+            near = key[np.minimum(last, len(key) - 1)] - key <= np.repeat(self.most.astype(np.int32), size)
+            key = np.unique(key[near & (last < len(key))].astype(np.int64) // GROUP * GROUP)
+            for at in range(0, len(key), 1 << 15):
+                p, d = key[at : at + (1 << 15)] // WIDTH, key[at : at + (1 << 15)] % WIDTH
+                lo = s + d - PART - self.most[p]
+                kinds, row = np.unique(p, return_inverse=True)
+                peq = np.zeros((len(kinds), 256), np.uint64)
+                for i, k in enumerate(kinds.tolist()):
+                    t = np.frombuffer(self.texts[k], np.uint8)
+                    np.bitwise_or.at(peq[i], t, np.uint64(1) << np.arange(len(t), dtype=np.uint64))
+                length = int((GROUP + self.size + 3 * self.most)[kinds].max())
+                windows = data[np.clip(lo[:, None] + np.arange(length), 0, len(data) - 1)]
+                ok = within(row, self.size[p], self.most[p], peq, windows)
+                first = lo[ok] - self.at[p[ok]]
+                yield from zip(self.item[p[ok]].tolist(), first.tolist(), (first + length).tolist(), strict=True)
+
+
+def _grams(data: np.ndarray) -> np.ndarray:
+    """A 20-bit hash of the 4 bytes from each position on."""
+    if len(data) < 4:
+        return np.zeros(0, np.int64)
+    d = data.astype(np.uint32)
+    return ((d[:-3] | d[1:-2] << 8 | d[2:-1] << 16 | d[3:] << 24) * np.uint32(0x9E3779B1) >> np.uint32(12)).astype(np.int64)
+
+
 class Items:
     """Benchmark items and an index of their seed runs."""
 
@@ -130,6 +220,10 @@ class Items:
         order = np.argsort(h, kind="stable")
         self.hash, self.item, self.place = h[order], item[order], place[order]
         self.size = np.array([len(t) for t in self.texts], np.int64)
+        self.parts = Parts(self.texts, self.limit, long)
+        self.loose = sorted(set(self.parts.item[self.parts.least < 1].tolist()))  # whose parts need not keep a run
+        if self.loose:
+            self.parts = Parts(self.texts, self.limit, sorted(set(long) - set(self.loose)))
         self.embedded = embed(self.texts) if self.texts else None
         self.table: np.ndarray | None = None
 
@@ -153,12 +247,31 @@ class Items:
                 found = edit_distance_within(item, around, self.limit[k]) if self._shares_grams(k, around) else len(item)
             if found <= self.limit[k] and found < best.get((doc, k), (1 << 30, 0))[0]:
                 best[doc, k] = found, start - lo
+        self._rest(raw, data, off, best)
         for k in self.short:
             for doc, (s, e) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
                 if (at := raw.find(self.texts[k], s, e)) >= 0:
                     best[doc, k] = 0, at - s
         return [(doc, k, start, found) for (doc, k), (found, start) in sorted(best.items())]
 
+    def _rest(self, raw: bytes, data: np.ndarray, off: np.ndarray, best: dict) -> None:
+        """Adds to best what keeps no seed run, or has a better window without one."""
+        found = set()
+        for k, first, last in self.parts.candidates(data):
+            a, b = max(0, first - self.limit[k]), min(len(raw), last + len(self.texts[k]) + self.limit[k])
+            docs = range(int(np.searchsorted(off, a, "right")) - 1, int(np.searchsorted(off, b, "left")))
+            found |= {(doc, k, max(a, int(off[doc])), min(b, int(off[doc + 1]))) for doc in docs}
+        found |= {(doc, k, int(off[doc]), int(off[doc + 1])) for k in self.loose for doc in range(len(off) - 1)}
+        for doc, k, a, b in sorted(found):
+            item, most = self.texts[k], min(self.limit[k], best.get((doc, k), (1 << 30, 0))[0] - 1)
+            if most < 0 or (n := edit_distance_within(item, raw[a:b], most)) > most:
+                continue
+            low, high = a, b  # the last start from which the text still holds the match
+            while high - low > 1:
+                mid = (low + high) // 2
+                low, high = (mid, high) if edit_distance_within(item, raw[mid:b], n) <= n else (low, mid)
+            best[doc, k] = n, low - int(off[doc])
+
     def _windows(self, data: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(text, item, start in the buffer) of windows that pass the sampling."""
         h = run_hashes(data)

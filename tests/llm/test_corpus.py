@@ -147,6 +147,22 @@ def test_decontamination_recall(spark):
     assert not {g for g in got if g[0] >= 900}
 
 
+def test_decontamination_finds_what_keeps_no_seed_run(spark):
+    items = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
+    random.seed(3)
+    out = []
+    for n, r in enumerate(items):
+        words = [w[: len(w) // 2] + "#" + w[len(w) // 2 + 1 :] for w in r.text.split()]
+        spots = set(random.sample(range(len(r.text)), len(r.text) // 5))
+        for i, t in ((n, " ".join(words)), (1000 + n, "".join("#" if j in spots else c for j, c in enumerate(r.text)))):
+            out.append((i, "clean filler words here " * 4 + t + " and more after it"))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(spark.createDataFrame(out, "doc_id long, text string"), spark.createDataFrame(items)).collect()}
+    text = {i: decontaminate.normalised(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0].tobytes() for i, t in out}
+    whole = {k: decontaminate.normalised(np.frombuffer(r.text.encode(), np.uint8), np.array([0, len(r.text.encode())]))[0].tobytes().strip() for k, r in ((r.item_id, r) for r in items)}
+    near = {(i, items[i % 1000].item_id) for i in text if decontaminate.edit_distance_within(whole[items[i % 1000].item_id], text[i], m := int(0.2 * len(whole[items[i % 1000].item_id]) + 1e-9)) <= m}
+    assert len(near) > len(items) and near <= got
+
+
 def test_decontamination_stage_tells_texts_of_one_doc_id_apart(spark):
     item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
     clean = "nothing of the kind stands in here " * 3
