@@ -141,7 +141,7 @@ def _parted(docs: DataFrame, bits, path: str, shared: bool) -> DataFrame:
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, table = None if shared else tokenizer(path), bits.value
-        for b in pieces(batches):
+        for b in pieces(batches, 2 << 20):
             data, off = text_buffer(b.column("text"))
             raw, ids = data.tobytes(), b.column("doc_id").to_pylist()
             bounds = chunks(data, off)
@@ -180,7 +180,7 @@ def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each chunk's text, once for each task at most."""
         seen: set[tuple[int, int]] = set()
-        for b in batches:
+        for b in pieces(batches):
             rows = []
             for text, x in zip(b.column("text").to_pylist(), b.column("chunks").to_pylist(), strict=True):
                 for c in x:
@@ -191,7 +191,7 @@ def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(tokenizer_path)
-        for b in batches:
+        for b in pieces(batches, 2 << 20, "chunk"):
             found = [_ends(tok, x) for x in b.column("chunk").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("h1"), b.column("h2"), pa.array([x[0] for x in found], pa.binary()), *(pa.array([x[i] for x in found], pa.int32()) for i in (1, 2))], ["h1", "h2", "ids", "head", "tail"])
 
@@ -203,7 +203,7 @@ def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(tokenizer_path)
-        for b in batches:
+        for b in pieces(batches, 2 << 20):
             texts, found = b.column("text").to_pylist(), []
             for raw, given in zip(texts, b.column("parts").to_pylist(), strict=True):
                 bounds, parts = [0], []

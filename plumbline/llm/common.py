@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,22 +64,30 @@ def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that the rows of each hold about `most` bytes (one row at least)."""
+def pieces(batches: Iterator[pa.RecordBatch], most: int = 8 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The batches cut so that the rows of each hold about `most` bytes in a column (one row at least)."""
     for b in batches:
         start, size = 0, 0
         if not b.num_rows:
             continue
-        for i, n in enumerate(_lengths(b.column("text"))):
+        for i, n in enumerate(_lengths(b.column(column))):
             if size and size + n > most:
                 yield b.slice(start, i - start)
                 start, size = i, 0
             size += n
         yield b.slice(start)
+    give_back()
+
+
+def give_back() -> None:
+    """Return what batches took to the system: a Python worker lives on, idle, beside those of the next stage."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def _lengths(col: pa.Array) -> list[int]:
-    return np.diff(text_buffer(col)[1]).tolist()
+    return pc.fill_null(pc.binary_length(col), 0).to_pylist()
 
 
 def words_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,6 +113,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Prints:
     """Fingerprints of substrings of a buffer: polynomial prefix sums modulo 2**64."""
 
+    #: Powers of a base up to KEPT of them stay for the next buffer; a longer one's are its own.
+    KEPT = 1 << 22
     _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def __init__(self, data: np.ndarray, base: int = 0x9E3779B97F4A7C15, bytes_as: np.ndarray | None = None):
@@ -112,7 +124,8 @@ class Prints:
             size = max(n, 1 << 16)
             inverse = pow(base, -1, 1 << 64)
             up, down = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, b, np.uint64)]).astype(np.uint64)) for b in (base, inverse))
-            self._powers[base] = up, down
+            if size <= self.KEPT:
+                self._powers[base] = up, down
         table = mix(np.arange(256, dtype=np.uint64) + np.uint64(base & 0xFFFF))
         self.sums = np.zeros(n, np.uint64)
         np.cumsum(table[data] * up[: n - 1], out=self.sums[1:])

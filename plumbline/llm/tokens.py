@@ -37,20 +37,16 @@ class WordTokenizer:
         size = self.library.get_vocab_size(with_added_tokens=True)
         self.strings = [self.library.id_to_token(i) or "" for i in range(size)]
         self.ids: dict[bytes, bytes] = {}
-        self.decoded: dict[bytes, str] = {}
 
     def learn(self, words: set[bytes]) -> None:
         missing = [w for w in words if w not in self.ids]
         if len(self.ids) + len(missing) > MEMO_WORDS:
             self.ids.clear()
-            self.decoded.clear()
             missing = list(words)
         for lo in range(0, len(missing), 4096):
             part = missing[lo : lo + 4096]
             for w, e in zip(part, self.library.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                ids = np.asarray(e.ids, "<u4").tobytes()
-                self.ids[w] = ids
-                self.decoded.setdefault(ids, " ".join([self.strings[i] for i in e.ids]))
+                self.ids[w] = np.asarray(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
