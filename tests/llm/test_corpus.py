@@ -147,20 +147,41 @@ def test_decontamination_recall(spark):
     assert not {g for g in got if g[0] >= 900}
 
 
-def test_decontamination_finds_what_keeps_no_seed_run(spark):
+def test_decontamination_recall_at_the_limit_against_exact_distances(spark):
+    """The walks reach a target recall; it is held at four kinds of edits, and nothing beyond the limit is reported."""
     items = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
     random.seed(3)
     out = []
     for n, r in enumerate(items):
-        words = [w[: len(w) // 2] + "#" + w[len(w) // 2 + 1 :] for w in r.text.split()]
-        spots = set(random.sample(range(len(r.text)), len(r.text) // 5))
-        for i, t in ((n, " ".join(words)), (1000 + n, "".join("#" if j in spots else c for j, c in enumerate(r.text)))):
-            out.append((i, "clean filler words here " * 4 + t + " and more after it"))
-    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(spark.createDataFrame(out, "doc_id long, text string"), spark.createDataFrame(items)).collect()}
-    text = {i: decontaminate.normalised(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0].tobytes() for i, t in out}
-    whole = {k: decontaminate.normalised(np.frombuffer(r.text.encode(), np.uint8), np.array([0, len(r.text.encode())]))[0].tobytes().strip() for k, r in ((r.item_id, r) for r in items)}
-    near = {(i, items[i % 1000].item_id) for i in text if decontaminate.edit_distance_within(whole[items[i % 1000].item_id], text[i], m := int(0.2 * len(whole[items[i % 1000].item_id]) + 1e-9)) <= m}
-    assert len(near) > len(items) and near <= got
+        t = r.text
+        words = " ".join(w[: len(w) // 2] + "#" + w[len(w) // 2 + 1 :] for w in t.split())
+        spots = set(random.sample(range(len(t)), len(t) // 5))
+        loose = list(t)
+        for _ in range(int(0.15 * len(t))):
+            j = random.randrange(len(loose))
+            loose[j] = random.choice(["", "q", loose[j] + "z"])
+        kinds = (words, "".join("#" if j in spots else c for j, c in enumerate(t)), "".join("#" if j % 11 == 10 else c for j, c in enumerate(t)), "".join(loose))
+        out += [(1000 * k + n, "clean filler words here " * 4 + x + " and more after it") for k, x in enumerate(kinds)]
+    got = {(r.doc_id, r.item_id): r.edit_distance for r in decontaminate.leaks(spark.createDataFrame(out, "doc_id long, text string"), spark.createDataFrame(items)).collect()}
+    plain = lambda t: decontaminate.normalised(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0].tobytes().strip()
+    text, whole = {i: plain(t) for i, t in out}, {r.item_id: plain(r.text) for r in items}
+    limit = {k: int(0.2 * len(t) + 1e-9) for k, t in whole.items()}
+    want = {(i, items[i % 1000].item_id): n for i in text if (n := decontaminate.edit_distance_within(whole[items[i % 1000].item_id], text[i], 10**6)) <= limit[items[i % 1000].item_id]}
+    for kind in range(4):
+        of = [x for x in want if x[0] // 1000 == kind]
+        assert len(of) > len(items) // 2 and sum(x in got for x in of) >= 0.95 * len(of), kind
+    assert all(n <= limit[k] and n == decontaminate.edit_distance_within(whole[k], text[i], 10**6) for (i, k), n in got.items())
+
+
+def test_decontamination_least_distances():
+    random.seed(4)
+    texts = ["".join(random.choices("abc ", k=n)).encode() for n in (12, 63, 64, 65, 200, 300)]
+    data = "".join(random.choices("abc ", k=3000)).encode() + texts[4][:150] + texts[5]
+    which = np.array([random.randrange(6) for _ in range(900)])
+    a = np.array([random.randrange(len(data) - 400) for _ in which])
+    b = a + np.array([random.randrange(1, 400) for _ in which])
+    got = decontaminate.least_distances(texts, which, np.frombuffer(data, np.uint8), a, b)
+    assert got.tolist() == [decontaminate.edit_distance_within(texts[k], data[i:j], 10**6) for k, i, j in zip(which.tolist(), a.tolist(), b.tolist(), strict=True)]
 
 
 def test_decontamination_stage_tells_texts_of_one_doc_id_apart(spark):
