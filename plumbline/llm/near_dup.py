@@ -16,8 +16,9 @@ sets) don't rule the similarity out, each from the first key that it shares.
 
 Defined results: documents without words link with nothing; with fewer words than a shingle the
 whole sequence is the one shingle; repeated rows (one doc_id) are one document and get a row each;
-a null doc_id takes part as a class but its component is the smallest doc_id that isn't null; an
-empty table gives an empty one. Of the input only doc_id and text are read.
+rows with a null doc_id belong to the class of their set and so to its component, but a set that no
+row with a doc_id has links with nothing (its component is null); of different texts under one doc_id
+one stands for both when pairs are confirmed; an empty table gives an empty one. Of the input only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ SYMBOLS, BITS, CHUNKS, DISTANCE = 64, 16, 16, 20
 STAR_ROUNDS = 2
 #: Members of a bucket that are compared in one group, and pairs that are compared at a time.
 BLOCK, PAIRS_AT_ONCE = 512, 1 << 15
+#: Groups that the pairs of one class are confirmed in.
+SPREAD = 256
 #: Lowest set hashes in a sketch, and the deviations by which it must fall short to rule a pair out.
 SKETCH, DEVIATIONS = 512, 4.0
 _PAD = np.uint32(0xFFFFFFFF)
@@ -235,23 +238,23 @@ def _compared(t: pa.Table, edges: np.ndarray, similar: int) -> Iterator[pa.Recor
 
 
 def _classes(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, set1, set2 (a digest of the shingle set), sig (bytes; null without shingles)."""
+    """doc_id, digest (of the text), n_shingles, set1, set2 (a digest of the shingle set), sig (bytes; null without shingles)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, 2 << 20):
             sets = shingle_sets(text_buffer(b.column("text")), k)
             sig, at = signatures([s for s in sets if len(s)]), 0
             rows = []
-            for i, s in zip(b.column("doc_id").to_pylist(), sets, strict=True):
+            for i, digest, s in zip(b.column("doc_id").to_pylist(), b.column("digest").to_pylist(), sets, strict=True):
                 one = two = None
                 if len(s):
                     one, two = (int(np.bitwise_xor.reduce(mix(s * c)).view(np.int64) if len(s) > 1 else mix(s * c)[0].view(np.int64)) for c in (_C1, _C2))
                     at += 1
-                rows.append((i, len(s), one, two, sig[at - 1].tobytes() if len(s) else None))
-            kinds = (*[pa.int64()] * 4, pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "n_shingles", "set1", "set2", "sig"])
+                rows.append((i, digest, len(s), one, two, sig[at - 1].tobytes() if len(s) else None))
+            kinds = (*[pa.int64()] * 5, pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "digest", "n_shingles", "set1", "set2", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, n_shingles long, set1 long, set2 long, sig binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("digest"), "text").mapInArrow(scan, "doc_id long, digest long, n_shingles long, set1 long, set2 long, sig binary")
 
 
 def _close(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -268,28 +271,35 @@ def _close(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def _confirmed(close: DataFrame, docs: DataFrame, k: int, similar: int) -> DataFrame:
-    """Those of pairs (a, b: class ids) whose full sets are similar."""
+    """Those of pairs (a, b: class ids) whose full sets are similar.
+
+    The pairs of one a are dealt to SPREAD groups. A group holds a's text once, ahead of the texts it is
+    compared with, so that a centre of a million pairs isn't sent a million times, nor to one task.
+    """
     texts = _with_ids(docs, close.select(F.col("a").alias("id")).union(close.select("b"))).groupBy("doc_id").agg(F.first("text").alias("text"))
-    texts = materialize(texts, "pair-texts")
-    both = close.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    dealt = close.withColumn("deal", F.pmod(F.xxhash64("b"), F.lit(SPREAD)).cast("int"))
+    members = dealt.select("a", "deal", F.col("b").alias("id"), F.lit(1).alias("turn")).unionByName(dealt.select("a", "deal", F.col("a").alias("id"), F.lit(0).alias("turn")).distinct())
+    rows = members.join(texts.withColumnRenamed("doc_id", "id"), "id").select("a", "deal", "turn", "id", "text").repartition("a", "deal").sortWithinPartitions("a", "deal", "turn")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple = (None, None)
-        for b in batches:
-            keep = []
-            for a, ta, tb in zip(b.column("a").to_pylist(), b.column("ta").to_pylist(), b.column("tb").to_pylist(), strict=True):
-                if last[0] != a:
-                    last = a, shingle_sets([ta.encode()], k)[0]
-                other = shingle_sets([tb.encode()], k)[0]
-                both = len(np.intersect1d(last[1], other, assume_unique=True))
-                keep.append(100 * both >= similar * (len(last[1]) + len(other) - both))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        own = np.zeros(0, np.uint64)
+        for b in pieces(batches, 2 << 20):
+            found = []
+            sets = shingle_sets(text_buffer(b.column("text")), k)
+            for a, turn, i, x in zip(b.column("a").to_pylist(), b.column("turn").to_pylist(), b.column("id").to_pylist(), sets, strict=True):
+                if not turn:
+                    own = x
+                    continue
+                both = len(np.intersect1d(own, x, assume_unique=True))
+                if 100 * both >= similar * (len(own) + len(x) - both):
+                    found.append((a, i))
+            yield pa.RecordBatch.from_arrays([pa.array([f[n] for f in found], pa.int64()) for n in (0, 1)], ["a", "b"])
 
-    return both.mapInArrow(check, "a long, b long")
+    return rows.mapInArrow(check, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, similar: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of docs. similar: least similarity in hundredths."""
+    """doc_id, n_shingles, component_id, kept, digest (xxhash64 of the text) for each row of docs. similar: least similarity in hundredths."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     every = materialize(_classes(docs, k), "shingled")
     full = every.where("n_shingles > 0")
@@ -326,5 +336,5 @@ def near_duplicates(docs: DataFrame, k: int = 5, similar: int = 80) -> DataFrame
         roots = components(links)
     class_roots = reps.select("set1", "set2", "n_shingles", "id").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("set1", "set2", "n_shingles", F.coalesce("root", "id").alias("component"))
     out = every.alias("a").join(class_roots.alias("b"), (F.col("a.set1") == F.col("b.set1")) & (F.col("a.set2") == F.col("b.set2")) & (F.col("a.n_shingles") == F.col("b.n_shingles")), "left")
-    out = out.select("a.doc_id", "a.n_shingles", F.coalesce("component", "a.doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    out = out.select("a.doc_id", "a.n_shingles", F.coalesce("component", "a.doc_id").alias("component_id"), "a.digest")
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "digest")
