@@ -19,16 +19,32 @@ def rolling(agg, x: Column, n: int, key: str | None = "ticker", order: str = "da
     return F.when(F.count(x).over(w) == n, agg(x).over(w))
 
 
+def clean_ticker(x: Column) -> Column:
+    """Share classes behind a hyphen: BRK.B is BRK-B."""
+    return F.translate(F.trim(x), ".", "-")
+
+
+def dotted_ticker(x: Column) -> Column:
+    """The way back: BRK-B is BRK.B, in capitals."""
+    return F.upper(F.translate(x, "-", "."))
+
+
+def day_of(x: Column) -> Column:
+    """A date from text like 31-OCT-2025; null if it is none."""
+    return F.try_to_timestamp(x, F.lit("dd-MMM-yyyy")).cast("date")
+
+
 def over_safe(num: Column, den: Column) -> Column:
     """num / den, null where den isn't positive."""
     return num / F.when(den > 0, den)
 
 
 def pct_rank(x: str, *by: str) -> Column:
-    """Average rank of ties over the number of values; nulls stay null."""
+    """Average rank of ties over the number of values; nulls stay null. One sort serves the rank, the ties and the count."""
     order = Window.partitionBy(*by).orderBy(F.col(x).asc_nulls_last())
-    ties = F.count(x).over(Window.partitionBy(*by, x))
-    return F.when(F.col(x).isNotNull(), (F.rank().over(order) + (ties - 1) / 2) / F.count(x).over(Window.partitionBy(*by)))
+    ties = F.count(x).over(order.rangeBetween(Window.currentRow, Window.currentRow))
+    total = F.count(x).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return F.when(F.col(x).isNotNull(), (F.rank().over(order) + (ties - 1) / 2) / total)
 
 
 def ewm_mean(df: DataFrame, x: str, alpha: float, out: str, key: str = "ticker", order: str = "date") -> DataFrame:
@@ -47,15 +63,12 @@ def ewm_mean(df: DataFrame, x: str, alpha: float, out: str, key: str = "ticker",
     inside = Window.partitionBy(key, "__b").orderBy("__n").rowsBetween(Window.unboundedPreceding, 0)
     decay = F.pow(F.lit(keep), F.col("__p"))
     d = d.withColumn("__v", decay * F.sum(gain * F.coalesce(F.col(x), F.lit(0.0)) * scale).over(inside)).withColumn("__w", decay * F.sum(gain * scale).over(inside))
-    whole = Window.partitionBy(key, "__b")
-    d = d.withColumn("__ev", F.max_by("__v", "__p").over(whole)).withColumn("__ew", F.max_by("__w", "__p").over(whole))
-    first = d.select(key, "__b", "__ev", "__ew").where("__b >= 0").distinct()
-    blocks = Window.partitionBy(key).orderBy("__b")
-    carry = first.select(key, "__b", *[(F.coalesce(F.lag(e).over(blocks), F.lit(0.0)) + keep**block * F.coalesce(F.lag(e, 2).over(blocks), F.lit(0.0))).alias(c) for e, c in (("__ev", "__cv"), ("__ew", "__cw"))])
-    d = d.join(carry, [key, "__b"], "left")
+    # What a block starts from are the last values of the two before it: range frames over block numbers, so nothing is joined.
+    before = lambda e, k: F.coalesce(F.when(F.col("__b") >= k, F.max_by(e, "__p").over(Window.partitionBy(key).orderBy("__b").rangeBetween(-k, -k))), F.lit(0.0))
+    d = d.withColumns({c: before(e, 1) + keep**block * before(e, 2) for e, c in (("__v", "__cv"), ("__w", "__cw"))})
     back = F.pow(F.lit(keep), F.col("__p") + 1)
-    y = (F.col("__v") + F.coalesce("__cv", F.lit(0.0)) * back) / (F.col("__w") + F.coalesce("__cw", F.lit(0.0)) * back)
-    return d.withColumn(out, F.when(F.col("__t") >= 0, y)).drop("__n", "__first", "__t", "__b", "__p", "__v", "__w", "__ev", "__ew", "__cv", "__cw")
+    y = (F.col("__v") + F.col("__cv") * back) / (F.col("__w") + F.col("__cw") * back)
+    return d.withColumn(out, F.when(F.col("__t") >= 0, y)).drop("__n", "__first", "__t", "__b", "__p", "__v", "__w", "__cv", "__cw")
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, left_date: str, right_date: str, values: list[str], tie: list[str], strict: bool = False, each: bool = False) -> DataFrame:
@@ -64,9 +77,9 @@ def as_of(left: DataFrame, right: DataFrame, key: str, left_date: str, right_dat
     each: of every value the last one that isn't null, instead of the last row's. Both sides are stacked and read by one window, so there is one exchange and no range join.
     """
     stamp = F.struct(*[F.col(v).alias(v) for v in values])
+    order = F.struct(*[F.col(t) for t in tie]) if tie else F.lit(0)  # compared field by field in its own type
     # A left row without fields of its own still needs them all back: they travel as one struct.
-    a = left.select(F.col(key).alias("__k"), F.col(left_date).alias("__d"), F.lit(0 if strict else 1).alias("__side"), F.lit(None).cast("string").alias("__tie"), F.struct("*").alias("__left"), F.lit(None).cast(right.select(stamp.alias("s")).schema["s"].dataType).alias("__right"))
-    order = F.concat_ws("\x01", *[F.col(t).cast("string") for t in tie]) if tie else F.lit("")
+    a = left.select(F.col(key).alias("__k"), F.col(left_date).alias("__d"), F.lit(0 if strict else 1).alias("__side"), F.lit(None).cast(right.select(order.alias("s")).schema["s"].dataType).alias("__tie"), F.struct("*").alias("__left"), F.lit(None).cast(right.select(stamp.alias("s")).schema["s"].dataType).alias("__right"))
     b = right.where(F.col(right_date).isNotNull()).select(F.col(key).alias("__k"), F.col(right_date).alias("__d"), F.lit(1 if strict else 0).alias("__side"), order.alias("__tie"), F.lit(None).cast(left.select(F.struct("*").alias("s")).schema["s"].dataType).alias("__left"), stamp.alias("__right"))
     w = Window.partitionBy("__k").orderBy("__d", "__side", "__tie").rowsBetween(Window.unboundedPreceding, 0)
     if each:

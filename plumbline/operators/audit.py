@@ -10,14 +10,36 @@ from pyspark.sql import functions as F
 from plumbline.operators.membership import seeded_sample
 
 
-def lookahead_mismatches(bars: DataFrame, compute: Callable[[DataFrame], DataFrame], columns: list[str], n: int = 20, seed: int = 7, start: str = "1900-01-01", tol: float = 1e-6) -> DataFrame:
-    """ticker, date, feature, full, cut: where a value changes once later bars are gone. compute works per `ticker` and `date`."""
-    full = compute(bars).select("ticker", "date", *columns)
-    picked = seeded_sample(bars.where(F.col("date") >= start).select("ticker", "date"), n, seed).select("ticker", F.col("date").alias("cut_date"))
-    # Each sample becomes a ticker of its own, so that all are recomputed in one job.
-    cut = bars.join(F.broadcast(picked), "ticker").where(F.col("date") <= F.col("cut_date")).withColumn("ticker", F.concat_ws("@", "ticker", "cut_date"))
-    again = compute(cut.drop("cut_date")).select(F.split("ticker", "@")[0].alias("ticker"), F.split("ticker", "@")[1].cast("date").alias("at"), "date", *columns).where("date = at").drop("at")
+class LookaheadError(ValueError):
+    """A feature changes once later rows are gone."""
+
+
+def lookahead_pairs(bars: DataFrame, market: DataFrame, compute: Callable[[DataFrame, DataFrame, tuple[str, ...]], DataFrame], columns: list[str], n: int = 20, seed: int = 7, start: str = "1900-01-01", tol: float = 1e-6) -> DataFrame:
+    """ticker, date, feature, full, cut, same: each sampled value beside the one computed from bars and market up to its date.
+
+    compute(bars, market, keys) gives features by `ticker` and `date`; market has one row a date (and keys). A date without a market row is skipped. Two nulls are the same, one isn't.
+    """
+    full = compute(bars, market, ()).select("ticker", "date", *columns)
+    trading = market.where("spy_close is not null").select("date")
+    picked = seeded_sample(bars.where(F.col("date") >= start).select("ticker", "date").join(F.broadcast(trading), "date", "left_semi").select("ticker", "date"), n, seed)
+    # Each sample becomes a ticker of its own with a market of its own, both cut at its date, so that all are recomputed in one job.
+    at = F.broadcast(picked.select("ticker", F.col("date").alias("cut_date")))
+    cut = bars.join(at, "ticker").where("date <= cut_date").withColumn("ticker", F.concat_ws("@", "ticker", "cut_date"))
+    early = market.join(F.broadcast(picked.select(F.col("date").alias("cut_date")).distinct()), F.col("date") <= F.col("cut_date"))
+    again = compute(cut, early, ("cut_date",))
+    again = again.where("date = cut_date").select(F.split("ticker", "@")[0].alias("ticker"), "date", *columns)
     long = lambda d, v: d.unpivot(["ticker", "date"], columns, "feature", v)
-    both = long(full.join(F.broadcast(picked), (full.ticker == picked.ticker) & (full.date == picked.cut_date), "left_semi"), "full").join(long(again, "cut"), ["ticker", "date", "feature"], "left")
+    both = long(full.join(F.broadcast(picked), ["ticker", "date"], "left_semi"), "full").join(long(again, "cut"), ["ticker", "date", "feature"], "left")
     same = (F.col("full").isNull() & F.col("cut").isNull()) | F.coalesce(F.abs(F.col("full") - F.col("cut")) <= tol + tol * F.abs("full"), F.lit(False))
-    return both.where(~same)
+    return both.withColumn("same", same)
+
+
+def lookahead_summary(pairs: DataFrame) -> DataFrame:
+    """feature, n_compared, n_values (not null), n_mismatched."""
+    return pairs.groupBy("feature").agg(F.count("*").alias("n_compared"), F.count("full").alias("n_values"), F.count_if(~F.col("same")).alias("n_mismatched"))
+
+
+def require_no_lookahead(pairs: DataFrame) -> None:
+    """Raises LookaheadError with the features that look ahead."""
+    if bad := lookahead_summary(pairs).where("n_mismatched > 0").orderBy("feature").collect():
+        raise LookaheadError(", ".join(f"{r.feature}: {r.n_mismatched} of {r.n_compared}" for r in bad))

@@ -5,27 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.windows import as_of
+from plumbline.functions.windows import as_of, clean_ticker, day_of
 
 PERIODIC, CURRENT = ("10-K", "10-K/A", "10-Q", "10-Q/A"), ("8-K", "8-K/A")
 #: Symbols that mean there is none.
 NO_SYMBOL = ("", "NONE", "N/A", "NA", "NULL")
 
 
-def clean_ticker(x: Column) -> Column:
-    return F.translate(F.trim(x), ".", "-")
-
-
 def is_earnings(form: Column, items: Column) -> Column:
     return form.isin(*PERIODIC) | (form.isin(*CURRENT) & F.array_contains(F.split(items, ","), "2.02"))
 
 
+_BLOCK = "form array<string>, filingDate array<string>, accessionNumber array<string>, items array<string>"
+
+
 def flatten_submissions(raw: DataFrame) -> DataFrame:
-    """ticker, payload (parallel arrays of one ticker's filings) to rows; short item lists are padded with ''."""
-    kind = "filings struct<recent: struct<form: array<string>, filingDate: array<string>, accessionNumber: array<string>, items: array<string>>>"
-    d = raw.select("ticker", F.from_json("payload", kind).alias("j")).select("ticker", F.col("j.filings.recent").alias("r"))
+    """ticker, payload to one row a filing. A payload holds parallel arrays, of the recent filings or, in further pages, at its top; short item lists are padded with ''."""
+    recent = F.from_json("payload", f"filings struct<recent struct<{_BLOCK}>>").getField("filings").getField("recent")
+    page = F.from_json("payload", _BLOCK)
+    d = raw.select("ticker", F.explode(F.array(recent, page)).alias("r"))
     rows = F.arrays_zip(*[F.col(f"r.{c}").alias(c) for c in ("form", "filingDate", "accessionNumber", "items")])
-    return d.select("ticker", F.inline(rows)).select("ticker", F.to_date("filingDate").alias("report_date"), "form", F.col("accessionNumber").alias("accession"), F.coalesce("items", F.lit("")).alias("items"))
+    d = d.select("ticker", F.inline(rows)).where("accessionNumber is not null")
+    return d.select("ticker", F.expr("try_cast(filingDate as date)").alias("report_date"), "form", F.col("accessionNumber").alias("accession"), F.coalesce("items", F.lit("")).alias("items"))
+
+
+def upcoming(calendar: DataFrame, as_of: str) -> DataFrame:
+    """ticker, report_date of announced dates on or after as_of, each once."""
+    return calendar.select("ticker", F.to_date("report_date").alias("report_date")).where(F.col("report_date") >= F.lit(as_of).cast("date")).distinct()
 
 
 def earnings_dates(filings: DataFrame, window: int = 60) -> DataFrame:
@@ -61,11 +67,24 @@ def earnings_distance(panel: DataFrame, dates: DataFrame, cap: int = 90) -> Data
 
 
 def insider_trades(submissions: DataFrame, trades: DataFrame) -> DataFrame:
-    """Direct purchases and sales on forms 4, joined by accession and freed of duplicates."""
-    s = submissions.where(F.col("form").isin("4", "4/A")).select("accession", clean_ticker(F.upper("symbol")).alias("ticker"), "filing_date").where(~F.col("ticker").isin(*NO_SYMBOL))
-    t = trades.where(F.col("code").isin("P", "S") & (F.col("ownership") == "D")).select("accession", "code", F.coalesce("shares", F.lit(0.0)).alias("shares"), F.coalesce("price", F.lit(0.0)).alias("price"))
-    d = s.join(t, "accession").dropDuplicates(["ticker", "filing_date", "code", "shares", "price"])
-    return d.select("ticker", "filing_date", F.col("code").alias("transaction_code"), "shares", F.col("price").alias("price_per_share"), F.round(F.col("shares") * F.col("price"), 2).alias("value"))
+    """Direct purchases and sales on forms 4, joined by accession and freed of duplicates. Dates are text like 31-OCT-2025.
+
+    submissions: ACCESSION_NUMBER, FILING_DATE, DOCUMENT_TYPE, ISSUERTRADINGSYMBOL. trades: ACCESSION_NUMBER,
+    TRANS_DATE, TRANS_CODE, TRANS_SHARES, TRANS_PRICEPERSHARE, DIRECT_INDIRECT_OWNERSHIP.
+    """
+    s = submissions.where(F.col("DOCUMENT_TYPE").isin("4", "4/A")).select("ACCESSION_NUMBER", clean_ticker(F.upper("ISSUERTRADINGSYMBOL")).alias("ticker"), day_of(F.col("FILING_DATE")).alias("filing_date"))
+    s = s.where(~F.col("ticker").isin(*NO_SYMBOL) & F.col("filing_date").isNotNull())
+    number = lambda c: F.coalesce(F.expr(f"try_cast({c} as double)"), F.lit(0.0))
+    t = trades.where(F.col("TRANS_CODE").isin("P", "S") & (F.col("DIRECT_INDIRECT_OWNERSHIP") == "D"))
+    t = t.select("ACCESSION_NUMBER", day_of(F.col("TRANS_DATE")).alias("transaction_date"), F.col("TRANS_CODE").alias("transaction_code"), number("TRANS_SHARES").alias("shares"), number("TRANS_PRICEPERSHARE").alias("price_per_share"))
+    d = s.join(t, "ACCESSION_NUMBER").dropDuplicates(["ticker", "filing_date", "transaction_date", "transaction_code", "shares", "price_per_share"])
+    return d.select("ticker", "filing_date", "transaction_date", "transaction_code", "shares", "price_per_share", F.round(F.col("shares") * F.col("price_per_share"), 2).alias("value"))
+
+
+def trade_counts(trades: DataFrame, tickers: list[str] | None = None) -> DataFrame:
+    """Rows of each ticker, or of those named."""
+    d = trades.where(F.col("ticker").isin(*tickers)) if tickers else trades
+    return d.groupBy("ticker").agg(F.count("*").alias("n"))
 
 
 def insider_activity(panel: DataFrame, trades: DataFrame, window: int = 60, cap: int = 365) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.windows import as_of, over_safe
@@ -11,6 +11,25 @@ FLOWS = ("revenue", "net_income", "operating_income")
 SNAPSHOTS = ("assets", "assets_current", "liabilities_current", "equity", "lt_debt", "shares")
 
 
+#: Tags under which each concept is reported, their unit and kind.
+CONCEPTS = {
+    "revenue": (("Revenues", "RevenueFromContractWithCustomerExcludingAssessedTax", "SalesRevenueNet"), "USD", "flow"),
+    "net_income": (("NetIncomeLoss",), "USD", "flow"),
+    "operating_income": (("OperatingIncomeLoss",), "USD", "flow"),
+    "assets": (("Assets",), "USD", "snapshot"),
+    "assets_current": (("AssetsCurrent",), "USD", "snapshot"),
+    "liabilities_current": (("LiabilitiesCurrent",), "USD", "snapshot"),
+    "equity": (("StockholdersEquity", "StockholdersEquityIncludingPortionAttributableToNoncontrollingInterest"), "USD", "snapshot"),
+    "lt_debt": (("LongTermDebt", "LongTermDebtNoncurrent"), "USD", "snapshot"),
+    "shares": (("CommonStockSharesOutstanding",), "shares", "snapshot"),
+}
+
+
+def concepts(spark: SparkSession) -> DataFrame:
+    """concept, tag, unit, kind: the registry as a table of a fixed few rows."""
+    return spark.createDataFrame([(c, t, unit, kind) for c, (tags, unit, kind) in CONCEPTS.items() for t in tags], "concept string, tag string, unit string, kind string")
+
+
 def facts_from_json(raw: DataFrame, concepts: DataFrame) -> DataFrame:
     """ticker, payload to fact rows of the concepts (concept, tag, unit)."""
     item = "array<struct<start: string, end: string, filed: string, val: double, form: string, fp: string, fy: int, accn: string>>"
@@ -35,53 +54,87 @@ def span_kind(start: Column, end: Column) -> Column:
     return F.when(days.between(80, 100), "quarterly").when(days.between(350, 380), "annual").when(days.between(170, 200), "ytd_h1").when(days.between(260, 290), "ytd_q3").otherwise("unknown")
 
 
-def quarterly(facts: DataFrame) -> DataFrame:
-    """Quarters of the flow concepts: reported ones, and the fourth as the year less the three inside it."""
-    d = facts.where(F.col("concept").isin(*FLOWS)).withColumn("kind", span_kind(F.col("period_start"), F.col("period_end")))
-    w = Window.partitionBy("ticker", "concept", "period_end").orderBy("filed", "period_start", "value")
-    one = d.where("kind in ('quarterly', 'annual')").withColumn("__r", F.row_number().over(w.partitionBy("ticker", "concept", "period_end", "kind"))).where("__r = 1").drop("__r")
-    q, a = one.where("kind = 'quarterly'"), one.where("kind = 'annual'")
-    lone = a.join(q.select("ticker", "concept", "period_end"), ["ticker", "concept", "period_end"], "left_anti").alias("a")
-    inside = lone.join(q.alias("q"), (F.col("a.ticker") == F.col("q.ticker")) & (F.col("a.concept") == F.col("q.concept")) & (F.col("q.period_start") >= F.date_sub("a.period_start", 2)) & (F.col("q.period_end") < F.col("a.period_end")))
-    four = inside.groupBy("a.ticker", "a.concept", "a.period_end", "a.filed", "a.value").agg(F.count("*").alias("n"), F.sum("q.value").alias("s"), F.max("q.period_end").alias("last"), F.max("q.filed").alias("f")).where("n = 3")
-    four = four.select("ticker", "concept", F.date_add("last", 1).alias("period_start"), "period_end", F.greatest("filed", "f").alias("filed"), (F.col("value") - F.col("s")).alias("value"))
-    return q.select(four.columns).unionByName(four)
+#: Days by which a quarter may begin before its year, and the longest year that quarters are sought in.
+_EARLY, _YEAR = 2, 380
+
+
+def _by_concept():
+    return Window.partitionBy("ticker", "concept")
+
+
+def _by_day(days: str = "period_end") -> Column:
+    return F.datediff(days, F.lit("1970-01-01").cast("date"))
+
+
+def quarterly(facts: DataFrame, snapshots: tuple[str, ...] = ()) -> DataFrame:
+    """Quarters of the flow concepts: reported ones, and the fourth as the year less the three inside it. Rows of the snapshot concepts named pass as they are.
+
+    A year sees the quarters that end before it in one range window, so nothing is joined; rows
+    stay where the first exchange by ticker puts them.
+    """
+    flow = F.when(F.col("concept").isin(*FLOWS), span_kind(F.col("period_start"), F.col("period_end")))
+    kind = F.when(F.col("concept").isin(*snapshots) & F.col("period_start").isNull(), "snapshot").otherwise(flow) if snapshots else flow
+    d = facts.withColumn("kind", kind).where("kind in ('quarterly', 'annual', 'snapshot')")
+    one = Window.partitionBy("ticker", "concept", "period_end", "kind").orderBy("filed", "period_start", "value")
+    d = d.withColumn("__r", F.row_number().over(one)).where("__r = 1").drop("__r")
+    quarter = F.when(F.col("kind") == "quarterly", F.struct("period_start", "period_end", "filed", "value"))
+    before = _by_concept().orderBy(_by_day()).rangeBetween(-_YEAR, -1)
+    d = d.withColumns({"__native": F.max(quarter.isNotNull()).over(Window.partitionBy("ticker", "concept", "period_end")), "__inside": F.collect_list(quarter).over(before)})
+    inside = F.filter("__inside", lambda q: q["period_start"] >= F.date_sub("period_start", _EARLY))
+    d = d.withColumn("__inside", F.when((F.col("kind") == "annual") & ~F.col("__native"), inside)).where("kind <> 'annual' or size(__inside) = 3")
+    rest = F.aggregate("__inside", F.lit(0.0), lambda s, q: s + q["value"])
+    last = lambda f: F.array_max(F.transform("__inside", lambda q: q[f]))
+    derived = F.col("kind") == "annual"
+    return d.select(
+        "ticker", "concept", F.when(derived, F.date_add(last("period_end"), 1)).otherwise(F.col("period_start")).alias("period_start"), "period_end",
+        F.when(derived, F.greatest("filed", last("filed"))).otherwise(F.col("filed")).alias("filed"), F.when(derived, F.col("value") - rest).otherwise(F.col("value")).alias("value"),
+    )
 
 
 def ttm(quarters: DataFrame) -> DataFrame:
-    """Sums of four quarter rows whose ends span 240 to 320 days, known once the last of them is filed."""
-    w = Window.partitionBy("ticker", "concept").orderBy("period_end").rowsBetween(-3, 0)
-    d = quarters.select("ticker", "concept", "period_end", F.sum("value").over(w).alias("ttm"), F.max("filed").over(w).alias("asof"), F.count("*").over(w).alias("n"), F.datediff("period_end", F.min("period_end").over(w)).alias("span"))
-    return d.where("n = 4 and span between 240 and 320").drop("n", "span")
+    """Sums of four quarter rows whose ends span 240 to 320 days, known once the last of them is filed. Other concepts' rows keep their value."""
+    w = _by_concept().orderBy("period_end").rowsBetween(-3, 0)
+    flow = F.col("concept").isin(*FLOWS)
+    d = quarters.select(
+        "ticker", "concept", "period_end", F.when(flow, F.sum("value").over(w)).otherwise(F.col("value")).alias("ttm"), F.when(flow, F.max("filed").over(w)).otherwise(F.col("filed")).alias("asof"),
+        (~flow | ((F.count("*").over(w) == 4) & F.datediff("period_end", F.min("period_end").over(w)).between(240, 320))).alias("__whole"),
+    )
+    return d.where("__whole").drop("__whole")
 
 
 def year_before(t: DataFrame) -> DataFrame:
     """t with the trailing sum of the row nearest to a year before (30 days at most, the earlier one on ties)."""
-    a, b = t.alias("a"), t.alias("b")
-    off = F.abs(F.datediff("b.period_end", F.date_sub("a.period_end", 365)))
-    near = a.join(b, (F.col("a.ticker") == F.col("b.ticker")) & (F.col("a.concept") == F.col("b.concept")) & (F.col("b.period_end") < F.col("a.period_end")) & (off <= 30))
-    best = near.groupBy("a.ticker", "a.concept", "a.period_end").agg(F.min_by("b.ttm", F.struct(off, F.col("b.period_end"))).alias("ttm_prior"))
-    return t.join(best, ["ticker", "concept", "period_end"], "left")
+    near = F.collect_list(F.struct("period_end", "ttm")).over(_by_concept().orderBy(_by_day()).rangeBetween(-395, -335))
+    off = lambda x: F.struct(F.abs(F.datediff(x["period_end"], F.date_sub("period_end", 365))).alias("off"), x["period_end"].alias("end"), x["ttm"].alias("ttm"))
+    return t.withColumn("__near", near).select(*t.columns, F.array_min(F.transform("__near", off)).getField("ttm").alias("ttm_prior"))
 
 
 def split_factor(rows: DataFrame, splits: DataFrame, asof: str) -> DataFrame:
-    """rows with the product of the ratios of splits after their date (1 without any)."""
-    keys = rows.select("ticker", asof).distinct()
-    s = splits.select(F.col("ticker").alias("__t"), F.col("date").alias("__d"), "ratio")
-    f = keys.join(s, (F.col("ticker") == F.col("__t")) & (F.col("__d") > F.col(asof)), "left").groupBy("ticker", asof).agg(F.coalesce(F.product("ratio"), F.lit(1.0)).alias("split_factor"))
-    return rows.join(f, ["ticker", asof])
+    """rows with the product of the ratios of splits after their date (1 without any); both sides are stacked and read by one window."""
+    kind = rows.select(F.struct("*").alias("row")).schema["row"].dataType
+    day = splits.groupBy("ticker", F.col("date").alias("__d")).agg(F.product("ratio").alias("__ratio"))
+    both = day.withColumn("__row", F.lit(None).cast(kind)).unionByName(rows.select("ticker", F.col(asof).alias("__d"), F.lit(1.0).alias("__ratio"), F.struct("*").alias("__row")))
+    after = Window.partitionBy("ticker").orderBy(_by_day("__d")).rangeBetween(1, Window.unboundedFollowing)
+    # A row without a date has nothing after it, nor is it after anything.
+    factor = F.when(F.col("__d").isNull(), 1.0).otherwise(F.coalesce(F.product("__ratio").over(after), F.lit(1.0)))
+    return both.withColumn("split_factor", factor).where("__row is not null").select("__row.*", "split_factor")
 
 
 def fundamentals(facts: DataFrame, splits: DataFrame) -> DataFrame:
-    """One row per ticker and flow period end: trailing sums, a year before, latest snapshots, adjusted shares."""
-    first = first_filed(facts)
-    t = year_before(ttm(quarterly(first)))
-    flows = t.groupBy("ticker", "period_end").pivot("concept", list(FLOWS)).agg(F.first("ttm").alias("ttm"), F.first("ttm_prior").alias("prior"), F.first("asof").alias("asof"))
-    snaps = first.where(F.col("concept").isin(*SNAPSHOTS) & F.col("period_start").isNull()).groupBy("ticker", F.col("period_end").alias("snap_end")).pivot("concept", list(SNAPSHOTS)).agg(F.first("value").alias("v"), F.first("filed").alias("f"))
-    # The columns of a snapshot date may be missing one by one.
-    d = as_of(flows, snaps, "ticker", "period_end", "snap_end", [f"{c}_{x}" for c in SNAPSHOTS for x in "vf"], [], each=True)
-    asof = F.greatest(*[F.col(f"{c}_asof") for c in FLOWS], *[F.col(f"{c}_f") for c in SNAPSHOTS])
-    d = d.select("ticker", "period_end", asof.alias("asof_date"), *[F.col(f"{c}_ttm").alias(f"ttm_{c}") for c in FLOWS], *[F.col(f"{c}_prior").alias(f"ttm_{c}_prior") for c in FLOWS], *[F.col(f"{c}_v").alias("shares" if c == "shares" else f"mrq_{c}") for c in SNAPSHOTS])
+    """One row per ticker and flow period end: trailing sums, a year before, latest snapshots, adjusted shares.
+
+    Facts are dealt by ticker once. All windows below, and the pivot, partition by the ticker and
+    more, so that they need no exchange of their own.
+    """
+    t = year_before(ttm(quarterly(first_filed(facts.repartition("ticker")), SNAPSHOTS)))
+    # Flows and snapshots of a ticker meet in one row a period end.
+    of = lambda c, x: F.first(F.when(F.col("concept") == c, F.col(x)), ignorenulls=True)
+    wide = t.groupBy("ticker", "period_end").agg(*[of(c, x).alias(f"{c}_{x}") for c in FLOWS for x in ("ttm", "ttm_prior", "asof")], *[of(c, x).alias(f"{c}_{x}") for c in SNAPSHOTS for x in ("ttm", "asof")])
+    # The columns of a snapshot date may be missing one by one: each is carried forward by itself.
+    so_far = Window.partitionBy("ticker").orderBy("period_end").rowsBetween(Window.unboundedPreceding, 0)
+    d = wide.withColumns({f"{c}_{x}": F.last(f"{c}_{x}", ignorenulls=True).over(so_far) for c in SNAPSHOTS for x in ("ttm", "asof")})
+    asof = F.greatest(*[F.col(f"{c}_asof") for c in (*FLOWS, *SNAPSHOTS)])
+    d = d.select("ticker", "period_end", asof.alias("asof_date"), *[F.col(f"{c}_ttm").alias(f"ttm_{c}") for c in FLOWS], *[F.col(f"{c}_ttm_prior").alias(f"ttm_{c}_prior") for c in FLOWS], *[F.col(f"{c}_ttm").alias("shares" if c == "shares" else f"mrq_{c}") for c in SNAPSHOTS])
     d = split_factor(d.dropna(how="all", subset=[f"ttm_{c}" for c in FLOWS]), splits, "asof_date")
     return d.withColumn("shares_adj", F.col("shares") * F.col("split_factor")).drop("split_factor")
 
@@ -105,8 +158,15 @@ def attach_fundamentals(panel: DataFrame, fund: DataFrame) -> DataFrame:
 QUALITY = {"debt_to_equity": (1, 10.0), "current_ratio": (-1, 0.3), "sales_growth_yoy": (-1, -0.5), "insider_net_dollar_60d": (-1, -50_000_000.0)}
 
 
-def quality_filter(df: DataFrame, limits: dict[str, tuple[int, float]] = QUALITY) -> DataFrame:
+def passes(columns: list[str], limits: dict[str, tuple[int, float]] = QUALITY, min_roa: float | None = None) -> Column:
+    """Whether a row keeps within the limits of those columns that are there."""
+    limits = limits | ({"roa": (-1, min_roa)} if min_roa is not None else {})
+    ok = F.lit(True)
     for col, (sign, limit) in limits.items():
-        if col in df.columns:
-            df = df.where(~F.coalesce(F.col(col) > limit if sign > 0 else F.col(col) < limit, F.lit(False)))
-    return df
+        if col in columns:
+            ok = ok & ~F.coalesce(F.col(col) > limit if sign > 0 else F.col(col) < limit, F.lit(False))
+    return ok
+
+
+def quality_filter(df: DataFrame, limits: dict[str, tuple[int, float]] = QUALITY, min_roa: float | None = None) -> DataFrame:
+    return df.where(passes(df.columns, limits, min_roa))

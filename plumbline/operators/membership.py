@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.windows import by_key, pct_rank
+from plumbline.functions.windows import by_key, clean_ticker, pct_rank
 
 
 def intervals(membership: DataFrame) -> DataFrame:
@@ -32,12 +32,41 @@ def tickers_since(membership: DataFrame, since: str) -> DataFrame:
     return membership.where(F.col("date") >= F.lit(since).cast("date")).select("ticker").distinct()
 
 
+def from_lists(lists: DataFrame) -> DataFrame:
+    """date, tickers (comma list of all members from that date on) to one row a member; codes as `clean_ticker` writes them."""
+    return lists.select("date", F.explode(F.split("tickers", ",")).alias("ticker")).select("date", clean_ticker(F.col("ticker")).alias("ticker")).where("ticker <> ''").distinct()
+
+
 def append_snapshot(membership: DataFrame, today: DataFrame, day: str) -> DataFrame:
-    """membership with today's tickers as a snapshot of that day, if the day is past the last authoritative one."""
+    """membership (date, ticker, synthetic) with today's tickers as a synthetic snapshot of that day, if the day is past the last authoritative one.
+
+    A snapshot that is already there for that day, from an earlier run, is replaced; synthetic ones of other days stay.
+    """
     d = F.lit(day).cast("date")
-    late = membership.agg((F.max("date") < d).alias("late"))
-    new = today.select(d.alias("date"), "ticker").crossJoin(F.broadcast(late)).where("late").drop("late")
-    return membership.where(F.col("date") != d).unionByName(new).unionByName(membership.where(F.col("date") == d).join(F.broadcast(late.where("not late")), F.lit(True), "left_semi"))
+    late = membership.agg(F.coalesce(F.max(F.when(~F.col("synthetic"), F.col("date"))) < d, F.lit(True)).alias("late"))
+    marked = membership.select("date", "ticker", "synthetic").crossJoin(F.broadcast(late))
+    new = today.select(d.alias("date"), clean_ticker(F.col("ticker")).alias("ticker"), F.lit(True).alias("synthetic")).distinct().crossJoin(F.broadcast(late))
+    return marked.where(~F.col("late") | (F.col("date") != d)).unionByName(new.where("late")).drop("late")
+
+
+def sector_dimension(raw: DataFrame, as_of: str) -> DataFrame:
+    """The scraped roster (Symbol, Security, GICS Sector, GICS Sub-Industry, more) as ticker, security, gics_sector, gics_sub_industry, as_of."""
+    return raw.select(clean_ticker(F.col("Symbol")).alias("ticker"), F.col("Security").alias("security"), F.col("GICS Sector").alias("gics_sector"), F.col("GICS Sub-Industry").alias("gics_sub_industry"), F.lit(as_of).cast("date").alias("as_of"))
+
+
+def cik_map(raw: DataFrame) -> DataFrame:
+    """payload: a JSON object of numbered entries {cik_str, ticker}. ticker and its ten-digit cik; of a ticker's entries the first wins."""
+    entries = raw.select(F.explode(F.from_json("payload", "map<string, struct<cik_str: string, ticker: string>>")).alias("no", "e"))
+    d = entries.select(F.expr("try_cast(no as int)").alias("no"), clean_ticker(F.upper("e.ticker")).alias("ticker"), F.lpad("e.cik_str", 10, "0").alias("cik"))
+    w = Window.partitionBy("ticker").orderBy("no", "cik")
+    return d.withColumn("__r", F.row_number().over(w)).where("__r = 1").select("ticker", "cik")
+
+
+def summary(membership: DataFrame) -> DataFrame:
+    """n_snapshots, n_synthetic, n_tickers, first_date, last_date and the size of the latest snapshot."""
+    dates = membership.groupBy("date").agg(F.count("*").alias("n"), F.max("synthetic").alias("synthetic"))
+    d = dates.agg(F.count("*").alias("n_snapshots"), F.count_if("synthetic").alias("n_synthetic"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.max_by("n", "date").alias("n_latest"))
+    return d.crossJoin(F.broadcast(membership.agg(F.countDistinct("ticker").alias("n_tickers"))))
 
 
 def with_sector(panel: DataFrame, sectors: DataFrame) -> DataFrame:
@@ -61,8 +90,20 @@ def label(panel: DataFrame, horizon: int = 21, clip: float = 0.5) -> DataFrame:
     return d.withColumn("forward_21d_return_demeaned", F.col("forward_21d_return") - F.avg("forward_21d_return").over(Window.partitionBy("date")))
 
 
-def time_split(panel: DataFrame, train_end: str = "1998-12-31", test_start: str = "2000-01-01") -> DataFrame:
-    return panel.withColumn("split", F.when(F.col("date") <= train_end, "train").when(F.col("date") < test_start, "val").otherwise("test"))
+def time_split(panel: DataFrame, train_end: str = "1998-12-31", test_start: str = "2000-01-01", test_end: str | None = None) -> DataFrame:
+    """`split`: train, val or test; rows after test_end belong to none and go."""
+    d = panel.where(F.col("date") <= test_end) if test_end else panel
+    return d.withColumn("split", F.when(F.col("date") <= train_end, "train").when(F.col("date") < test_start, "val").otherwise("test"))
+
+
+def matrix(panel: DataFrame, features: list[str], target: str) -> DataFrame:
+    """The feature columns and the target `y`, row by row."""
+    return panel.select(*features, F.col(target).alias("y"))
+
+
+def tail(panel: DataFrame, ticker: str, n: int = 5) -> DataFrame:
+    """The last n rows of one ticker."""
+    return panel.where(F.col("ticker") == ticker).orderBy(F.desc("date")).limit(n)
 
 
 def valid_rows(panel: DataFrame, required: list[str], start: str | None = None) -> DataFrame:
@@ -70,10 +111,29 @@ def valid_rows(panel: DataFrame, required: list[str], start: str | None = None)
     return d.where(F.col("date") >= start) if start else d
 
 
-def coverage(bars: DataFrame, as_of: str, least: int = 500) -> DataFrame:
-    """Rows, last date and state of each ticker: short, fresh (last date at most a day old) or stale."""
+def coverage(bars: DataFrame, as_of: str, least: int = 500, held: DataFrame | None = None, wanted: DataFrame | None = None) -> DataFrame:
+    """Rows, last date and state of each ticker after a refresh.
+
+    held: the bars before it; wanted: the tickers asked for. failed: no bars; short: fewer than `least`;
+    fresh: held bars end a day before as_of at most, or nothing came; updated: held bars got later ones; new: nothing was held.
+    Without held, a ticker whose last bar is older than that is stale.
+    """
     d = bars.groupBy("ticker").agg(F.count("*").alias("n_rows"), F.max("date").alias("last_date"))
-    return d.withColumn("status", F.when(F.col("n_rows") < least, "short").when(F.col("last_date") >= F.date_sub(F.lit(as_of).cast("date"), 1), "fresh").otherwise("stale"))
+    if wanted is not None:
+        d = wanted.select("ticker").distinct().join(d, "ticker", "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
+    edge = F.date_sub(F.lit(as_of).cast("date"), 1)
+    lacking = F.when(F.col("n_rows") == 0, "failed").when(F.col("n_rows") < least, "short")
+    if held is None:
+        return d.withColumn("status", lacking.when(F.col("last_date") >= edge, "fresh").otherwise("stale"))
+    d = d.join(held.groupBy("ticker").agg(F.max("date").alias("held_to")), "ticker", "left")
+    state = lacking.when(F.col("held_to").isNull(), "new").when((F.col("held_to") >= edge) | (F.col("last_date") <= F.col("held_to")), "fresh").otherwise("updated")
+    return d.withColumn("status", state).drop("held_to")
+
+
+def staleness(panel: DataFrame, as_of: str, most: int = 7) -> DataFrame:
+    """last_date, days_old and whether that is more than `most` days."""
+    d = panel.agg(F.max("date").alias("last_date")).withColumn("days_old", F.datediff(F.lit(as_of).cast("date"), "last_date"))
+    return d.withColumn("stale", F.col("days_old") > most)
 
 
 def with_history(bars: DataFrame, least: int = 500) -> DataFrame:
@@ -93,4 +153,5 @@ def null_counts(df: DataFrame, top: int = 10) -> DataFrame:
 
 
 def seeded_sample(df: DataFrame, n: int, seed: int, keys: tuple[str, ...] = ("ticker", "date")) -> DataFrame:
-    return df.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(n)
+    """n rows, the same on each run: those of lowest MD5 of key and seed."""
+    return df.orderBy(F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed)))), *keys).limit(n)

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.scratch import written
 from plumbline.functions.windows import pct_rank
+from plumbline.operators.fundamentals import QUALITY, passes, quality_filter
 
 
 def rank_metrics(scored: DataFrame, y: str, p: str, n: int, by: tuple[str, ...] = ("split",)) -> DataFrame:
@@ -47,30 +49,47 @@ def exposure(vol, target: float = 0.20):
     return F.when(vol.isNull() | (vol <= 0), 1.0).otherwise(F.least(F.lit(1.0), target / F.nullif(vol, F.lit(0.0))))
 
 
-def backtest(panel: DataFrame, market: DataFrame, n: int = 40, hold: int = 21, cost: float = 0.0005, target: float = 0.20, mode: str = "equal") -> DataFrame:
+def backtest(panel: DataFrame, market: DataFrame, n: int = 40, hold: int = 21, cost: float = 0.0005, target: float = 0.20, mode: str = "equal", eligible: Column | None = None) -> DataFrame:
     """variant, offset, date, nav, exposure, holdings for the overlay and raw variants and all shifted starts.
 
-    panel: date, ticker, predicted_return, ret_1d of the test dates. market: date, spy_vol_20d. The day's return goes to the old weights; then
-    the basket of a rebalance day replaces them and its turnover is charged.
+    panel: date, ticker, predicted_return, ret_1d of the test dates. market: date, spy_vol_20d. eligible: which rows may be picked. The day's
+    return goes to the old weights; then the basket of a rebalance day replaces them and its turnover is charged.
+
+    Each date is the rebalance day of one shifted start. So a date's basket, what it earns on each day
+    that it may be held, and its turnover against the basket `hold` dates before belong to the date
+    alone: they are worked out once, in tables of dates x hold rows, and the starts only pick from them.
     """
+    panel = written(panel.select("date", "ticker", "predicted_return", "ret_1d", (F.lit(True) if eligible is None else F.coalesce(eligible, F.lit(False))).alias("eligible")), "backtest-panel")
+    # One row a date: the unpartitioned window is over the calendar, not the panel.
     dates = panel.select("date").distinct().withColumn("i", F.row_number().over(Window.orderBy("date")) - 1)
-    sched = dates.select("date", "i", F.explode(F.sequence(F.lit(0), F.lit(hold - 1))).alias("offset"))
-    turns = sched.where((F.col("i") >= F.col("offset")) & ((F.col("i") - F.col("offset")) % hold == 0)).withColumn("turn", ((F.col("i") - F.col("offset")) / hold).cast("int"))
-    variants = turns.select("*", F.explode(F.array(F.lit("overlay"), F.lit("raw"))).alias("variant")).join(F.broadcast(market.select("date", "spy_vol_20d")), "date", "left")
-    variants = variants.withColumn("exposure", F.when(F.col("variant") == "raw", 1.0).otherwise(exposure(F.col("spy_vol_20d"), target))).drop("spy_vol_20d")
-    basket = weighted(top_picks(panel, n), mode).select("date", "ticker", "weight")
-    held = variants.join(basket, "date").withColumn("w", F.col("weight") * F.col("exposure")).select("variant", "offset", "turn", "i", "ticker", "w")
-    before = held.select("variant", "offset", (F.col("turn") + 1).alias("turn"), "ticker", F.col("w").alias("old"))
-    change = held.drop("i").join(before, ["variant", "offset", "turn", "ticker"], "full").groupBy("variant", "offset", "turn").agg(F.sum(F.abs(F.coalesce("w", F.lit(0.0)) - F.coalesce("old", F.lit(0.0)))).alias("turnover"))
-    days = panel.join(dates, "date").select("ticker", F.col("i").alias("day"), "ret_1d")
-    earned = held.select("*", F.explode(F.sequence(F.col("i") + 1, F.col("i") + hold)).alias("day")).join(days, ["ticker", "day"]).groupBy("variant", "offset", "day").agg(F.sum(F.col("w") * F.coalesce("ret_1d", F.lit(0.0))).alias("r"))
-    names = held.where("offset = 0").groupBy("variant", "offset", "turn").agg(F.array_join(F.array_sort(F.collect_list("ticker")), ",").alias("holdings"))
-    at = sched.select("*", F.explode(F.array(F.lit("overlay"), F.lit("raw"))).alias("variant")).withColumn("turn", F.floor((F.col("i") - F.col("offset")) / hold).cast("int"))
-    d = at.join(earned.withColumnRenamed("day", "i"), ["variant", "offset", "i"], "left").join(variants.select("variant", "offset", "turn", "i", F.lit(1).alias("new")), ["variant", "offset", "turn", "i"], "left")
-    d = d.join(change, ["variant", "offset", "turn"], "left").join(variants.select("variant", "offset", "turn", "exposure"), ["variant", "offset", "turn"], "left").join(names, ["variant", "offset", "turn"], "left")
-    step = (1 + F.coalesce("r", F.lit(0.0))) * F.when(F.col("new") == 1, 1 - F.coalesce("turnover", F.lit(0.0)) * cost).otherwise(1.0)
+    dates = written(dates.join(market.select("date", "spy_vol_20d"), "date", "left").withColumn("x", exposure(F.col("spy_vol_20d"), target)).select("date", "i", "x"), "backtest-dates")
+    basket = weighted(top_picks(panel.where("eligible"), n), mode).select("date", "ticker", "weight")
+    d = panel.drop("eligible", "predicted_return").join(F.broadcast(dates), "date").join(basket, ["date", "ticker"], "left")
+    # What a ticker returns on a day goes to those of its baskets that are still held then.
+    near = Window.partitionBy("ticker").orderBy("i")
+    held_by = F.collect_list(F.when(F.col("weight").isNotNull(), F.struct("i", "weight"))).over(near.rangeBetween(-hold, -1))
+    earned = d.withColumn("held_by", held_by).select(F.col("i").alias("day"), F.coalesce("ret_1d", F.lit(0.0)).alias("r"), F.explode("held_by").alias("b")).groupBy(F.col("b.i").alias("at"), "day").agg(F.sum(F.col("b.weight") * F.col("r")).alias("r"))
+    # A name's weight changes on a date where it is in this basket, or was in the one before.
+    w = d.where("weight is not null").select("i", "ticker", "weight", "x")
+    change = w.select("i", "ticker", "weight", "x", F.lit(0.0).alias("weight0"), F.lit(0.0).alias("x0")).unionByName(w.select((F.col("i") + hold).alias("i"), "ticker", F.lit(0.0).alias("weight"), F.lit(0.0).alias("x"), F.col("weight").alias("weight0"), F.col("x").alias("x0")))
+    change = change.groupBy("i", "ticker").agg(*[F.sum(c).alias(c) for c in ("weight", "x", "weight0", "x0")])
+    moved = lambda a, b: F.sum(F.abs(a - b))
+    turnover = change.groupBy("i").agg(moved(F.col("weight"), F.col("weight0")).alias("raw"), moved(F.col("weight") * F.col("x"), F.col("weight0") * F.col("x0")).alias("overlay"))
+    names = d.where("weight is not null").groupBy("i").agg(F.array_join(F.array_sort(F.collect_list("ticker")), ",").alias("holdings"))
+    earned, day = written(earned, "backtest-earned"), written(dates.join(turnover, "i", "left").join(names, "i", "left"), "backtest-days")
+    starts = dates.select("date", "i", F.explode(F.sequence(F.lit(0), F.lit(hold - 1))).alias("offset"))
+    gone = F.pmod(F.col("i") - F.col("offset") - 1, F.lit(hold))  # dates since the day after the last rebalance
+    at = F.col("i") - gone - 1
+    starts = starts.withColumn("at", F.when(at >= F.col("offset"), at)).withColumn("now", F.when(F.col("i") >= F.col("offset"), F.col("i") - F.pmod(F.col("i") - F.col("offset"), F.lit(hold))))
+    s = starts.join(earned.withColumnRenamed("day", "i"), ["at", "i"], "left")
+    s = s.join(day.select(F.col("i").alias("at"), F.col("x").alias("held_x")), "at", "left").join(day.select(F.col("i").alias("now"), "x", "raw", "overlay", "holdings"), "now", "left")
+    new, r = F.col("now") == F.col("i"), F.coalesce("r", F.lit(0.0))
+    step = lambda r, turn: (1 + r) * F.when(new, 1 - F.coalesce(turn, F.lit(0.0)) * cost).otherwise(1.0)
+    curve = lambda v, r, turn, x: F.struct(F.lit(v).alias("variant"), step(r, turn).alias("step"), F.when(F.col("now").isNull(), 0.0).otherwise(x).alias("exposure"))
+    both = F.array(curve("overlay", r * F.coalesce("held_x", F.lit(1.0)), F.col("overlay"), F.col("x")), curve("raw", r, F.col("raw"), F.lit(1.0)))
+    d = s.select("offset", "date", F.when(F.col("offset") == 0, F.coalesce("holdings", F.lit(""))).otherwise("").alias("holdings"), F.inline(both))
     w = Window.partitionBy("variant", "offset").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    return d.withColumn("nav", F.product(step).over(w)).select("variant", "offset", "date", "nav", F.coalesce("exposure", F.lit(0.0)).alias("exposure"), F.coalesce("holdings", F.lit("")).alias("holdings"))
+    return d.select("variant", "offset", "date", F.product("step").over(w).alias("nav"), "exposure", "holdings")
 
 
 def performance(nav: DataFrame, by: tuple[str, ...] = ("variant", "offset")) -> DataFrame:
@@ -93,6 +112,66 @@ def buy_and_hold(market: DataFrame, start: str, end: str | None = None) -> DataF
     return d.withColumn("nav", F.product(1 + F.coalesce("spy_ret_1d", F.lit(0.0))).over(Window.partitionBy("__m").orderBy("date").rowsBetween(Window.unboundedPreceding, 0))).select("date", "nav")
 
 
+def time_in_market(nav: DataFrame) -> DataFrame:
+    """variant, time_in_market, avg_exposure: means over the days of each start, then over the starts. Days before a start's first basket count as out."""
+    per = nav.groupBy("variant", "offset").agg(F.avg((F.col("exposure") > 0).cast("double")).alias("t"), F.avg("exposure").alias("e"))
+    return per.groupBy("variant").agg(F.avg("t").alias("time_in_market"), F.avg("e").alias("avg_exposure"))
+
+
+def stats_report(nav: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """A row for each variant, of the mean of its starts, and one for the benchmark, up to the last day of the variants.
+
+    cagr, vol, sharpe, max_drawdown, final_nav, time_in_market, avg_exposure, offset_cagr_min, offset_cagr_max, end_date.
+    """
+    mean = nav.groupBy("variant", "date").agg(F.avg("nav").alias("nav"))
+    end = nav.agg(F.max("date").alias("end_date"))
+    clipped = benchmark.crossJoin(F.broadcast(end)).where(F.col("date") <= F.col("end_date")).select(F.lit("benchmark").alias("variant"), "date", "nav")
+    stats = performance(mean.unionByName(clipped), by=("variant",))
+    starts = performance(nav).groupBy("variant").agg(F.min("cagr").alias("offset_cagr_min"), F.max("cagr").alias("offset_cagr_max"))
+    return stats.join(time_in_market(nav), "variant", "left").join(starts, "variant", "left").crossJoin(F.broadcast(end))
+
+
+def nav_table(nav: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """date, spy, raw, overlay, overlay_p10, overlay_p90 and the names held by the starts at offset 0, for each date of either side."""
+    band = offset_band(nav)
+    of = lambda v, c: F.max(F.when(F.col("variant") == v, F.col(c)))
+    bands = band.groupBy("date").agg(of("raw", "mean_nav").alias("raw"), of("overlay", "mean_nav").alias("overlay"), of("overlay", "p10").alias("overlay_p10"), of("overlay", "p90").alias("overlay_p90"))
+    names = nav.where("offset = 0").groupBy("date").agg(of("overlay", "holdings").alias("overlay_picks"), of("raw", "holdings").alias("raw_picks"))
+    return benchmark.select("date", F.col("nav").alias("spy")).join(bands, "date", "full").join(names, "date", "full")
+
+
+def live_picks(scored: DataFrame, market: DataFrame, n: int = 40, mode: str = "equal", target: float = 0.20, limits: dict | None = None, score: str = "predicted_return") -> DataFrame:
+    """date, ticker, score, weight of the latest scored date: quality filter, best n, weights times the exposure of the latest market row. No exposure, no picks."""
+    latest = scored.where(F.col(score).isNotNull()).agg(F.max("date").alias("date"))
+    today = quality_filter(scored.where(F.col(score).isNotNull()).join(F.broadcast(latest), "date", "left_semi"), QUALITY if limits is None else limits)
+    now = market.agg(F.max_by("spy_vol_20d", "date").alias("vol")).select(exposure(F.col("vol"), target).alias("__x"))
+    p = weighted(top_picks(today, n, score), mode, score).crossJoin(F.broadcast(now)).where("__x > 0")
+    return p.select("date", "ticker", score, (F.col("weight") * F.col("__x")).alias("weight"))
+
+
+def basket_mean(picks: DataFrame, score: str = "predicted_return") -> DataFrame:
+    return picks.groupBy("date").agg(F.count("*").alias("n"), F.avg(score).alias("mean_prediction"))
+
+
+def picks_before(picks: DataFrame, day: str | None = None) -> DataFrame:
+    """The picks of the latest date strictly before a day (by default before the picks' own latest)."""
+    dates = picks.select("date").distinct()
+    edge = F.lit(day).cast("date") if day else None
+    if edge is None:
+        last = dates.agg(F.max("date").alias("__last"))
+        dates = dates.crossJoin(F.broadcast(last)).where("date < __last")
+    else:
+        dates = dates.where(F.col("date") < edge)
+    return picks.join(F.broadcast(dates.agg(F.max("date").alias("date"))), "date", "left_semi")
+
+
+def filter_hits(df: DataFrame, limits: dict | None = None) -> DataFrame:
+    """n_before, n_after of the quality filter and the share it drops, in one pass."""
+    kept = passes(df.columns, QUALITY if limits is None else limits)
+    d = df.agg(F.count("*").alias("n_before"), F.count_if(kept).alias("n_after"))
+    return d.withColumn("dropped", (F.col("n_before") - F.col("n_after")) / F.nullif(F.col("n_before"), F.lit(0)))
+
+
 def picks_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     b, a = before.select("ticker", F.lit(1).alias("b")), after.select("ticker", F.lit(1).alias("a"))
     return b.join(a, "ticker", "full").select("ticker", F.when(F.col("a").isNull(), "SELL").when(F.col("b").isNull(), "BUY").otherwise("HOLD").alias("action"))

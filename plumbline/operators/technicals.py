@@ -63,16 +63,20 @@ def technicals(bars: DataFrame) -> DataFrame:
     return exponential_technicals(rolling_technicals(bars))
 
 
-def spy_returns(market: DataFrame) -> DataFrame:
-    """Returns on the market's own calendar; one row per date, so the unpartitioned window is small."""
+def spy_returns(market: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Returns on the market's own calendar; one row per date (and keys), so the unpartitioned window is small."""
     m = market.where("spy_close is not null").withColumn("__m", F.lit(0))
-    r = lambda n: F.col("spy_close") / F.lag("spy_close", n).over(by_key("__m")) - 1
-    return m.select("date", r(1).alias("spy_1d"), r(5).alias("spy_5d"), r(21).alias("spy_21d"))
+    w = Window.partitionBy("__m", *keys).orderBy("date")
+    r = lambda n: F.col("spy_close") / F.lag("spy_close", n).over(w) - 1
+    return m.select("date", *keys, r(1).alias("spy_1d"), r(5).alias("spy_5d"), r(21).alias("spy_21d"))
 
 
-def market_context(bars: DataFrame, market: DataFrame) -> DataFrame:
-    """beta_60d and excess returns; market returns are aligned to the ticker's dates by a left join."""
-    d = bars.join(spy_returns(market), "date", "left").withColumns({f"ret_{n}d": ret(n) for n in (1, 5, 21)})
+def market_context(bars: DataFrame, market: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """beta_60d and excess returns; market returns are aligned to the ticker's dates by a left join.
+
+    keys: columns by which both tables hold several calendars side by side. The market has a row a date: it is broadcast.
+    """
+    d = bars.join(F.broadcast(spy_returns(market, keys)), ["date", *keys], "left").withColumns({f"ret_{n}d": ret(n) for n in (1, 5, 21)})
     both = F.when(F.col("ret_1d").isNotNull() & F.col("spy_1d").isNotNull(), F.lit(1))
     w = by_key().rowsBetween(-59, 0)
     cov = F.when(F.count(both).over(w) == 60, F.covar_samp("ret_1d", "spy_1d").over(w))
@@ -80,9 +84,9 @@ def market_context(bars: DataFrame, market: DataFrame) -> DataFrame:
     return d.withColumns({"beta_60d": beta, "excess_ret_5d": F.col("ret_5d") - F.col("spy_5d"), "excess_ret_21d": F.col("ret_21d") - F.col("spy_21d")}).drop("spy_1d", "spy_5d", "spy_21d")
 
 
-def features(bars: DataFrame, market: DataFrame) -> DataFrame:
+def features(bars: DataFrame, market: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """All per-ticker features."""
-    return technicals(market_context(bars, market))
+    return technicals(market_context(bars, market, keys))
 
 
 def regime(market: DataFrame) -> DataFrame:

@@ -9,13 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions.windows import business_days_after
-from plumbline.operators import audit, events, fundamentals, membership, portfolio, technicals
-from plumbline.plans import model
+from plumbline.functions.scratch import written
+from plumbline.functions.windows import dotted_ticker
+from plumbline.operators import events, fundamentals, membership, portfolio, short_interest, technicals
 from plumbline.sources.bindings import bind, with_tables
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+#: Each statement before its tables are filled in, so that others may build on it.
+RAW: dict[str, tuple[str, dict[str, str]]] = {}
 N, DAY = 5, "1999-06-30"
 
 
@@ -23,6 +25,7 @@ def query(sql: str | None = None, **more: str):
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
+            RAW[f.__name__] = sql, more
             SQL[f.__name__] = with_tables(sql, **(TABLES | more))
         return f
 
@@ -54,6 +57,16 @@ TABLES = {
     "tech": """select ticker, date, close, ret_1d, ret_5d, ret_21d, ret_63d, s20 * sqrt(252) as vol_20d, s60 * sqrt(252) as vol_60d, volume / nullif(v20, 0) as vol_ratio, close / m50 - 1 as dist_sma50, close / m200 - 1 as dist_sma200,
                close / hi - 1 as dist_52w_high, case when m50 > m200 then 1.0 else 0.0 end as trend_regime, (close - m20) / nullif(c20, 0) as zscore_20d, (close - m60) / nullif(c60, 0) as zscore_60d,
                case when down > 0 then 100 - 100 / (1 + up / down) when up > 0 then 100.0 end as mfi_14 from {tech0}""",
+    "steps": """select ticker, date, close, rn, greatest(close - lag(close) over w, 0) as g0, case when rn > 1 then greatest(close - lag(close) over w, 0) end as g, case when rn > 1 then greatest(lag(close) over w - close, 0) end as l,
+             case when rn = 1 then high - low else greatest(high - low, abs(high - lag(close) over w), abs(low - lag(close) over w)) end as tr from {rets} window w as (partition by ticker order by date)""",
+    "ewm": """select ticker, date, rn, close, cast(null as double) as mg, cast(null as double) as ml, close as fast, close as slow, cast(0 as double) as sig, tr as atr from {steps} where rn = 1 union all
+           select s.ticker, s.date, s.rn, s.close, case when e.mg is null then s.g else e.mg * 13 / 14 + s.g / 14 end, case when e.ml is null then s.l else e.ml * 13 / 14 + s.l / 14 end,
+                  e.fast * 11 / 13 + s.close * 2 / 13, e.slow * 25 / 27 + s.close * 2 / 27, e.sig * 0.8 + 0.2 * ((e.fast * 11 / 13 + s.close * 2 / 13) - (e.slow * 25 / 27 + s.close * 2 / 27)), e.atr * 13 / 14 + s.tr / 14
+           from ewm e join {steps} s on s.ticker = e.ticker and s.rn = e.rn + 1""",
+    "exponential": "select ticker, date, case when ml > 0 then 100 - 100 / (1 + mg / ml) when mg > 0 then 100.0 end as rsi_14, fast - slow - sig as macd_hist, atr / close as atr_pct from {ewm}",
+    "spyrows": "select date, spy_close - lag(spy_close) over (order by date) as st, row_number() over (order by date) as rn from {spy}",
+    "spyewm": """select date, rn, cast(null as double) as mg, cast(null as double) as ml from {spyrows} where rn = 1 union all
+              select s.date, s.rn, case when e.mg is null then greatest(s.st, 0) else e.mg * 13 / 14 + greatest(s.st, 0) / 14 end, case when e.ml is null then greatest(-s.st, 0) else e.ml * 13 / 14 + greatest(-s.st, 0) / 14 end from spyewm e join {spyrows} s on s.rn = e.rn + 1""",
     "snapdates": "select distinct date from {membership}",
     "inforce": "select b.date, max(s.date) as snap from (select distinct date from {bars}) b join {snapdates} s on s.date <= b.date group by b.date",
     "pit": "select t.* from {tech} t join {inforce} i on i.date = t.date join {membership} m on m.date = i.snap and m.ticker = t.ticker",
@@ -65,7 +78,7 @@ TABLES = {
     "mframe": f"select *, {_roll('stddev_samp', 'r', 20, '')} * sqrt(252) as spy_vol_20d, {_roll('avg', 'spy_close', 200, '')} as sma from (select *, spy_close / lag(spy_close) over (order by date) - 1 as r from {{market}}) q",
     "earn0": "select * from {filings} where form in ('10-K', '10-Q') or (form = '8-K' and list_contains(string_split(items, ','), '2.02'))",
     "earn": "select ticker, accession, report_date, form, form = '8-K' as is_8k from {earn0} e where form = '8-K' or not exists (select 1 from {earn0} k where k.ticker = e.ticker and k.form = '8-K' and k.report_date between e.report_date - interval '60' day and e.report_date)",
-    "trades": """select distinct upper(trim(symbol)) as ticker, filing_date, code as transaction_code, shares, price as price_per_share, round(shares * price, 2) as value
+    "trades": """select distinct upper(trim(symbol)) as ticker, filing_date, transaction_date, code as transaction_code, shares, price as price_per_share, round(shares * price, 2) as value
                  from {insider_raw} where form = '4' and code in ('P', 'S') and ownership = 'D'""",
     "firsts": "select * from (select *, row_number() over (partition by ticker, concept, period_end, period_start order by filed, value) as r from {facts_raw}) q where r = 1",
     "q0": "select * from {firsts} where period_start is not null and date_diff('day', period_start, period_end) + 1 between 80 and 100",
@@ -83,6 +96,10 @@ TABLES = {
     "fund2": "select f.*, " + ", ".join(f"(select s.value from {{snaps}} s where s.ticker = f.ticker and s.concept = '{c}' and s.d <= f.period_end order by s.d desc limit 1) as {'shares' if c == 'shares' else 'mrq_' + c}" for c in fundamentals.SNAPSHOTS)
     + ", greatest(f.flow_asof, (select max(x.filed) from {snaps} x where x.ticker = f.ticker and x.d = (select max(y.d) from {snaps} y where y.ticker = f.ticker and y.d <= f.period_end))) as asof_date from {fund} f",
     "fund3": "select *, shares * coalesce((select product(s.ratio) from {splits} s where s.ticker = f.ticker and s.date > f.asof_date), 1.0) as shares_adj from {fund2} f",
+    "ratios": """select b.ticker, b.date, f.ttm_net_income / case when f.shares_adj * b.close > 0 then f.shares_adj * b.close end as earnings_yield, f.mrq_equity / case when f.shares_adj * b.close > 0 then f.shares_adj * b.close end as book_to_market,
+        f.ttm_net_income / case when f.mrq_assets > 0 then f.mrq_assets end as roa, f.mrq_lt_debt / case when f.mrq_equity > 0 then f.mrq_equity end as debt_to_equity, f.mrq_assets_current / case when f.mrq_liabilities_current > 0 then f.mrq_liabilities_current end as current_ratio,
+        f.ttm_revenue / case when f.ttm_revenue_prior > 0 then f.ttm_revenue_prior end - 1 as sales_growth_yoy, f.ttm_operating_income / case when f.ttm_operating_income_prior > 0 then f.ttm_operating_income_prior end - 1 as op_income_growth_yoy
+        from {bars} b left join lateral (select * from {fund3} f where f.ticker = b.ticker and f.asof_date <= b.date order by f.asof_date desc, f.period_end desc limit 1) f on true""",
     "tdates": "select date, row_number() over (order by date) - 1 as i from (select distinct date from {scored} where date >= date '2000-01-01') q",
     "test": "select s.date, s.ticker, s.predicted_return, s.ret_1d, t.i from {scored} s join {tdates} t on t.date = s.date",
     "basket": f"select date, i, ticker, 1.0 / count(*) over (partition by date) as weight from (select *, row_number() over (partition by date order by predicted_return desc nulls last, ticker) as p from {{test}}) q where p <= {N}",
@@ -106,9 +123,17 @@ def market_scan(spark, d):
     return rounded(_market(spark, d), "date", "spy_close", "vix_close")
 
 
-@query("select ticker, count(*) as n_rows, max(date) as last_date, case when count(*) < 500 then 'short' when max(date) >= date '2001-10-31' then 'fresh' else 'stale' end as status from {bars} group by ticker")
+@query(
+    """select w.ticker, coalesce(b.n, 0) as n_rows, b.last_date, case when coalesce(b.n, 0) = 0 then 'failed' when b.n < 500 then 'short' when h.last_date is null then 'new' when h.last_date >= date '2001-10-31' or b.last_date <= h.last_date then 'fresh' else 'updated' end as status
+       from {wanted} w left join (select ticker, count(*) as n, max(date) as last_date from {bars} group by ticker) b on b.ticker = w.ticker left join (select ticker, max(date) as last_date from {held_bars} group by ticker) h on h.ticker = w.ticker""",
+    wanted="select cast(s_suppkey as string) as ticker from {supplier} union select cast(s_suppkey + 100000000 as string) from {supplier} where s_suppkey <= 3",
+    held_bars="select * from {bars} where date < date '2001-11-10' and cast(ticker as int) % 3 <> 0",
+)
 def coverage_report(spark, d):
-    return membership.coverage(bind(spark, d, "bars"), "2001-11-01")
+    bars, s = bind(spark, d, "bars"), bind(spark, d, "supplier")
+    held = bars.where("date < '2001-11-10' and cast(ticker as int) % 3 <> 0")
+    wanted = s.select(F.explode(F.when(F.col("s_suppkey") <= 3, F.array("s_suppkey", F.col("s_suppkey") + 100000000)).otherwise(F.array("s_suppkey"))).alias("k")).select(F.col("k").cast("string").alias("ticker"))
+    return membership.coverage(bars, "2001-11-01", held=held, wanted=wanted)
 
 
 @query("select ticker, date, round(close, 6) as close, close > 0 as late from {bars} where date >= date '2000-06-01' union all select ticker, date, round(close, 6), false from {bars} where date < date '2000-06-01'")
@@ -134,10 +159,30 @@ def tickers_since_day(spark, d):
     return membership.tickers_since(bind(spark, d, "membership"), DAY)
 
 
-@query("select date, ticker from {membership} union all select date '2030-01-01', ticker from {membership} where date = (select max(date) from {membership})")
+@query("select date, ticker, false as synthetic from {membership} union all select date '2029-12-31', ticker, true from {membership} where date = (select min(date) from {membership}) union all select date '2030-01-01', ticker, true from {membership} where date = (select max(date) from {membership})")
 def snapshot_append(spark, d):
-    m = bind(spark, d, "membership")
-    return membership.append_snapshot(m, membership.members_on(m, "2029-12-31"), "2030-01-01")
+    m = written(bind(spark, d, "membership").withColumn("synthetic", F.lit(False)), "membership")
+    first, last = (membership.members_on(m, day) for day in (str(m.agg(F.min("date")).first()[0]), "2100-01-01"))
+    m = membership.append_snapshot(m, first, "2029-12-31")
+    m = membership.append_snapshot(m, first, "2030-01-01")
+    m = membership.append_snapshot(m, last, "2030-01-01")  # a second run on that day replaces the first
+    return membership.append_snapshot(m, first, "1999-06-30")  # inside the authoritative range: nothing changes
+
+
+@query("select cast(s_suppkey as string) || '-B' as ticker, s_name as security, r_name as gics_sector, n_name as gics_sub_industry, date '2001-01-01' as as_of from {supplier} join {nation} on s_nationkey = n_nationkey join {region} on n_regionkey = r_regionkey")
+def sector_roster(spark, d):
+    s, n, r = (bind(spark, d, x) for x in ("supplier", "nation", "region"))
+    raw = s.join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey).select(F.concat(F.col("s_suppkey").cast("string"), F.lit(".B ")).alias("Symbol"), F.col("s_name").alias("Security"), F.col("r_name").alias("GICS Sector"), F.col("n_name").alias("GICS Sub-Industry"), "s_nationkey")
+    return membership.sector_dimension(raw, "2001-01-01")
+
+
+@query("select ticker, replace(ticker, '-', '.') as dotted, lpad(cast(min(s_suppkey) as varchar), 10, '0') as cik from (select 'T' || cast(s_nationkey as varchar) || '-' || chr(cast(65 + s_suppkey % 2 as int)) as ticker, s_suppkey from {supplier}) q group by ticker")
+def ticker_ciks(spark, d):
+    s = bind(spark, d, "supplier").select("s_suppkey", F.format_string("t%d.%s", "s_nationkey", F.when(F.col("s_suppkey") % 2 == 0, "a").otherwise("b")).alias("ticker"))
+    # The registry is one JSON object; here one a nation, whose entries are numbered by key.
+    entry = F.struct(F.col("s_suppkey").cast("string").alias("no"), F.struct(F.col("s_suppkey").cast("string").alias("cik_str"), "ticker").alias("e"))
+    raw = s.groupBy(F.regexp_extract("ticker", "^t(\\d+)", 1)).agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("payload"))
+    return membership.cik_map(raw).select("ticker", dotted_ticker(F.col("ticker")).alias("dotted"), "cik")
 
 
 @query("select s.ticker, s.security, s.gics_sector, s.gics_sub_industry from {sectors} s where s.ticker in (select ticker from {membership} where date = (select max(date) from {membership}))")
@@ -148,7 +193,7 @@ def current_universe(spark, d):
 @query("select date, ticker from (select date, unnest(string_split(t, ',')) as ticker from (select date, string_agg(ticker, ',') as t from {membership} group by date) q) r")
 def membership_from_lists(spark, d):
     lists = bind(spark, d, "membership").groupBy("date").agg(F.array_join(F.sort_array(F.collect_list("ticker")), ",").alias("tickers"))
-    return lists.select("date", F.explode(F.split("tickers", ",")).alias("ticker")).select("date", events.clean_ticker(F.col("ticker")).alias("ticker")).distinct()
+    return membership.from_lists(lists)
 
 
 @query("select ticker, date, " + ", ".join(f"round({c}, 6) as {c}" for c in TECH) + " from {tech}")
@@ -156,16 +201,7 @@ def rolling_technicals(spark, d):
     return rounded(technicals.rolling_technicals(bind(spark, d, "bars")), "ticker", "date", *TECH)
 
 
-
-@query(
-    """select ticker, date, round(case when ml > 0 then 100 - 100 / (1 + mg / ml) when mg > 0 then 100.0 end, 6) as rsi_14, round(fast - slow - sig, 6) as macd_hist, round(atr / close, 6) as atr_pct from {ewm}""",
-    steps="""select ticker, date, close, rn, greatest(close - lag(close) over w, 0) as g0, case when rn > 1 then greatest(close - lag(close) over w, 0) end as g, case when rn > 1 then greatest(lag(close) over w - close, 0) end as l,
-             case when rn = 1 then high - low else greatest(high - low, abs(high - lag(close) over w), abs(low - lag(close) over w)) end as tr from {rets} window w as (partition by ticker order by date)""",
-    ewm="""select ticker, date, rn, close, cast(null as double) as mg, cast(null as double) as ml, close as fast, close as slow, cast(0 as double) as sig, tr as atr from {steps} where rn = 1 union all
-           select s.ticker, s.date, s.rn, s.close, case when e.mg is null then s.g else e.mg * 13 / 14 + s.g / 14 end, case when e.ml is null then s.l else e.ml * 13 / 14 + s.l / 14 end,
-                  e.fast * 11 / 13 + s.close * 2 / 13, e.slow * 25 / 27 + s.close * 2 / 27, e.sig * 0.8 + 0.2 * ((e.fast * 11 / 13 + s.close * 2 / 13) - (e.slow * 25 / 27 + s.close * 2 / 27)), e.atr * 13 / 14 + s.tr / 14
-           from ewm e join {steps} s on s.ticker = e.ticker and s.rn = e.rn + 1""",
-)
+@query("select ticker, date, round(rsi_14, 6) as rsi_14, round(macd_hist, 6) as macd_hist, round(atr_pct, 6) as atr_pct from {exponential}")
 def exponential_technicals(spark, d):
     return rounded(technicals.exponential_technicals(bind(spark, d, "bars")), "ticker", "date", "rsi_14", "macd_hist", "atr_pct")
 
@@ -180,10 +216,10 @@ def market_context(spark, d):
 
 
 @query(
-    f"select date, round(spy_close / lag(spy_close, 21) over (order by date) - 1, 6) as spy_ret_21d, case when {_roll('avg', 'spy_close', 50, '')} > {_roll('avg', 'spy_close', 200, '')} then 1.0 else 0.0 end as spy_trend_regime, round(vix_close, 6) as vix_level, round((vix_close - {_roll('avg', 'vix_close', 20, '')}) / nullif({_roll('stddev_samp', 'vix_close', 20, '')}, 0), 6) as vix_zscore_20d from {{market}}"
+    f"select date, round(spy_close / lag(spy_close, 21) over (order by date) - 1, 6) as spy_ret_21d, case when {_roll('avg', 'spy_close', 50, '')} > {_roll('avg', 'spy_close', 200, '')} then 1.0 else 0.0 end as spy_trend_regime, round(vix_close, 6) as vix_level, round((vix_close - {_roll('avg', 'vix_close', 20, '')}) / nullif({_roll('stddev_samp', 'vix_close', 20, '')}, 0), 6) as vix_zscore_20d, round(spy_rsi_14, 6) as spy_rsi_14 from {{market}} left join (select date, case when ml > 0 then 100 - 100 / (1 + mg / ml) when mg > 0 then 100.0 end as spy_rsi_14 from {{spyewm}}) r using (date)"
 )
 def market_regime(spark, d):
-    return rounded(technicals.regime(_market(spark, d)), "date", "spy_ret_21d", "spy_trend_regime", "vix_level", "vix_zscore_20d")
+    return rounded(technicals.regime(_market(spark, d)), "date", "spy_ret_21d", "spy_trend_regime", "vix_level", "vix_zscore_20d", "spy_rsi_14")
 
 
 @query("select date, round(r, 6) as spy_ret_1d, round(sma, 6) as spy_sma200, round(spy_vol_20d, 6) as spy_vol_20d, coalesce(spy_close > sma and vix_close < 25, false) as gate from {mframe}")
@@ -225,9 +261,9 @@ def split_summary(spark, d):
     return rounded(s, *s.columns)
 
 
-@query("select count(*) as n, round(avg(forward_21d_return), 6) as mean, round(min(forward_21d_return), 6) as low, round(quantile_cont(forward_21d_return, 0.25), 6) as q25, round(quantile_cont(forward_21d_return, 0.75), 6) as q75, round(max(forward_21d_return), 6) as high, sum(case when abs(f) > 0.5 then 1 else 0 end) as n_clipped from {labelled}")
+@query("select count(*) as n, round(avg(forward_21d_return), 6) as mean, round(min(forward_21d_return), 6) as low, round(quantile_cont(forward_21d_return, 0.25), 6) as q25, round(median(forward_21d_return), 6) as median, round(stddev_samp(forward_21d_return), 6) as std, round(quantile_cont(forward_21d_return, 0.75), 6) as q75, round(max(forward_21d_return), 6) as high, sum(case when abs(f) > 0.5 then 1 else 0 end) as n_clipped from {labelled}")
 def label_describe(spark, d):
-    s = labelled(spark, d).agg(F.count("*").alias("n"), F.avg("forward_21d_return").alias("mean"), F.min("forward_21d_return").alias("low"), F.expr("percentile(forward_21d_return, 0.25)").alias("q25"), F.expr("percentile(forward_21d_return, 0.75)").alias("q75"), F.max("forward_21d_return").alias("high"), F.count_if("clipped").alias("n_clipped"))
+    s = labelled(spark, d).agg(F.count("*").alias("n"), F.avg("forward_21d_return").alias("mean"), F.min("forward_21d_return").alias("low"), F.expr("percentile(forward_21d_return, 0.25)").alias("q25"), F.expr("percentile(forward_21d_return, 0.5)").alias("median"), F.stddev_samp("forward_21d_return").alias("std"), F.expr("percentile(forward_21d_return, 0.75)").alias("q75"), F.max("forward_21d_return").alias("high"), F.count_if("clipped").alias("n_clipped"))
     return rounded(s, *s.columns)
 
 
@@ -236,10 +272,11 @@ def null_report(spark, d):
     return membership.null_counts(technicals.rolling_technicals(bind(spark, d, "bars")).select("ret_63d", "dist_52w_high", "vol_20d")).withColumnRenamed("column", "column_name")
 
 
-@query("select count(distinct date) as n_snapshots, count(distinct ticker) as n_tickers, min(date) as first_date, max(date) as last_date, (select count(*) from {membership} where date = (select max(date) from {membership})) as n_latest from {membership}")
+@query("select count(distinct date) + 1 as n_snapshots, 1 as n_synthetic, count(distinct ticker) as n_tickers, min(date) as first_date, date '2030-01-01' as last_date, (select count(*) from {membership} where date = (select max(date) from {membership})) as n_latest from {membership}")
 def membership_summary(spark, d):
-    m = bind(spark, d, "membership")
-    return m.agg(F.countDistinct("date").alias("n_snapshots"), F.countDistinct("ticker").alias("n_tickers"), F.min("date").alias("first_date"), F.max("date").alias("last_date")).crossJoin(F.broadcast(membership.members_on(m, "2100-01-01").agg(F.count("*").alias("n_latest"))))
+    m = bind(spark, d, "membership").withColumn("synthetic", F.lit(False))
+    m = written(m, "membership")
+    return membership.summary(membership.append_snapshot(m, membership.members_on(m, "2029-12-31"), "2030-01-01"))
 
 
 @query("select gics_sector, count(*) as n from {sectors} group by gics_sector")
@@ -262,7 +299,7 @@ def earnings_dates(spark, d):
 @query("select ticker, report_date, source, form from (select ticker, report_date, source, form, row_number() over (partition by ticker, report_date order by p, form) as r from (select ticker, report_date, 'filing' as source, form, 0 as p from {earn} where report_date < date '2001-01-01' union all select ticker, report_date, 'calendar', null, 1 from {filings} where form = '8-K' and items like '2.02%' and report_date >= date '2001-01-01') u) q where r = 1")
 def earnings_calendar(spark, d):
     f = bind(spark, d, "filings")
-    coming = f.where("form = '8-K' and array_contains(split(items, ','), '2.02')").where("report_date >= '2001-01-01'").select("ticker", "report_date").distinct()
+    coming = events.upcoming(f.where("form = '8-K' and array_contains(split(items, ','), '2.02')"), "2001-01-01")
     return events.merge_calendars(events.earnings_dates(f).where("report_date < '2001-01-01'"), coming)
 
 
@@ -273,18 +310,17 @@ def earnings_distance(spark, d):
 
 
 def _trades(spark: SparkSession, d: str) -> DataFrame:
-    raw = bind(spark, d, "insider_raw")
-    return events.insider_trades(raw.select("accession", "symbol", "filing_date", "form"), raw.select("accession", "code", "ownership", "shares", "price"))
+    return events.insider_trades(bind(spark, d, "insider_submission"), bind(spark, d, "insider_trans"))
 
 
-@query("select ticker, filing_date, transaction_code, shares, price_per_share, value from {trades}")
+@query("select ticker, filing_date, transaction_date, transaction_code, shares, price_per_share, value from {trades}")
 def insider_trades(spark, d):
     return _trades(spark, d)
 
 
 @query("select ticker, count(*) as n from {trades} group by ticker")
 def insider_row_counts(spark, d):
-    return _trades(spark, d).groupBy("ticker").agg(F.count("*").alias("n"))
+    return events.trade_counts(_trades(spark, d))
 
 
 @query("""select b.ticker, b.date, count(case when t.transaction_code = 'P' and t.filing_date > b.date - interval '60' day then 1 end) as insider_buy_count_60d, count(case when t.transaction_code = 'S' and t.filing_date > b.date - interval '60' day then 1 end) as insider_sell_count_60d,
@@ -334,10 +370,7 @@ def fundamentals_panel(spark, d):
 RATIOS = ["earnings_yield", "book_to_market", "roa", "debt_to_equity", "current_ratio", "sales_growth_yoy", "op_income_growth_yoy"]
 
 
-@query("""select b.ticker, b.date, round(f.ttm_net_income / case when f.shares_adj * b.close > 0 then f.shares_adj * b.close end, 5) as earnings_yield, round(f.mrq_equity / case when f.shares_adj * b.close > 0 then f.shares_adj * b.close end, 5) as book_to_market,
-    round(f.ttm_net_income / case when f.mrq_assets > 0 then f.mrq_assets end, 5) as roa, round(f.mrq_lt_debt / case when f.mrq_equity > 0 then f.mrq_equity end, 5) as debt_to_equity, round(f.mrq_assets_current / case when f.mrq_liabilities_current > 0 then f.mrq_liabilities_current end, 5) as current_ratio,
-    round(f.ttm_revenue / case when f.ttm_revenue_prior > 0 then f.ttm_revenue_prior end - 1, 5) as sales_growth_yoy, round(f.ttm_operating_income / case when f.ttm_operating_income_prior > 0 then f.ttm_operating_income_prior end - 1, 5) as op_income_growth_yoy
-    from {bars} b left join lateral (select * from {fund3} f where f.ticker = b.ticker and f.asof_date <= b.date order by f.asof_date desc, f.period_end desc limit 1) f on true""")
+@query("select ticker, date, " + ", ".join(f"round({c}, 5) as {c}" for c in RATIOS) + " from {ratios}")
 def fundamental_ratios(spark, d):
     fund = fundamentals.fundamentals(bind(spark, d, "facts_raw"), bind(spark, d, "splits"))
     return rounded(fundamentals.attach_fundamentals(bind(spark, d, "bars").select("ticker", "date", "close"), fund), "ticker", "date", *RATIOS, places=5)
@@ -377,10 +410,15 @@ def shifted_start_navs(spark, d):
     return _nav(spark, d).select("variant", "offset", "date", F.round("nav", 6).alias("nav"))
 
 
-@query("""select variant, off as "offset", round(case when fn > 0 then pow(fn, 252.0 / n) - 1 else -1 end, 5) as cagr, round(vol, 5) as vol, round(dd, 5) as max_drawdown, round(fn, 5) as final_nav from
-    (select variant, off, arg_max(nav, date) as fn, count(r) as n, stddev_samp(r) * sqrt(252) as vol, min(nav / hi - 1) as dd from (select *, nav / lag(nav) over w - 1 as r, max(nav) over w as hi from {nav} window w as (partition by variant, off order by date)) q group by variant, off) s""")
+PERF = """case when fn > 0 then pow(fn, 252.0 / n) - 1 else -1 end as cagr, vol, case when vol > 0 then (case when fn > 0 then pow(fn, 252.0 / n) - 1 else -1 end) / vol else 0 end as sharpe, dd as max_drawdown, fn as final_nav from
+    (select {by}, arg_max(nav, date) as fn, count(r) as n, stddev_samp(r) * sqrt(252) as vol, min(nav / hi - 1) as dd from (select *, nav / lag(nav) over w - 1 as r, max(nav) over w as hi from {nav} window w as (partition by {by} order by date)) q group by {by}) s"""
+STATS = ["cagr", "vol", "sharpe", "max_drawdown", "final_nav"]
+_PERF_OFFSET = "select variant, off, " + PERF.replace("{by}", "variant, off")
+
+
+@query("select variant, off as \"offset\", " + ", ".join(f"round({c}, 5) as {c}" for c in STATS) + " from {perf}", perf=_PERF_OFFSET)
 def performance_stats(spark, d):
-    return rounded(portfolio.performance(_nav(spark, d)), "variant", "offset", "cagr", "vol", "max_drawdown", "final_nav", places=5)
+    return rounded(portfolio.performance(_nav(spark, d)), "variant", "offset", *STATS, places=5)
 
 
 @query("select variant, date, round(avg(nav), 5) as mean_nav, round(quantile_cont(nav, 0.1), 5) as p10, round(quantile_cont(nav, 0.9), 5) as p90 from {nav} group by variant, date")
@@ -393,43 +431,51 @@ def benchmark_nav(spark, d):
     return rounded(portfolio.buy_and_hold(technicals.market_frame(_market(spark, d)), "2000-01-01"), "date", "nav")
 
 
-_PICKS = f"select ticker from (select date, ticker, row_number() over (partition by date order by predicted_return desc nulls last, ticker) as pick from {{scored}}) q where pick <= {N} and date = (select max(date) from {{scored}} where date <= date '%s')"
+_RANKED = f"select date, ticker from (select date, ticker, row_number() over (partition by date order by predicted_return desc nulls last, ticker) as pick from {{scored}}) q where pick <= {N}"
 
 
-@query("select coalesce(a.ticker, b.ticker) as ticker, case when a.ticker is null then 'SELL' when b.ticker is null then 'BUY' else 'HOLD' end as action from {after_} a full join {before_} b on a.ticker = b.ticker", after_=_PICKS % "2001-03-30", before_=_PICKS % "2000-12-29")
+@query(
+    "select coalesce(a.ticker, b.ticker) as ticker, case when a.ticker is null then 'SELL' when b.ticker is null then 'BUY' else 'HOLD' end as action from {after_} a full join {before_} b on a.ticker = b.ticker",
+    best=_RANKED,
+    after_="select ticker from {best} where date = (select max(date) from {best} where date <= date '2001-03-30')",
+    before_="select ticker from {best} where date = (select max(date) from {best} where date < (select max(date) from {best} where date <= date '2001-03-30'))",
+)
 def picks_difference(spark, d):
-    p = portfolio.top_picks(scored(spark, d), N).select("date", "ticker")
-    on = lambda day: p.join(F.broadcast(p.where(F.col("date") <= day).agg(F.max("date").alias("date"))), "date", "left_semi")
-    return portfolio.picks_diff(on("2000-12-29"), on("2001-03-30"))
-
+    p = portfolio.top_picks(scored(spark, d), N).select("date", "ticker").where("date <= '2001-03-30'")
+    today = p.join(F.broadcast(p.agg(F.max("date").alias("date"))), "date", "left_semi")
+    return portfolio.picks_diff(portfolio.picks_before(p), today)
 
-@query(f"select date, ticker, predicted_return, round(least(1.0, case when v is null or v <= 0 then 1.0 else 0.2 / v end) / count(*) over (), 6) as weight from (select s.date, s.ticker, s.predicted_return, row_number() over (order by s.predicted_return desc nulls last, s.ticker) as p, m.spy_vol_20d as v from {{scored}} s left join {{mframe}} m on m.date = s.date where s.predicted_return is not null and s.date = (select max(date) from {{scored}} where predicted_return is not null)) q where p <= {N}")
-def live_picks(spark, d):
-    s = membership.valid_rows(scored(spark, d), ["predicted_return"])
-    s = s.join(F.broadcast(s.agg(F.max("date").alias("date"))), "date", "left_semi")
-    p = portfolio.weighted(portfolio.top_picks(s, N)).join(F.broadcast(technicals.market_frame(_market(spark, d)).select("date", "spy_vol_20d")), "date", "left")
-    return p.select("date", "ticker", "predicted_return", F.round(F.col("weight") * portfolio.exposure(F.col("spy_vol_20d")), 6).alias("weight"))
 
+LIMITS = {"vol_60d": (1, 0.9), "dist_sma200": (-1, -0.2)}
+PASSES = "not coalesce(vol_60d > 0.9, false) and not coalesce(dist_sma200 < -0.2, false)"
 
-@query("select ticker, settlement_date, (select max(dd) from (select cast(settlement_date + cast(x as int) as date) as dd, row_number() over (order by x) as k from (select unnest(range(1, 20)) as x) r where dayofweek(settlement_date + cast(x as int)) not in (0, 6)) z where k <= 8) as publish_date, n from (select ticker, settlement_date, count(*) as n from {settled} group by ticker, settlement_date) s", settled="select cast(o_custkey % (select count(*) from supplier) as string) as ticker, case when day(cast(o_orderdate as date)) <= 15 then cast(date_trunc('month', cast(o_orderdate as date)) + interval '14' day as date) else last_day(cast(o_orderdate as date)) end as settlement_date from orders")
-def short_interest_published(spark, d):
-    n = bind(spark, d, "supplier").count()
-    o = bind(spark, d, "orders").select((F.col("o_custkey") % n).cast("string").alias("ticker"), F.to_date("o_orderdate").alias("day"))
-    s = o.withColumn("settlement_date", F.when(F.dayofmonth("day") <= 15, F.date_add(F.trunc("day", "month"), 14)).otherwise(F.last_day("day")))
-    return s.groupBy("ticker", "settlement_date").agg(F.count("*").alias("n")).withColumn("publish_date", business_days_after(F.col("settlement_date"), 8))
 
-
-@query()
-def lookahead_audit(spark, d):
-    cols = ["ret_21d", "vol_20d", "dist_sma200", "zscore_60d", "mfi_14"]
-    return audit.lookahead_mismatches(bind(spark, d, "bars"), technicals.rolling_technicals, cols)
+@query(
+    f"select date, ticker, predicted_return, round(least(1.0, case when v is null or v <= 0 then 1.0 else 0.2 / v end) / count(*) over (), 6) as weight from (select s.date, s.ticker, s.predicted_return, row_number() over (order by s.predicted_return desc nulls last, s.ticker) as p, (select arg_max(spy_vol_20d, date) from {{mframe}} where spy_vol_20d is not null) as v from {{scored}} s where s.predicted_return is not null and {PASSES} and s.date = (select max(date) from {{scored}} where predicted_return is not null)) q where p <= {N}"
+)
+def live_picks(spark, d):
+    p = portfolio.live_picks(scored(spark, d), technicals.market_frame(_market(spark, d)), N, limits=LIMITS)
+    return p.withColumn("weight", F.round("weight", 6))
 
 
-@query()
-def boosted_ranker(spark, d):
-    p = labelled(spark, d).select("ticker", "date", "split", "ret_21d", "vol_60d", "dist_52w_high", "forward_21d_return_demeaned")
-    m = model.ranker(["ret_21d", "vol_60d", "dist_52w_high"], [], "forward_21d_return_demeaned").fit(p.where("split = 'train'"))
-    return model.score(m, p.where("split <> 'train'"))
+@query(
+    """select ticker, settlement_date, (select max(dd) from (select cast(settlement_date + cast(x as int) as date) as dd, row_number() over (order by x) as k from (select unnest(range(1, 20)) as x) r where dayofweek(settlement_date + cast(x as int)) not in (0, 6)) z where k <= 8) as publish_date,
+       cast(n as double) as current_short, round(volume, 4) as avg_daily_volume, round(n / volume, 8) as days_to_cover from {settled} where year(settlement_date) >= 1996""",
+    settled="""select ticker, settlement_date, n, t / n as volume from (select ticker, settlement_date, count(*) as n, sum(cast(o_totalprice as decimal(18, 2))) as t from (
+        select 'S' || cast(o_custkey % (select count(*) from {supplier}) as varchar) || '-A' as ticker, o_totalprice, case when day(cast(o_orderdate as date)) <= 15 then cast(date_trunc('month', cast(o_orderdate as date)) + interval '14' day as date) else last_day(cast(o_orderdate as date)) end as settlement_date from {orders}) a group by ticker, settlement_date) b""",
+)
+def short_interest_published(spark, d):
+    count = bind(spark, d, "supplier").agg(F.count("*").alias("k"))
+    o = bind(spark, d, "orders").crossJoin(F.broadcast(count)).select(F.format_string("s%d.a ", F.col("o_custkey") % F.col("k")).alias("code"), F.to_date("o_orderdate").alias("day"), F.col("o_totalprice").cast("decimal(18,2)").alias("price"))
+    o = o.withColumn("settled", F.when(F.dayofmonth("day") <= 15, F.date_add(F.trunc("day", "month"), 14)).otherwise(F.last_day("day")))
+    s = o.groupBy("code", "settled").agg(F.count("*").alias("n"), F.sum("price").alias("t")).withColumn("volume", F.col("t").cast("double") / F.col("n"))
+    # Two styles of files: the later one is delivered again with the rows of the first, which it replaces.
+    text = lambda c: F.col(c).cast("string")
+    old = s.select(text("settled").alias("Settlement Date"), F.col("code").alias("Symbol Code"), F.lit("0").alias("Current Short Interest"), text("volume").alias("Avg Daily Volume"), F.lit("n/a").alias("Days To Cover"))
+    new = s.select(text("settled").alias("settlementDate"), F.col("code").alias("symbol"), text("n").alias("currentShortPositionQuantity"), text("volume").alias("averageDailyVolumeQuantity"), (F.col("n") / F.col("volume")).cast("string").alias("daysToCoverQuantity"))
+    rows = short_interest.normalise(old).withColumn("file_no", F.lit(1)).unionByName(short_interest.normalise(new).withColumn("file_no", F.lit(2)))
+    out = short_interest.published(rows, 1996, "file_no")
+    return out.select("ticker", "settlement_date", "publish_date", "current_short", F.round("avg_daily_volume", 4).alias("avg_daily_volume"), F.round("days_to_cover", 8).alias("days_to_cover"))
 
 
 def momentum_picks(spark: SparkSession, sf_dir: str, n: int = N) -> DataFrame:

@@ -2,35 +2,60 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.membership import merge_tail
 
 
 def upsert_bars(stream: DataFrame, path: str, checkpoint: str):
-    """Start a query that merges each micro-batch into the table at path; of a key's deliveries the last in a batch wins.
+    """Start a query that merges each micro-batch (ticker, date, delivered, more) into a table by year and month; of a key's deliveries the last wins.
 
-    A version folder is written for each batch and a reader takes the newest whole one, so a batch that is repeated after a failure gives the same table.
+    Only months that a batch touches are read and written again, each under the batch's number; a reader takes
+    the newest of each month. A batch that is repeated after a failure writes the same again.
     """
 
     def merge(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        w = Window.partitionBy("ticker", "date").orderBy(F.desc("delivered"))
-        new = batch.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
-        old = latest(spark, path, new.schema, n)
-        merge_tail(old, new, ["ticker", "date"]).write.mode("overwrite").parquet(f"{path}/version={n}")
+        w = Window.partitionBy("ticker", "date").orderBy(F.desc("delivered"), *[F.desc(c) for c in batch.columns if c not in ("ticker", "date", "delivered")])
+        new = batch.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r").withColumn("month", F.date_format("date", "yyyy-MM"))
+        old = _newest(batch.sparkSession, path, n, new.schema)
+        both = new if old is None else merge_tail(old.join(F.broadcast(new.select("month").distinct()), "month", "left_semi").select(*new.columns), new, ["ticker", "date"])
+        both.withColumn("batch", F.lit(n).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month", "batch").parquet(path)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest(spark, path: str, schema, before: int) -> DataFrame:
-    if before == 0:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{path}/version={before - 1}")
+def _newest(spark: SparkSession, path: str, before: int | None, schema=None) -> DataFrame | None:
+    """The rows of each month's newest batch (below `before`); its number is a partition, so older ones aren't read."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return None
+    d = spark.read.parquet(path).withColumn("month", F.col("month").cast("string")).withColumn("batch", F.col("batch").cast("long"))
+    d = d.where(F.col("batch") < before) if before is not None else d
+    newest = d.select("month", "batch").distinct().groupBy("month").agg(F.max("batch").alias("batch"))
+    return d.join(F.broadcast(newest), ["month", "batch"], "left_semi").drop("batch")
+
+
+def read_bars(spark: SparkSession, path: str) -> DataFrame:
+    return _newest(spark, path, None).drop("month")
 
 
 def activity(events: DataFrame, delay: str = "2 days", window: str = "1 day") -> DataFrame:
     """Counts and values of events by key and day, late ones up to `delay`."""
     d = events.withWatermark("ts", delay).groupBy(F.window("ts", window).alias("w"), "event_type")
     return d.agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).alias("value")).select(F.col("w.start").cast("date").alias("day"), "event_type", "n", F.col("value").cast("double").alias("value"))
+
+
+def activity_table(events: DataFrame, path: str, checkpoint: str, **how):
+    """Start a query that writes what changed in `activity` with each micro-batch, under the batch's number."""
+
+    def put(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={n}")
+
+    return activity(events, **how).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_activity(spark: SparkSession, path: str) -> DataFrame:
+    """The latest row of each day and kind."""
+    w = Window.partitionBy("day", "event_type").orderBy(F.desc("batch"))
+    return spark.read.parquet(path).withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r", "batch")

@@ -1,5 +1,6 @@
 """Runs registered queries beside their DuckDB statements: python tests/oracle_check.py SF_DIR [NAME...]"""
 
+import os
 import sys
 import time
 from pathlib import Path
@@ -18,7 +19,7 @@ def normal(df: pd.DataFrame) -> pd.DataFrame:
         elif out[c].dtype == object:
             out[c] = out[c].map(lambda x: float(x) if type(x).__name__ == "Decimal" else x)
     num = [c for c in out.columns if pd.api.types.is_numeric_dtype(out[c])]
-    out[num] = out[num].astype(float).round(4) + 0.0
+    out[num] = out[num].astype(float) + 0.0
     keys = [c for c in out.columns if c not in num] + num
     return out.sort_values(keys, na_position="first").reset_index(drop=True)
 
@@ -32,7 +33,7 @@ def compare(spark, con, sf: str, f, sql: str) -> str:
     x, y = normal(a), normal(b)
     for c in x.columns:
         numeric = pd.api.types.is_numeric_dtype(x[c]) and pd.api.types.is_numeric_dtype(y[c])
-        same = ((x[c] - y[c]).abs() <= 2e-4) | (x[c].isna() & y[c].isna()) if numeric else (x[c].astype(str) == y[c].astype(str)) | (x[c].isna() & y[c].isna())
+        same = ((x[c] - y[c]).abs() <= 1e-9 * y[c].abs().clip(lower=1)) | (x[c].isna() & y[c].isna()) if numeric else (x[c].astype(str) == y[c].astype(str)) | (x[c].isna() & y[c].isna())
         if not same.all():
             at = (~same).idxmax()
             return f"column {c}: {(~same).sum()} of {len(x)} differ, first {x.loc[at].to_dict()} {y.loc[at].to_dict()}"
@@ -51,7 +52,7 @@ if __name__ == "__main__":
 
     import __spark_entry__ as e
 
-    spark = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+    spark = SparkSession.builder.master(f"local[{os.environ.get('CPUS', 8)}]").config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     con, sf, names = connect(sys.argv[1]), sys.argv[1], sys.argv[2:]
     for name, f in e.queries().items():

@@ -1,11 +1,13 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from plumbline import queries
+from plumbline import queries, report_queries  # noqa: F401
 from plumbline.functions.windows import as_of, business_days_after, ewm_mean, pct_rank
 from plumbline.operators import audit, events, fundamentals, membership, portfolio
+from plumbline.sources import tables
 from tests.oracle_check import compare, connect
 
 SF = "/root/testdata/sf0.001"
@@ -17,7 +19,7 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", ["market_scan", "coverage_report", "pit_filter", "rolling_technicals", "market_context", "sector_relative", "earnings_dates", "insider_activity", "macro_regime", "quarterly_series", "ranking_metrics", "performance_stats", "live_picks", "short_interest_published"])
+@pytest.mark.parametrize("name", ["market_scan", "coverage_report", "pit_filter", "rolling_technicals", "market_context", "sector_relative", "earnings_dates", "insider_activity", "macro_regime", "quarterly_series", "ranking_metrics", "performance_stats", "live_picks", "short_interest_published", "fundamental_ratios", "snapshot_append", "facts_flattened", "stats_report", "streamed_upsert"])
 def test_oracle(spark, con, name):
     assert compare(spark, con, SF, queries.QUERIES[name], queries.SQL[name]).startswith("ok")
 
@@ -67,11 +69,67 @@ def test_weights_and_filter(spark):
     assert fundamentals.quality_filter(spark.createDataFrame([(11.0,), (None,), (1.0,)], "debt_to_equity double")).count() == 2
 
 
-def test_audit_finds_a_leak(spark):
+def test_audit_finds_a_leak_in_bars_and_market(spark):
     bars = spark.createDataFrame([("a", D(n), float(n * n + 1)) for n in range(30)], "ticker string, date date, close double")
-    from plumbline.functions.windows import by_key
-
-    clean = lambda b: b.withColumn("x", F.lag("close").over(by_key()))
-    leaky = lambda b: b.withColumn("x", F.lead("close").over(by_key()))
-    assert audit.lookahead_mismatches(bars, clean, ["x"]).count() == 0
-    assert audit.lookahead_mismatches(bars, leaky, ["x"]).count() > 0
+    market = spark.createDataFrame([(D(n), float(n % 7)) for n in range(30)], "date date, spy_close double")
+    of = lambda w, c: (lambda b, m, keys: b.join(m, ["date", *keys], "left").withColumn("x", w(c).over(Window.partitionBy("ticker").orderBy("date"))))
+    late = lambda b, m, keys: b.join(m.withColumn("x", F.lead("spy_close").over(Window.partitionBy(F.lit(0), *keys).orderBy("date"))), ["date", *keys], "left")
+    pairs = lambda f: audit.lookahead_pairs(bars, market, f, ["x"], n=10)
+    assert audit.lookahead_summary(pairs(of(F.lag, "close"))).first()["n_mismatched"] == 0
+    audit.require_no_lookahead(pairs(of(F.lag, "close")))
+    for leaky in (of(F.lead, "close"), late):
+        with pytest.raises(audit.LookaheadError):
+            audit.require_no_lookahead(pairs(leaky))
+
+
+def test_as_of_ties_are_numbers(spark):
+    left = spark.createDataFrame([("a", D(5))], "k string, d date")
+    right = spark.createDataFrame([("a", D(5), 9, 1), ("a", D(5), 10, 2), ("a", D(5), None, 3)], "k string, e date, t int, v int")
+    assert as_of(left, right, "k", "d", "e", ["v"], ["t"]).first().v == 2
+
+
+def test_snapshot_of_a_day_is_replaced_and_authority_wins(spark):
+    m = spark.createDataFrame([(D(0), "a", False), (D(10), "b", False), (D(20), "old", True), (D(30), "x", True)], "date date, ticker string, synthetic boolean")
+    today = spark.createDataFrame([("c.d",)], "ticker string")
+    rows = lambda day: sorted((r.date, r.ticker, r.synthetic) for r in membership.append_snapshot(m, today, str(D(day))).collect())
+    assert rows(30) == [(D(0), "a", False), (D(10), "b", False), (D(20), "old", True), (D(30), "c-d", True)]
+    assert rows(10) == rows(5) == sorted((r.date, r.ticker, r.synthetic) for r in m.collect())
+
+
+def test_insider_rows_differ_by_their_trade_date(spark):
+    s = spark.createDataFrame([("1", "31-OCT-2024", "4", " brk.b "), ("2", "31-OCT-2024", "4", "NONE"), ("3", "x", "4", "a")], "ACCESSION_NUMBER string, FILING_DATE string, DOCUMENT_TYPE string, ISSUERTRADINGSYMBOL string")
+    t = spark.createDataFrame([("1", d, "P", "5", p, "D") for d, p in (("29-OCT-2024", "2"), ("30-OCT-2024", "2"), ("30-OCT-2024", "2"), ("30-OCT-2024", None))] + [(k, "29-OCT-2024", "P", "1", "1", "D") for k in "23"], "ACCESSION_NUMBER string, TRANS_DATE string, TRANS_CODE string, TRANS_SHARES string, TRANS_PRICEPERSHARE string, DIRECT_INDIRECT_OWNERSHIP string")
+    got = sorted((r.ticker, str(r.transaction_date), r.value) for r in events.insider_trades(s, t).collect())
+    assert got == [("BRK-B", "2024-10-29", 10.0), ("BRK-B", "2024-10-30", 0.0), ("BRK-B", "2024-10-30", 10.0)]
+
+
+def test_short_item_lists_are_padded(spark):
+    raw = spark.createDataFrame([("a", '{"filings": {"recent": {"form": ["8-K", "10-Q"], "filingDate": ["2020-01-02", "soon"], "accessionNumber": ["1", "2"], "items": ["2.02"]}}}'), ("a", '{"form": ["4"], "filingDate": ["2019-01-02"], "accessionNumber": ["0"], "items": []}'), ("b", "{}")], "ticker string, payload string")
+    assert sorted((r.accession, str(r.report_date), r.items) for r in events.flatten_submissions(raw).collect()) == [("0", "2019-01-02", ""), ("1", "2020-01-02", "2.02"), ("2", "None", "")]
+
+
+def test_tables_round_trip(spark, tmp_path):
+    p = str(tmp_path)
+    df = spark.createDataFrame([("BRK.B", D(n), float(n)) for n in (0, 200, 400)], "ticker string, date date, close double")
+    df.where("close = 0").drop("ticker").coalesce(1).write.parquet(f"{p}/raw")
+    (next((tmp_path / "raw").glob("part-*"))).rename(tmp_path / "raw" / "BRK.B.parquet")
+    assert tables.read_per_ticker(spark, f"{p}/raw").first().ticker == "BRK-B"
+    tables.write_panel(df, f"{p}/panel")
+    assert [r.close for r in tables.read_panel(spark, f"{p}/panel", str(D(100)), str(D(300))).collect()] == [200.0]
+    tables.write_csv(df, f"{p}/csv")
+    assert tables.read_delimited(spark, f"{p}/csv", ",").count() == 3
+    tables.write_json(df, f"{p}/json")
+    assert spark.read.json(f"{p}/json").count() == 3
+
+
+def test_backtest_by_hand(spark):
+    """Two names, one pick, hold 2: offset 0 buys on day 0 and turns over on day 2, offset 1 a day later."""
+    days = [("a", 0, 2.0, 0.0), ("b", 0, 1.0, 0.0), ("a", 1, 1.0, 0.1), ("b", 1, 2.0, 0.5), ("a", 2, 1.0, 0.2), ("b", 2, 2.0, 0.3), ("a", 3, 1.0, None), ("b", 3, 2.0, 0.4)]
+    p = spark.createDataFrame([(t, D(d), s, r) for t, d, s, r in days], "ticker string, date date, predicted_return double, ret_1d double")
+    market = spark.createDataFrame([(D(n), 0.4) for n in range(4)], "date date, spy_vol_20d double")
+    got = {(r.variant, r.offset, (r.date - D(0)).days): (round(r.nav, 10), r.exposure, r.holdings) for r in portfolio.backtest(p, market, n=1, hold=2, cost=0.01).collect()}
+    c = 1 - 0.01
+    assert got["raw", 0, 0] == (round(c, 10), 1.0, "a") and got["raw", 0, 2] == (round(c * 1.1 * 1.2 * (1 - 0.02), 10), 1.0, "b") and got["raw", 0, 3][0] == round(c * 1.1 * 1.2 * (1 - 0.02) * 1.4, 10)
+    assert got["raw", 1, 0] == (1.0, 0.0, "") and got["raw", 1, 3] == (round(c * 1.3 * 1.4, 10), 1.0, "")
+    h = 1 - 0.005
+    assert got["overlay", 0, 3] == (round(h * 1.05 * 1.1 * (1 - 0.01) * 1.2, 10), 0.5, "b")
