@@ -60,11 +60,11 @@ SELECTS = {
         from {orders} where o_orderpriority <> '5-LOW' group by 1, cast(o_orderdate as date)""",
     "quarters": """
         select cast(l_suppkey as string) as ticker, l_suppkey as k, cast(date_trunc('quarter', cast(l_shipdate as date)) as date) as qs,
-               cast(sum(cast(l_extendedprice as decimal(18, 2))) as double) as e, cast(sum(cast(l_quantity as decimal(18, 2))) as double) as q,
-               cast(sum(cast(l_extendedprice as decimal(18, 2)) * (1 - cast(l_discount as decimal(18, 2)))) as double) as rev
+               sum(cast(l_extendedprice as decimal(18, 2))) as e, sum(cast(l_quantity as decimal(18, 2))) as q,
+               sum(cast(l_extendedprice as decimal(18, 2)) * (1 - cast(l_discount as decimal(18, 2)))) as rev
         from {lineitem} group by 1, 2, 3""",
     "facts_first": """
-        select ticker, concept, ps as period_start, date_add(pe, 0) as period_end, date_add(pe, lag0) as filed, round(v, 2) as value from (
+        select ticker, concept, ps as period_start, date_add(pe, 0) as period_end, date_add(pe, lag0) as filed, cast(round(v, 2) as double) as value from (
           select ticker, qs as ps, date_add(cast(qs + interval '3' month as date), -1) as pe, cast(30 + k % 20 as int) as lag0, concept, case concept when 'revenue' then rev when 'net_income' then rev - e * 0.9 else rev - e * 0.85 end as v
           from {quarters} cross join (select 'revenue' as concept union all select 'net_income' union all select 'operating_income') as c where month(qs) <> 10
           union all
@@ -94,11 +94,11 @@ SELECTS["insider_trans"] = f"select accession as ACCESSION_NUMBER, {_as_text('tr
 
 #: Reported concepts of a quarter: flows over it (not of the fourth, which is left to the year) and values at its end.
 _FLOW = {"revenue": "rev", "net_income": "rev - e * 0.9", "operating_income": "rev - e * 0.85"}
-_STOCK = {"assets": "10 * e", "assets_current": "3 * e", "liabilities_current": "200 * q", "equity": "4 * e - 5000000", "lt_debt": "2 * e", "shares": "cast(1000 + k as double)"}
+_STOCK = {"assets": "10 * e", "assets_current": "3 * e", "liabilities_current": "200 * q", "equity": "4 * e - 5000000", "lt_debt": "2 * e", "shares": "1000 + k"}
 
 
 def _concepts(of: dict[str, str]) -> str:
-    return "array(" + ", ".join(f"named_struct('concept', '{c}', 'v', {v})" for c, v in of.items()) + ")"
+    return "array(" + ", ".join(f"named_struct('concept', '{c}', 'v', cast({v} as decimal(28, 4)))" for c, v in of.items()) + ")"
 
 
 def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,10 +106,10 @@ def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     flow = spark.sql(f"select ticker, k, year(qs) as y, struct(qs, {_concepts(_FLOW)} as flows, {_concepts(_STOCK)} as stocks) as one from {{quarters}}", quarters=bind(spark, sf_dir, "quarters"))
     year = flow.groupBy("ticker", "k", "y").agg(F.array_sort(F.collect_list("one")).alias("all"))
     end = "date_add(cast(x.qs + interval '3' month as date), -1)"
-    fact = lambda start, end, lag, f: f"named_struct('concept', {f}.concept, 'period_start', {start}, 'period_end', {end}, 'lag', {lag}, 'value', round({f}.v, 2))"
+    fact = lambda start, end, lag, f: f"named_struct('concept', {f}.concept, 'period_start', {start}, 'period_end', {end}, 'lag', {lag}, 'value', cast(round({f}.v, 2) as double))"
     quarters = f"flatten(transform(filter(all, x -> month(x.qs) <> 10), x -> transform(x.flows, f -> {fact('x.qs', end, '30 + k % 20', 'f')})))"
     stocks = f"flatten(transform(all, x -> transform(x.stocks, f -> {fact('cast(null as date)', end, '30 + k % 20', 'f')})))"
-    total = "named_struct('concept', f.concept, 'v', aggregate(all, 0.0D, (s, x) -> s + x.flows[i].v))"
+    total = "named_struct('concept', f.concept, 'v', aggregate(all, cast(0 as decimal(28, 4)), (s, x) -> cast(s + x.flows[i].v as decimal(28, 4))))"
     first = "all[0].qs"
     year_end = f"date_add(cast(date_trunc('year', {first}) + interval '12' month as date), -1)"
     years = f"if(size(all) = 4, transform(transform(all[0].flows, (f, i) -> {total}), f -> {fact(first, year_end, '60', 'f')}), array())"
