@@ -436,7 +436,7 @@ def found_in(docs: DataFrame, benchmark: DataFrame, similar: float = 0.8) -> Dat
 
         def find(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             of = items.value
-            for b in pieces(batches, 2 << 20):
+            for b in pieces(batches, 6 << 20):
                 ids, digests = b.column("doc_id").to_pylist(), b.column("digest").to_pylist()
                 found = of.leaks(*text_buffer(b.column("text")))
                 cols = [[digests[x[0]] for x in found], [ids[x[0]] for x in found], [of.ids[x[1]] for x in found], [x[2] for x in found], [x[3] for x in found]]
