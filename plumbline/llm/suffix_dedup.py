@@ -137,7 +137,7 @@ def _range_rows(docs: DataFrame, bits, opened: list) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, repeated (whether any byte went) for each row of docs."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     cut = repeat_spans(docs)
 
@@ -163,7 +163,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     d = docs.withColumn("key", _key_of(docs))
     joined = d.alias("a").join(cut.alias("b"), same("doc_id", "key"), "left").select("a.doc_id", "text", "spans")
-    return joined.mapInArrow(apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.mapInArrow(apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumn("repeated", F.col("n_removed") > 0)
 
 
 def _key_of(docs: DataFrame):
