@@ -17,20 +17,25 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import materialize
 
-#: Fixed number of hash ranges by which ranks are counted in two steps, so that no task ranks a whole shard.
-RANGES = 512
+#: Parts that the rows of one hash are dealt to, so that no task ranks all copies of a text.
+PARTS = 64
 
 
 def ranked(df: DataFrame, by: list[str], order: Column, weight: str = "__rank") -> DataFrame:
-    """df with the 0-based rank of each row among those of equal `by`, in the order of a hash and then all columns.
+    """df with the 0-based rank of each row among those of equal `by`, in the order of a hash, then part, then __id.
 
-    Rows are ranked inside hash ranges; the ranges' counts (a bounded table) give the offsets.
+    Rows are numbered inside the parts of each hash. Where a part begins comes from counts: those of the 512
+    ranges of hashes (a bounded table), and inside a range those of its hashes and parts, which are added up before.
     """
-    d = df.withColumn("__o", order).withColumn("__r", F.shiftright("__o", 55) + 256)
-    w = Window.partitionBy(*by, "__r").orderBy("__o", "__id")
-    sums = d.groupBy(*by, "__r").agg(F.count("*").alias("__n"))
-    sums = sums.withColumn("__off", F.sum("__n").over(Window.partitionBy(*by).orderBy("__r")) - F.col("__n")).drop("__n")
-    return d.join(F.broadcast(sums), [*by, "__r"]).withColumn(weight, F.col("__off") + F.row_number().over(w) - 1).drop("__o", "__r", "__off")
+    d = df.withColumn("__o", order).withColumn("__r", F.shiftright("__o", 55) + 256).withColumn("__p", F.pmod(F.xxhash64("__id"), F.lit(PARTS)).cast("int"))
+    part = [*by, "__r", "__o", "__p"]
+    counts = d.groupBy(*part).agg(F.count("*").alias("__n"))
+    sums = counts.groupBy(*by, "__r").agg(F.sum("__n").alias("__all_n"))
+    sums = sums.withColumn("__off", F.sum("__all_n").over(Window.partitionBy(*by).orderBy("__r")) - F.col("__all_n")).drop("__all_n")
+    inside = counts.withColumn("__off2", F.sum("__n").over(Window.partitionBy(*by, "__r").orderBy("__o", "__p")) - F.col("__n")).drop("__n")
+    d = d.join(inside.join(F.broadcast(sums), [*by, "__r"]), part)
+    w = Window.partitionBy(*part).orderBy("__id")
+    return d.withColumn(weight, F.col("__off") + F.col("__off2") + F.row_number().over(w) - 1).drop("__o", "__r", "__p", "__off", "__off2")
 
 
 def propagate(nodes: DataFrame, shards: int, caps: list[int], rounds: int, slack: float) -> DataFrame:
