@@ -316,6 +316,7 @@ class Items:
         # Of each walked item: its 4-byte runs by _RUN bits of their hash, how many of them are alike, and where in the item they stand.
         runs = [_grams(np.frombuffer(self.texts[k], np.uint8)) >> 20 - _RUN | i << _RUN for i, k in enumerate(self.walked)]
         flat, place = (np.concatenate(x) if self.walked else np.zeros(0, np.int64) for x in (runs, [np.arange(len(x)) for x in runs]))
+        self.longest = max([len(x) for x in runs], default=0)
         order = np.argsort(flat, kind="stable")
         kinds, begin, self.alike = np.unique(flat[order], return_index=True, return_counts=True)
         self.places, self.holds, self.begin = place[order], np.zeros(len(self.walked) << _RUN, bool), np.zeros(len(self.walked) << _RUN, np.int32)
@@ -401,8 +402,9 @@ class Items:
             place = self.places[np.repeat(self.kind_begin[kind] - np.cumsum(m) + m, m) + np.arange(m.sum())]
             own, where = np.repeat(own, m), np.repeat(where, m)
             near = np.abs(where - place - first[at + own]) <= limit[at + own]
-            runs = np.unique(own[near] << 32 | place[near]) >> 32
-            keep[at:to] = np.bincount(runs, minlength=to - at) >= least[at:to]
+            seen = np.zeros((to - at, self.longest), bool)
+            seen[own[near], place[near]] = True
+            keep[at:to] = seen.sum(1) >= least[at:to]
             at = to
         return keep
 

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -108,6 +109,30 @@ def test_quality_base(spark, docs):
     assert out.where("base_failed and kept").count() == 0
 
 
+def test_quality_verdict(spark, docs):
+    """Ratio, threshold and verdict from the definitions: buckets of XXH64, two smoothed multinomials, a cut below the held-out half's lowest quantile."""
+    trusted = [r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1").select("doc_id").distinct().collect()]
+    long = lambda x, seed: xxhash.xxh64_intdigest(x.to_bytes(8, "little"), seed)
+    half = {i: long(i, xxhash.xxh64_intdigest(b"half", 42)) % 2 for i in trusted}
+    all_ = rows(docs)
+    grams = []
+    for _, t in all_:
+        g = [xxhash.xxh64_intdigest(w.encode(), 42) for w in WORD.findall(t or "")]
+        grams.append([x & 0xFFFF for x in g + [long(b, long(a, 42)) for a, b in zip(g, g[1:], strict=False)]])
+    raw = Counter(x for g in grams for x in g)
+    target = Counter(x for (i, _), g in zip(all_, grams, strict=True) if half.get(i) == 0 for x in g)
+    n, m = sum(raw.values()) + 65536, sum(target.values()) + 65536
+    ratio = lambda x: (math.log((target[x] + 1) / m) - math.log((raw[x] + 1) / n)) * 1000
+    whole = {x: int(math.copysign(math.floor(abs(ratio(x)) + 0.5), ratio(x))) for x in raw}
+    llr = [sum(whole[x] for x in g) / len(g) if g else None for g in grams]
+    held = [x for (i, t), x in zip(all_, llr, strict=True) if half.get(i) == 1 and len(WORD.findall(t or "")) >= 50]
+    low, mid = np.quantile(held, [0.005, 0.5])
+    out = quality.quality_rules(docs, spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1")).collect()
+    got = Counter((r.doc_id, None if r.llr is None else round(r.llr, 9), r.base_failed or r.kept == (r.llr * 1000 >= low - (mid - low) / 2 - 1e-9)) for r in out)
+    assert got == Counter((i, None if x is None else round(x / 1000, 9), True) for (i, _), x in zip(all_, llr, strict=True))
+    assert any(r.kept for r in out)
+
+
 def test_line_dedup(spark):
     d = spark.createDataFrame([(1, "a\nb\nc\nd"), (2, "x\na\nb\nc\nd\ny"), (3, "a\nb"), (4, None), (5, "\n\n\n\n"), (6, "\n\n\n\n")], "doc_id long, text string")
     got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.drop_repeated_lines(d).collect()}
