@@ -69,24 +69,37 @@ def normalised(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def edit_distance_within(item: bytes, text: bytes, most: int) -> int:
     """Least edit distance of item to any substring of text (Myers' bit vectors); some number above `most` if it is above."""
+    return _scan(item, text, most, -1)[0]
+
+
+def last_start(item: bytes, text: bytes, n: int) -> int:
+    """The last place of text where a substring within n edits of the item begins; there is one. Read backwards, it is where the first ends."""
+    return len(text) - _scan(item[::-1], text[::-1], n, n)[1]
+
+
+def _scan(item: bytes, text: bytes, most: int, stop: int) -> tuple[int, int]:
+    """(least distance, bytes read): up to the end, to where it can't come down to `most` any more, or to where it is `stop`."""
     m = len(item)
     full, top = (1 << m) - 1, 1 << (m - 1)
     eq: dict[int, int] = {}
     for i, c in enumerate(item):
         eq[c] = eq.get(c, 0) | 1 << i
-    pv, mv, now, best = full, 0, m, m
-    for left, c in zip(range(len(text), 0, -1), text, strict=True):
-        if now - left > most and best > most:
+    pv, mv, now, best, read = full, 0, m, m, 0
+    for c in text:
+        if now - (len(text) - read) > most and best > most:
             break
+        read += 1
         e = eq.get(c, 0)
         xv = e | mv
         xh = (((e & pv) + pv) ^ pv) | e
         ph, mh = mv | (~(xh | pv) & full), pv & xh
         now += bool(ph & top) - bool(mh & top)
         best = min(best, now)
+        if now <= stop:
+            break
         ph, mh = ph << 1 & full, mh << 1 & full
         pv, mv = mh | (~(xv | ph) & full), ph & xv
-    return best
+    return best, read
 
 
 def within(part: np.ndarray, size: np.ndarray, most: np.ndarray, peq: np.ndarray, windows: np.ndarray) -> np.ndarray:
@@ -340,11 +353,7 @@ class Items:
             if not n:
                 best[doc, k] = 0, raw.find(item, a, b) - int(off[doc])
                 continue
-            low, high = a, b  # the last start from which the text still holds the match
-            while high - low > 1:
-                mid = (low + high) // 2
-                low, high = (mid, high) if edit_distance_within(item, raw[mid:b], n) <= n else (low, mid)
-            best[doc, k] = n, low - int(off[doc])
+            best[doc, k] = n, a + last_start(item, raw[a:b], n) - int(off[doc])
         for k in self.short:
             for doc, (s, e) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
                 if (at := raw.find(self.texts[k], s, e)) >= 0:

@@ -205,6 +205,9 @@ def test_decontamination_least_distances():
     which = np.array([random.randrange(6) for _ in range(900)])
     a = np.array([random.randrange(len(data) - 400) for _ in which])
     b = a + np.array([random.randrange(1, 400) for _ in which])
+    for k, i, j in zip(which[:60].tolist(), a[:60].tolist(), b[:60].tolist(), strict=True):
+        n, x = decontaminate.edit_distance_within(texts[k], data[i:j], 10**6), data[i:j]
+        assert decontaminate.last_start(texts[k], x, n) == max(s for s in range(len(x) + 1) if decontaminate.edit_distance_within(texts[k], x[s:], 10**6) <= n)
     got = decontaminate.least_distances(texts, which, np.frombuffer(data, np.uint8), a, b)
     assert got.tolist() == [decontaminate.edit_distance_within(texts[k], data[i:j], 10**6) for k, i, j in zip(which.tolist(), a.tolist(), b.tolist(), strict=True)]
 
