@@ -165,7 +165,7 @@ def _open_sketches(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """id and sketch (`low`) of each of the classes ids."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, 2 << 20):
+        for b in pieces(batches, 1 << 20):
             sets = shingle_sets(text_buffer(b.column("text")), k)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([sketch_of(x) for x in sets], pa.binary())], ["id", "low"])
 
@@ -241,7 +241,7 @@ def _classes(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, digest (of the text), n_shingles, set1, set2 (a digest of the shingle set), sig (bytes; null without shingles)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, 2 << 20):
+        for b in pieces(batches, 1 << 20):
             sets = shingle_sets(text_buffer(b.column("text")), k)
             sig, at = signatures([s for s in sets if len(s)]), 0
             rows = []
@@ -276,14 +276,14 @@ def _confirmed(close: DataFrame, docs: DataFrame, k: int, similar: int) -> DataF
     The pairs of one a are dealt to SPREAD groups. A group holds a's text once, ahead of the texts it is
     compared with, so that a centre of a million pairs isn't sent a million times, nor to one task.
     """
-    texts = _with_ids(docs, close.select(F.col("a").alias("id")).union(close.select("b"))).groupBy("doc_id").agg(F.first("text").alias("text"))
+    texts = materialize(_with_ids(docs, close.select(F.col("a").alias("id")).union(close.select("b"))).groupBy("doc_id").agg(F.first("text").alias("text")), "pair-texts")
     dealt = close.withColumn("deal", F.pmod(F.xxhash64("b"), F.lit(SPREAD)).cast("int"))
     members = dealt.select("a", "deal", F.col("b").alias("id"), F.lit(1).alias("turn")).unionByName(dealt.select("a", "deal", F.col("a").alias("id"), F.lit(0).alias("turn")).distinct())
     rows = members.join(texts.withColumnRenamed("doc_id", "id"), "id").select("a", "deal", "turn", "id", "text").repartition("a", "deal").sortWithinPartitions("a", "deal", "turn")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.zeros(0, np.uint64)
-        for b in pieces(batches, 2 << 20):
+        for b in pieces(batches, 1 << 18):
             found = []
             sets = shingle_sets(text_buffer(b.column("text")), k)
             for a, turn, i, x in zip(b.column("a").to_pylist(), b.column("turn").to_pylist(), b.column("id").to_pylist(), sets, strict=True):
