@@ -370,10 +370,10 @@ def fundamentals_panel(spark, d):
 RATIOS = ["earnings_yield", "book_to_market", "roa", "debt_to_equity", "current_ratio", "sales_growth_yoy", "op_income_growth_yoy"]
 
 
-@query("select ticker, date, " + ", ".join(f"round({c}, 5) as {c}" for c in RATIOS) + " from {ratios}")
+@query("select ticker, date, " + ", ".join(f"round({c}, 9) as {c}" for c in RATIOS) + " from {ratios}")
 def fundamental_ratios(spark, d):
     fund = fundamentals.fundamentals(bind(spark, d, "facts_raw"), bind(spark, d, "splits"))
-    return rounded(fundamentals.attach_fundamentals(bind(spark, d, "bars").select("ticker", "date", "close"), fund), "ticker", "date", *RATIOS, places=5)
+    return rounded(fundamentals.attach_fundamentals(bind(spark, d, "bars").select("ticker", "date", "close"), fund), "ticker", "date", *RATIOS, places=9)
 
 
 @query("select ticker, period_end from {fund3} where not coalesce(mrq_lt_debt / nullif(greatest(mrq_equity, 0), 0) > 10, false) and not coalesce(ttm_revenue / nullif(greatest(ttm_revenue_prior, 0), 0) - 1 < -0.05, false)")

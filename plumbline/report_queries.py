@@ -68,7 +68,7 @@ _PANEL = {
     **{k: v for q in ("market_context", "market_regime", "macro_regime", "earnings_distance", "insider_activity") for k, v in RAW[q][1].items()},
 }
 _PLAIN = [c for c in panel.COLUMNS if not c.endswith("_rank")]
-_places = lambda c: 5 if c in panel.FUNDAMENTAL else 2 if c == "insider_net_dollar_60d" else 6
+_places = lambda c: 9 if c in panel.FUNDAMENTAL else 2 if c == "insider_net_dollar_60d" else 6
 _WHOLE = ("date", "ticker", "gics_sector", *panel.EARNINGS, *panel.INSIDER)
 
 
