@@ -271,15 +271,20 @@ def _close(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def _confirmed(close: DataFrame, docs: DataFrame, k: int, similar: int) -> DataFrame:
-    """Those of pairs (a, b: class ids) whose full sets are similar.
+    """Those of pairs (a, b: class ids) whose full sets are similar."""
+    texts = materialize(_with_ids(docs, close.select(F.col("a").alias("id")).union(close.select("b"))).groupBy("doc_id").agg(F.first("text").alias("text")), "pair-texts")
+    return confirm(close, texts.withColumnRenamed("doc_id", "id"), k, similar)
+
+
+def confirm(close: DataFrame, texts: DataFrame, k: int, similar: int) -> DataFrame:
+    """Those of pairs (a, b) whose full sets, of texts (id, text), are similar.
 
     The pairs of one a are dealt to SPREAD groups. A group holds a's text once, ahead of the texts it is
     compared with, so that a centre of a million pairs isn't sent a million times, nor to one task.
     """
-    texts = materialize(_with_ids(docs, close.select(F.col("a").alias("id")).union(close.select("b"))).groupBy("doc_id").agg(F.first("text").alias("text")), "pair-texts")
     dealt = close.withColumn("deal", F.pmod(F.xxhash64("b"), F.lit(SPREAD)).cast("int"))
     members = dealt.select("a", "deal", F.col("b").alias("id"), F.lit(1).alias("turn")).unionByName(dealt.select("a", "deal", F.col("a").alias("id"), F.lit(0).alias("turn")).distinct())
-    rows = members.join(texts.withColumnRenamed("doc_id", "id"), "id").select("a", "deal", "turn", "id", "text").repartition("a", "deal").sortWithinPartitions("a", "deal", "turn")
+    rows = members.join(texts, "id").select("a", "deal", "turn", "id", "text").repartition("a", "deal").sortWithinPartitions("a", "deal", "turn")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.zeros(0, np.uint64)

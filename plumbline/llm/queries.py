@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, decontaminate, line_dedup, lm, near_dup, quality, sharding, suffix_dedup, token_counts, toxicity
+from plumbline.llm import bpe, clustering, decontaminate, divergence, line_dedup, lm, near_dup, ngram_join, quality, sharding, suffix_dedup, token_counts, toxicity
 from plumbline.llm.common import read_table
 from plumbline.llm.tokens import default_path
 
@@ -51,5 +51,17 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_encode_decode, op2_balanced_shards, op3_minhash_near_dups, op4_token_counts, op5_toxicity, op6_benchmark_leaks, op7_quality_rules, op8_line_dedup, op9_lm_scores, op10_suffix_array_dedup)}
-SQL = {"op8_line_dedup": line_dedup.LINE_DEDUP_SQL}
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(read_table(spark, sf_dir, "documents"))
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(read_table(spark, sf_dir, "documents"), k=4, similar=85)
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe_encode_decode, op2_balanced_shards, op3_minhash_near_dups, op4_token_counts, op5_toxicity, op6_benchmark_leaks, op7_quality_rules, op8_line_dedup, op9_lm_scores, op10_suffix_array_dedup, op11_source_divergence, op12_centroid_clusters, op13_ngram_jaccard_join)}
+SQL = {"op8_line_dedup": line_dedup.LINE_DEDUP_SQL, "op11_source_divergence": divergence.DIVERGENCE_SQL, "op12_centroid_clusters": clustering.CLUSTER_SQL}
