@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.functions.quantiles import with_quantiles
 from plumbline.functions.scratch import written
 from plumbline.functions.windows import dotted_ticker
 from plumbline.operators import events, fundamentals, membership, portfolio, short_interest, technicals
@@ -257,13 +258,17 @@ def forward_labels(spark, d):
 @query("select split, count(*) as n_rows, min(date) as first_date, max(date) as last_date, count(distinct ticker) as n_tickers, round(avg(forward_21d_return), 6) as mean, round(stddev_samp(forward_21d_return), 6) as std, round(median(forward_21d_return), 6) as median, round(avg(case when forward_21d_return > 0 then 1.0 else 0.0 end), 6) as positive from {labelled} group by split")
 def split_summary(spark, d):
     y = F.col("forward_21d_return")
-    s = labelled(spark, d).groupBy("split").agg(F.count("*").alias("n_rows"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.countDistinct("ticker").alias("n_tickers"), F.avg(y).alias("mean"), F.stddev_samp(y).alias("std"), F.expr("percentile(forward_21d_return, 0.5)").alias("median"), F.avg((y > 0).cast("double")).alias("positive"))
+    p = written(labelled(spark, d).select("split", "date", "ticker", "forward_21d_return"), "labelled")
+    s = p.groupBy("split").agg(F.count("*").alias("n_rows"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.countDistinct("ticker").alias("n_tickers"), F.avg(y).alias("mean"), F.stddev_samp(y).alias("std"), F.avg((y > 0).cast("double")).alias("positive"))
+    s = with_quantiles(s, p, "forward_21d_return", {"median": 0.5}, ("split",))
     return rounded(s, *s.columns)
 
 
 @query("select count(*) as n, round(avg(forward_21d_return), 6) as mean, round(min(forward_21d_return), 6) as low, round(quantile_cont(forward_21d_return, 0.25), 6) as q25, round(median(forward_21d_return), 6) as median, round(stddev_samp(forward_21d_return), 6) as std, round(quantile_cont(forward_21d_return, 0.75), 6) as q75, round(max(forward_21d_return), 6) as high, sum(case when abs(f) > 0.5 then 1 else 0 end) as n_clipped from {labelled}")
 def label_describe(spark, d):
-    s = labelled(spark, d).agg(F.count("*").alias("n"), F.avg("forward_21d_return").alias("mean"), F.min("forward_21d_return").alias("low"), F.expr("percentile(forward_21d_return, 0.25)").alias("q25"), F.expr("percentile(forward_21d_return, 0.5)").alias("median"), F.stddev_samp("forward_21d_return").alias("std"), F.expr("percentile(forward_21d_return, 0.75)").alias("q75"), F.max("forward_21d_return").alias("high"), F.count_if("clipped").alias("n_clipped"))
+    p = written(labelled(spark, d).select("forward_21d_return", "clipped"), "labelled")
+    s = p.agg(F.count("*").alias("n"), F.avg("forward_21d_return").alias("mean"), F.min("forward_21d_return").alias("low"), F.stddev_samp("forward_21d_return").alias("std"), F.max("forward_21d_return").alias("high"), F.count_if("clipped").alias("n_clipped"))
+    s = with_quantiles(s, p, "forward_21d_return", {"q25": 0.25, "median": 0.5, "q75": 0.75})
     return rounded(s, *s.columns)
 
 

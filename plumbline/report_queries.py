@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -248,10 +250,29 @@ def _labelled_panel(spark: SparkSession, d: str) -> DataFrame:
     return written(membership.time_split(membership.label(p)), "labelled-panel")
 
 
+_ONCE: dict[tuple, object] = {}
+
+
+def _once(spark: SparkSession, d: str, what: str, make):
+    """What the ranker's queries share is made once for a session and a data folder."""
+    key = spark.sparkContext.applicationId, d, what
+    if key not in _ONCE:
+        _ONCE[key] = make()
+    return _ONCE[key]
+
+
+def _prepared(spark: SparkSession, d: str) -> model.Prepared:
+    return _once(spark, d, "prepared", lambda: model.prepare(_labelled_panel(spark, d), panel.NUMERIC, panel.CATEGORICAL, TARGET))
+
+
+def _fitted(spark: SparkSession, d: str) -> tuple[model.Trees, int, DataFrame]:
+    return _once(spark, d, "fitted", lambda: model.fit_ranked(_prepared(spark, d), TARGET, N))
+
+
 def _ranked_panel(spark: SparkSession, d: str) -> DataFrame:
-    """The labelled panel with the prediction of a model of its train rows."""
-    p = _labelled_panel(spark, d)
-    return model.score(model.fit(p, panel.NUMERIC, panel.CATEGORICAL, TARGET), p)
+    """The labelled panel with the prediction of as many rounds as rank the val rows best."""
+    trees, k, _ = _fitted(spark, d)
+    return model.score(trees, _prepared(spark, d).table, k)
 
 
 @query()
@@ -259,6 +280,13 @@ def boosted_ranker(spark, d):
     return _ranked_panel(spark, d).select("ticker", "date", "split", TARGET, "predicted_return")
 
 
+@query()
+def ranker_rounds(spark, d):
+    """The metrics of val after each round, and the round that training is stopped at."""
+    _, k, rounds = _fitted(spark, d)
+    return rounds.select("k", "topn_mean", "rmse", (F.col("k") == k).alias("best"))
+
+
 @query()
 def ranker_evaluation(spark, d):
     """rmse, ic, decile spread, top-n mean and ratio of the model on train, val and test."""
@@ -281,13 +309,56 @@ def ranker_picks(spark, d):
 
 @query()
 def ranker_importances(spark, d):
-    """Importances by seed, and which features are zero for all."""
-    p = _labelled_panel(spark, d)
-    return portfolio.stability(model.importances(p.where("split = 'train'"), panel.NUMERIC, panel.CATEGORICAL, TARGET, [1, 2], maxIter=2), [1, 2])
+    """Importances by seed, and which features are zero for all five and so may go."""
+    seeds = [1, 2, 3, 4, 5]
+    return portfolio.stability(model.importances(_prepared(spark, d), TARGET, seeds, n_estimators=10), seeds)
 
 
 @query()
 def ranker_search(spark, d):
-    """Parameters of a seeded random grid with their mean return of the best n on val."""
-    p = _labelled_panel(spark, d)
-    return model.search_table(p, panel.NUMERIC, panel.CATEGORICAL, TARGET, N, trials=2, maxIter=2)
+    """Twenty trials over all seven parameters, few rounds each, with the best round's mean return of the best n on val."""
+    return model.search_table(_prepared(spark, d), TARGET, N, trials=20, first=10, ranges={"n_estimators": (3, 8, False), "learning_rate": (0.02, 0.3, True)})
+
+
+_BINNED = ["vol_60d", "earnings_yield", "roa", "days_to_earnings", "days_since_last_insider_buy", "gap"]
+
+
+@query(
+    "select feature, bin, count(*) as n from (select r.feature, case when r.x is null then -1 else (select count(*) from {edges} e where e.feature = r.feature and e.edge <= r.x) end as bin from {long} r) q group by feature, bin",
+    picked="select round(vol_60d, 6) as vol_60d, round(earnings_yield, 9) as earnings_yield, round(roa, 9) as roa, cast(days_to_earnings as double) as days_to_earnings, cast(days_since_last_insider_buy as double) as days_since_last_insider_buy, case when cast(ticker as int) % 3 > 0 then round(ret_63d, 6) end as gap from {panel} where date <= date '1998-12-31'",
+    long="select * from {picked} unpivot include nulls (x for feature in (" + ", ".join(_BINNED) + "))",
+    edges="select distinct feature, unnest(quantile_cont(x, [" + ", ".join(f"{i / 8}" for i in range(1, 8)) + "])) as edge from {long} where x is not null group by feature", **_PANEL,
+)
+def ranker_bins(spark, d):
+    """How many train rows each bin of a feature holds, missing values (-1) too."""
+    p = feature_table(spark, d).where("date <= '1998-12-31'").withColumns({"split": F.lit("train"), "gap": F.when(F.col("ticker").cast("int") % 3 > 0, F.col("ret_63d"))})
+    p = written(p.select("split", F.lit(0.0).alias("y"), *[F.round(F.col(c).cast("double"), 9 if c in panel.FUNDAMENTAL else 6).alias(c) for c in _BINNED]), "binned")
+    q = model.prepare(p, _BINNED, [], "y", 8)
+    bins = q.table.select(F.posexplode(vector_to_array("__features")).alias("i", "bin"))
+    names = F.array(*[F.lit(c) for c in _BINNED])
+    low = F.create_map(*[x for c in _BINNED for x in (F.lit(c), F.lit(float(q.missing[c])))])
+    return bins.where(F.col("i") < len(_BINNED)).select(names[F.col("i")].alias("feature"), "bin").groupBy("feature", F.when(F.col("bin") == low[F.col("feature")], -1).otherwise(F.col("bin")).cast("long").alias("bin")).agg(F.count("*").alias("n"))
+
+
+# Three small trees over three ranks, for holding staged scores against a statement.
+_STATED = model.Trees(
+    feature=[np.array([0, 1, 0, 0, 0]), np.array([2, 0, 0]), np.array([1, 0, 2, 0, 0])],
+    threshold=[np.array([0.5, 0.3, 0, 0, 0]), np.array([0.7, 0, 0]), np.array([0.6, 0, 0.25, 0, 0])],
+    categories=[[None] * 5, [None] * 3, [None] * 5],
+    left=[np.array([1, 2, 2, 3, 4]), np.array([1, 1, 2]), np.array([1, 1, 3, 3, 4])],
+    right=[np.array([4, 3, 2, 3, 4]), np.array([2, 1, 2]), np.array([2, 1, 4, 3, 4])],
+    value=[np.array([0, 0, 0.02, -0.01, 0.03]), np.array([0, -0.005, 0.01]), np.array([0, 0.004, 0, -0.02, 0.006])],
+)
+
+
+@query(
+    "select k, round(avg(top), 6) as topn_mean, round(sqrt(sum(se) / sum(n)), 6) as rmse from (select k, date, case when max(c) >= 5 then avg(case when r <= 5 then y end) end as top, sum((y - p) * (y - p)) as se, count(*) as n from (select *, row_number() over (partition by k, date order by p desc, ticker) as r, count(*) over (partition by k, date) as c from {stages}) q group by k, date) d group by k",
+    steps="select ticker, date, forward_21d_return as y, case when a <= 0.5 then case when b <= 0.3 then 0.02 else -0.01 end else 0.03 end as p1, case when c <= 0.7 then -0.005 else 0.01 end as p2, case when b <= 0.6 then 0.004 when c <= 0.25 then -0.02 else 0.006 end as p3 from (select ticker, date, forward_21d_return, coalesce(round(dist_52w_high_rank, 6), -1) as a, coalesce(round(vol_60d_rank, 6), -1) as b, coalesce(round(ret_63d_rank, 6), -1) as c from {labelled}) q",
+    stages="select ticker, date, y, 1 as k, p1 as p from {steps} union all select ticker, date, y, 2, p1 + p2 from {steps} union all select ticker, date, y, 3, p1 + p2 + p3 from {steps}",
+)
+def staged_rank_metrics(spark, d):
+    """Metrics after each of three stated trees."""
+    p = membership.label(scored(spark, d))
+    x = F.array(*[F.coalesce(F.round(c, 6), F.lit(-1.0)) for c in ("dist_52w_high_rank", "vol_60d_rank", "ret_63d_rank")])
+    out = model.round_metrics(model.staged(_STATED, p.select("ticker", "date", "forward_21d_return", x.alias("__features"))), "forward_21d_return", N)
+    return rounded(out, *out.columns)
