@@ -19,6 +19,77 @@ def rolling(agg, x: Column, n: int, key: str | None = "ticker", order: str = "da
     return F.when(F.count(x).over(w) == n, agg(x).over(w))
 
 
+def rolled(df: DataFrame, wanted: dict[str, tuple], key: str = "ticker", order: str = "date") -> DataFrame:
+    """df with rolling values that cost the same for every window length.
+
+    wanted: name -> (kind, column, n), or ("cov", x, y, n); kinds are sum, avg, max, var and std (of a sample). A
+    value is null unless all of the last n rows have one. A sliding frame would add up n rows for each row; here windows
+    of 1, 2, 4, ... rows are each made of two of half the length, one of them `lag` rows back, and n rows of
+    at most two or a few of those. Means and squared deviations are merged like partial aggregates, so nothing cancels out.
+    All lags share one sort. Columns are numbers.
+    """
+    w = by_key(key, order)
+    size: dict[tuple, int] = {}  # quantity -> the longest window that is needed of it
+
+    def need(q: tuple, n: int) -> None:
+        size[q] = max(size.get(q, 1), 1 << (n.bit_length() - 1))
+
+    for kind, *xs, n in wanted.values():
+        for q in {"max": [("max", *xs)], "sum": [("sum", *xs)], "avg": [("sum", *xs)]}.get(kind, [("sum", x) for x in xs] + [("co", xs[0], xs[-1])]):
+            need(q, n)
+    name = lambda q, m: "__" + "_".join((*q, str(m)))
+    c = lambda q, m: F.col(name(q, m))
+    for q, m in [(q, m) for q, m in size.items() if q[0] == "co"]:
+        for x in q[1:]:
+            size["sum", x] = max(size.get(("sum", x), 1), m)
+    d = df.withColumns({name(q, 1): F.col(q[1]).cast("double") if q[0] != "co" else (F.col(q[1]) * F.col(q[2])).cast("double") * 0 for q in size})
+    m = 1
+    while 2 * m <= max(size.values(), default=1):
+        now = [q for q, most in size.items() if most >= 2 * m]
+        d = d.withColumns({f"{name(q, m)}_back": F.lag(name(q, m), m).over(w) for q in now})
+        back = lambda q: F.col(f"{name(q, m)}_back")  # noqa: B023, E731
+        apart = lambda x: (c(("sum", x), m) - back(("sum", x))) / m  # noqa: B023, E731
+        joined = {"sum": lambda q: c(q, m) + back(q), "max": lambda q: _both_max(c(q, m), back(q)), "co": lambda q: c(q, m) + back(q) + apart(q[1]) * apart(q[2]) * (m / 2)}  # noqa: B023
+        d = d.withColumns({name(q, 2 * m): joined[q[0]](q) for q in now})
+        m *= 2
+    # n rows are windows of its powers of two, one behind the other; for a maximum two that overlap do.
+    parts: dict[str, list[tuple[int, int]]] = {}
+    for out, (kind, *_, n) in wanted.items():
+        powers = [1 << i for i in reversed(range(n.bit_length())) if n >> i & 1]
+        parts[out] = [(powers[0], 0), (powers[0], n - powers[0])] if kind == "max" else [(p, sum(powers[:i])) for i, p in enumerate(powers)]
+    lags = {}
+    for out, (kind, *xs, _) in wanted.items():
+        used = [("max", *xs)] if kind == "max" else [("sum", x) for x in xs] + ([] if kind in ("sum", "avg") else [("co", xs[0], xs[-1])])
+        for q in used:
+            lags |= {f"{name(q, p)}_at_{off}": F.lag(name(q, p), off).over(w) for p, off in parts[out] if off}
+    d = d.withColumns(lags)
+    at = lambda q, p, off: F.col(f"{name(q, p)}_at_{off}") if off else c(q, p)
+
+    def value(out: str) -> Column:
+        kind, *xs, n = wanted[out]
+        if kind == "max":
+            return _both_max(*[at(("max", *xs), p, off) for p, off in parts[out]])
+        sums, co, seen = None, None, 0
+        for p, off in parts[out]:
+            s = [at(("sum", x), p, off) for x in xs]
+            if kind not in ("sum", "avg"):
+                own = at(("co", xs[0], xs[-1]), p, off)
+                step = [a / seen - b / p for a, b in zip(sums, s, strict=True)] if sums else None
+                co = own if co is None else co + own + step[0] * step[-1] * (seen * p / (seen + p))
+            sums = s if sums is None else [a + b for a, b in zip(sums, s, strict=True)]
+            seen += p
+        if kind in ("var", "std"):  # what rounding leaves of equal values is no deviation
+            co = F.when(co > 1e-24 * n * F.pow(sums[0] / n, 2), co).when(co.isNotNull(), 0.0)
+        spread = co / (n - 1) if kind not in ("sum", "avg") and n > 1 else None
+        return {"sum": sums[0], "avg": sums[0] / n}.get(kind, F.sqrt(spread) if kind == "std" and spread is not None else spread)
+
+    return d.select(*df.columns, *[value(out).alias(out) for out in wanted])
+
+
+def _both_max(a: Column, b: Column) -> Column:
+    return F.when(a.isNotNull() & b.isNotNull(), F.greatest(a, b))
+
+
 def clean_ticker(x: Column) -> Column:
     """Share classes behind a hyphen: BRK.B is BRK-B."""
     return F.translate(F.trim(x), ".", "-")

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.windows import by_key, ewm_mean, rolling
+from plumbline.functions.windows import by_key, ewm_mean, rolled, rolling
 
 YEAR = math.sqrt(252)
 
@@ -23,19 +23,23 @@ def rolling_technicals(bars: DataFrame) -> DataFrame:
     step = F.col("typical") - F.lag("typical").over(by_key())
     flow = F.col("typical") * F.col("volume")
     d = d.withColumn("up_flow", F.when(step > 0, flow).otherwise(0.0)).withColumn("down_flow", F.when(step < 0, flow).otherwise(0.0))
-    sma = {n: rolling(F.avg, c, n) for n in (20, 50, 60, 200)}
-    up, down = rolling(F.sum, F.col("up_flow"), 14), rolling(F.sum, F.col("down_flow"), 14)
-    z = lambda n: (c - sma[n]) / F.nullif(rolling(F.stddev_samp, c, n), F.lit(0.0))
-    return d.withColumns(
+    d = rolled(d, {
+        **{f"__sma{n}": ("avg", "close", n) for n in (20, 50, 60, 200)}, **{f"__sd{n}": ("std", "close", n) for n in (20, 60)},
+        **{f"__vol{n}": ("std", "log_ret", n) for n in (20, 60)}, "__volume20": ("avg", "volume", 20), "__high": ("max", "close", 252), "__up": ("sum", "up_flow", 14), "__down": ("sum", "down_flow", 14),
+    })
+    sma, up, down = {n: F.col(f"__sma{n}") for n in (20, 50, 60, 200)}, F.col("__up"), F.col("__down")
+    z = lambda n: (c - sma[n]) / F.nullif(F.col(f"__sd{n}"), F.lit(0.0))
+    d = d.withColumns(
         {f"ret_{n}d": ret(n) for n in (1, 5, 21, 63)}
-        | {f"vol_{n}d": rolling(F.stddev_samp, F.col("log_ret"), n) * YEAR for n in (20, 60)}
+        | {f"vol_{n}d": F.col(f"__vol{n}") * YEAR for n in (20, 60)}
         | {
-            "vol_ratio": F.col("volume") / F.nullif(rolling(F.avg, F.col("volume"), 20), F.lit(0.0)),
-            "dist_sma50": c / sma[50] - 1, "dist_sma200": c / sma[200] - 1, "dist_52w_high": c / rolling(F.max, c, 252) - 1,
+            "vol_ratio": F.col("volume") / F.nullif(F.col("__volume20"), F.lit(0.0)),
+            "dist_sma50": c / sma[50] - 1, "dist_sma200": c / sma[200] - 1, "dist_52w_high": c / F.col("__high") - 1,
             "trend_regime": F.coalesce(sma[50] > sma[200], F.lit(False)).cast("double"), "zscore_20d": z(20), "zscore_60d": z(60),
             "mfi_14": F.when(down > 0, 100 - 100 / (1 + up / F.nullif(down, F.lit(0.0)))).when(up > 0, 100.0),
         }
-    ).drop("log_ret", "typical", "up_flow", "down_flow")
+    )
+    return d.drop("log_ret", "typical", "up_flow", "down_flow", *[x for x in d.columns if x.startswith("__")])
 
 
 def _rsi(gain: Column, loss: Column) -> Column:
@@ -77,11 +81,9 @@ def market_context(bars: DataFrame, market: DataFrame, keys: tuple[str, ...] = (
     keys: columns by which both tables hold several calendars side by side. The market has a row a date: it is broadcast.
     """
     d = bars.join(F.broadcast(spy_returns(market, keys)), ["date", *keys], "left").withColumns({f"ret_{n}d": ret(n) for n in (1, 5, 21)})
-    both = F.when(F.col("ret_1d").isNotNull() & F.col("spy_1d").isNotNull(), F.lit(1))
-    w = by_key().rowsBetween(-59, 0)
-    cov = F.when(F.count(both).over(w) == 60, F.covar_samp("ret_1d", "spy_1d").over(w))
-    beta = cov / F.nullif(rolling(F.var_samp, F.col("spy_1d"), 60), F.lit(0.0))
-    return d.withColumns({"beta_60d": beta, "excess_ret_5d": F.col("ret_5d") - F.col("spy_5d"), "excess_ret_21d": F.col("ret_21d") - F.col("spy_21d")}).drop("spy_1d", "spy_5d", "spy_21d")
+    d = rolled(d, {"__cov": ("cov", "ret_1d", "spy_1d", 60), "__var": ("var", "spy_1d", 60)})
+    beta = F.col("__cov") / F.nullif(F.col("__var"), F.lit(0.0))
+    return d.withColumns({"beta_60d": beta, "excess_ret_5d": F.col("ret_5d") - F.col("spy_5d"), "excess_ret_21d": F.col("ret_21d") - F.col("spy_21d")}).drop("spy_1d", "spy_5d", "spy_21d", "__cov", "__var")
 
 
 def features(bars: DataFrame, market: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
