@@ -87,19 +87,25 @@ def trade_counts(trades: DataFrame, tickers: list[str] | None = None) -> DataFra
     return d.groupBy("ticker").agg(F.count("*").alias("n"))
 
 
-def insider_activity(panel: DataFrame, trades: DataFrame, window: int = 60, cap: int = 365) -> DataFrame:
-    """Counts and net value over (D - window, D] and days since the last purchase.
-
-    Trades are added up by ticker and day first, so that a busy ticker's window holds a row a day.
-    """
+def insider_days(trades: DataFrame) -> DataFrame:
+    """Trades added up by ticker and day of filing: purchases b, sales s, net value v, p the day if anything was bought."""
     buy = F.col("transaction_code") == "P"
     v = F.col("value").cast("decimal(18,2)")
-    day = trades.groupBy("ticker", F.col("filing_date").alias("date")).agg(F.count_if(buy).alias("b"), F.count_if(~buy).alias("s"), F.sum(F.when(buy, v).otherwise(-v)).alias("v"), F.max(F.when(buy, F.col("filing_date"))).alias("p"))
+    return trades.groupBy("ticker", F.col("filing_date").alias("date")).agg(F.count_if(buy).alias("b"), F.count_if(~buy).alias("s"), F.sum(F.when(buy, v).otherwise(-v)).alias("v"), F.max(F.when(buy, F.col("filing_date"))).alias("p"))
+
+
+def activity_of_days(panel: DataFrame, days: DataFrame, window: int = 60, cap: int = 365) -> DataFrame:
+    """Counts and net value over (D - window, D] and days since the last purchase, from totals by ticker and day."""
     kind = panel.select(F.struct("*").alias("row")).schema["row"].dataType
     zero = {"b": F.lit(0).cast("long"), "s": F.lit(0).cast("long"), "v": F.lit(0).cast("decimal(28,2)"), "p": F.lit(None).cast("date")}
-    both = day.withColumn("row", F.lit(None).cast(kind)).unionByName(panel.select("ticker", "date", F.struct("*").alias("row")).withColumns(zero))
+    both = days.withColumn("row", F.lit(None).cast(kind)).unionByName(panel.select("ticker", "date", F.struct("*").alias("row")).withColumns(zero))
     both = both.withColumn("n", F.datediff("date", F.lit("1970-01-01").cast("date")))
     w = Window.partitionBy("ticker").orderBy("n")
     near, all_ = w.rangeBetween(1 - window, 0), w.rangeBetween(Window.unboundedPreceding, 0)
     d = both.withColumns({"b60": F.sum("b").over(near), "s60": F.sum("s").over(near), "v60": F.sum("v").over(near), "lastp": F.max("p").over(all_)}).where("row is not null")
     return d.select("row.*", F.col("b60").alias("insider_buy_count_60d"), F.col("s60").alias("insider_sell_count_60d"), F.col("v60").cast("double").alias("insider_net_dollar_60d"), F.when(F.col("lastp").isNotNull(), F.least(F.datediff(F.col("row.date"), F.col("lastp")), F.lit(cap))).alias("days_since_last_insider_buy"))
+
+
+def insider_activity(panel: DataFrame, trades: DataFrame, window: int = 60, cap: int = 365) -> DataFrame:
+    """activity_of_days of trades: they are added up first, so that a busy ticker's window holds a row a day."""
+    return activity_of_days(panel, insider_days(trades), window, cap)

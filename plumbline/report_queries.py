@@ -14,6 +14,7 @@ from plumbline.queries import LIMITS, N, PASSES, PERF, RATIOS, RAW, STATS, _mark
 from plumbline.sources import tables
 from plumbline.sources.bindings import bind
 from plumbline.streaming import stream
+from plumbline.streaming.months import MonthTable
 
 # ---- landed JSON
 
@@ -237,7 +238,40 @@ def streamed_upsert(spark, d):
     for part in (old, new):
         part.write.mode("append").parquet(landed)
         stream.upsert_bars(spark.readStream.schema(part.schema).parquet(landed), table, checkpoint).awaitTermination()
-    return stream.read_bars(spark, table).select("ticker", "date", "close", "late")
+    return stream.read_bars(spark, table, new.schema).select("ticker", "date", "close", "late")
+
+
+@query(
+    "select 'merged' as state, o.n + w.n as n_folders, 2 as n_versions, r.n as n_rows, r.s as sum_close from {o} o, {w} w, {r} r union all select 'cleaned', a.n, 1, r.n, r.s from {a} a, {r} r",
+    o="select count(distinct date_trunc('month', date)) as n from {bars} where date < date '2001-01-01'", w="select count(distinct date_trunc('month', date)) as n from {bars} where date >= date '2000-06-01'",
+    a="select count(distinct date_trunc('month', date)) as n from {bars}", r="select count(*) as n, cast(sum(cast(round(close, 4) as decimal(18, 4))) as double) as s from {bars}",
+)
+def table_upkeep(spark, d):
+    """Folders, versions and rows of the streamed bars before and after what no reader needs is removed."""
+    bars = bind(spark, d, "bars").select("ticker", "date", F.round("close", 4).alias("close"))
+    table = MonthTable(spark, new_path(spark, "upkeep"), bars.schema)
+    table.merge(written(bars.where("date < '2001-01-01'"), "delivery"), 0, lambda old, new: membership.merge_tail(old, new, ["ticker", "date"]))
+    table.merge(written(bars.where("date >= '2000-06-01'"), "delivery"), 1, lambda old, new: membership.merge_tail(old, new, ["ticker", "date"]))
+    seen = []
+    for state in ("merged", "cleaned"):
+        if state == "cleaned":
+            table.clean()
+        counts = table.read().agg(F.count("*").alias("n_rows"), F.sum(F.col("close").cast("decimal(18,4)")).cast("double").alias("sum_close"))
+        seen.append(written(counts.select(F.lit(state).alias("state"), F.lit(table.folders()).cast("long").alias("n_folders"), F.lit(len(table.versions())).alias("n_versions"), "n_rows", "sum_close"), "upkeep-state"))
+    return seen[0].unionByName(seen[1])
+
+
+@query(RAW["insider_activity"][0], **RAW["insider_activity"][1])
+def streamed_insider_activity(spark, d):
+    """Insider activity from two deliveries of trades that overlap; the second one also brings late trades of all years."""
+    trades, rows = written(_trades(spark, d), "trades"), bind(spark, d, "bars").select("ticker", "date")
+    rows = written(rows, "panel-rows")
+    landed, table, checkpoint = (new_path(spark, x) for x in ("landed-trades", "insider", "insider-checkpoint"))
+    late = F.pmod(F.xxhash64("ticker", "filing_date", "shares"), F.lit(3)) == 0
+    for part in (trades.where((F.col("filing_date") < "2000-06-01") & ~late), trades.where((F.col("filing_date") >= "1999-06-01") | late)):
+        part.write.mode("append").parquet(landed)
+        stream.insider_stream(spark.readStream.schema(trades.schema).parquet(landed), rows, table, checkpoint).awaitTermination()
+    return stream.read_insider(spark, rows, table).withColumn("insider_net_dollar_60d", F.round("insider_net_dollar_60d", 2))
 
 
 # ---- the ranker: trained here, so there is no statement to hold it against
