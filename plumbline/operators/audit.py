@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.scratch import written
 from plumbline.operators.membership import seeded_sample
 
 
@@ -43,3 +44,28 @@ def require_no_lookahead(pairs: DataFrame) -> None:
     """Raises LookaheadError with the features that look ahead."""
     if bad := lookahead_summary(pairs).where("n_mismatched > 0").orderBy("feature").collect():
         raise LookaheadError(", ".join(f"{r.feature}: {r.n_mismatched} of {r.n_compared}" for r in bad))
+
+
+#: When a row of each dated input became known. Splits aren't cut, as prices are adjusted for all of them; nor are sectors, which have no date.
+KNOWN_FROM = {"bars": "date", "market": "date", "members": "date", "earnings": "report_date", "trades": "filing_date", "facts": "filed", "macro": "date"}
+#: Columns that tell the future by what is scheduled.
+SCHEDULED = ("days_to_earnings",)
+
+
+def panel_pairs(inputs: dict[str, DataFrame], dates: list, compute: Callable[..., DataFrame], columns: list[str], tol: float = 1e-6) -> DataFrame:
+    """ticker, date, feature, full, cut, same: every row of the dates, from all inputs and from inputs cut at what was known on that date.
+
+    compute(**inputs) gives the panel. All tickers of a date are computed again, so ranks and sector means are compared too. A date is a job of its own.
+    """
+    full = compute(**inputs).where(F.col("date").isin(dates)).select("ticker", "date", *columns)
+    again = None
+    for day in dates:
+        known = {k: d.where(F.col(KNOWN_FROM[k]) <= F.lit(day)) if k in KNOWN_FROM else d for k, d in inputs.items()}
+        rows = written(compute(**known).where(F.col("date") == F.lit(day)).select("ticker", "date", *columns), "cut-panel")
+        again = rows if again is None else again.unionByName(rows)
+    if again is None:
+        again = full.limit(0)
+    long = lambda d, v: d.select("ticker", "date", *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(["ticker", "date"], columns, "feature", v).withColumn(f"__{v}", F.lit(True))
+    both = long(full, "full").join(long(again, "cut"), ["ticker", "date", "feature"], "full")
+    value = (F.col("full").isNull() & F.col("cut").isNull()) | F.coalesce(F.abs(F.col("full") - F.col("cut")) <= tol + tol * F.abs("full"), F.lit(False))
+    return both.withColumn("same", value & F.col("__full").isNotNull() & F.col("__cut").isNotNull()).drop("__full", "__cut")

@@ -11,7 +11,7 @@ from plumbline.functions.scratch import new_path, written
 from plumbline.operators import audit, events, fundamentals, membership, panel, portfolio, technicals
 from plumbline.plans import model
 from plumbline.queries import LIMITS, N, PASSES, PERF, RATIOS, RAW, STATS, _market, _nav, _PERF_OFFSET, _RANKED, _trades, query, rounded, scored
-from plumbline.sources import tables
+from plumbline.sources import landed, tables
 from plumbline.sources.bindings import bind
 from plumbline.streaming import stream
 from plumbline.streaming.months import MonthTable
@@ -60,7 +60,11 @@ def facts_cleaned(spark, d):
 
 # ---- the assembled panel
 
-_RANKS = ", ".join(f"case when {c} is not null then round((rank() over (partition by date order by {c} nulls last) + (count({c}) over (partition by date, {c}) - 1) / 2.0) / count({c}) over (partition by date), 6) end as {c}_rank" for c in panel.RANKED)
+def _rank_sql(c: str) -> str:
+    return f"case when {c} is not null then round((rank() over (partition by date order by {c} nulls last) + (count({c}) over (partition by date, {c}) - 1) / 2.0) / count({c}) over (partition by date), 6) end"
+
+
+_RANKS = ", ".join(f"{_rank_sql(c)} as {c}_rank" for c in panel.RANKED)
 _PANEL = {
     "q_context": RAW["market_context"][0], "q_regime": RAW["market_regime"][0], "q_macro": RAW["macro_regime"][0], "q_earnings": RAW["earnings_distance"][0], "q_insider": RAW["insider_activity"][0],
     "all_features": "select t.*, e.macd_hist, e.atr_pct, c.beta_60d, c.excess_ret_5d, c.excess_ret_21d, n.days_to_earnings, n.days_since_earnings, i.insider_buy_count_60d, i.insider_sell_count_60d, i.insider_net_dollar_60d, i.days_since_last_insider_buy, "
@@ -129,6 +133,50 @@ def lookahead_audit(spark, d):
     return audit.lookahead_summary(pairs)
 
 
+_AUDITED_DAYS = 2
+_WHOLE_AUDIT = [c for c in [*panel.NUMERIC, "ret_1d", "close"] if c not in audit.SCHEDULED]
+_SUMMED = ", ".join(f"cast(round({_rank_sql(c.removesuffix('_rank')) if c.endswith('_rank') else c}, 6) as decimal(28, 6)) as {c}" for c in _WHOLE_AUDIT)
+
+
+def panel_inputs(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    b = lambda name: bind(spark, d, name)
+    return {"bars": b("bars"), "market": _market(spark, d), "members": b("membership"), "sectors": b("sectors"), "earnings": events.earnings_dates(b("filings")), "trades": _trades(spark, d), "facts": b("facts_raw"), "splits": b("splits"), "macro": b("macro_long")}
+
+
+@query(
+    "select feature, count(*) as n_compared, count(v) as n_values, round(cast(sum(v) as double), 3) as sum_cut, 0 as n_mismatched from (select " + _SUMMED + " from {panel} p where date in (select date from {audit_days})) q unpivot include nulls (v for feature in (" + ", ".join(_WHOLE_AUDIT) + ")) group by feature",
+    audit_days=f"select date from (select date, row_number() over (order by md5(concat(cast(date as varchar), '|7')), date) as r from (select distinct date from {{bars}} where date >= date '1998-01-01') q) k where r <= {_AUDITED_DAYS}", **_PANEL,
+)
+def panel_audit(spark, d):
+    """All columns of all members on sampled dates, computed again from what was known by then; their sums are those of the cut inputs."""
+    inputs = {k: written(v, f"audit-{k}") for k, v in panel_inputs(spark, d).items()}
+    days = inputs["bars"].where("date >= '1998-01-01'").select("date").distinct()
+    days = [r["date"] for r in days.orderBy(F.md5(F.concat(F.col("date").cast("string"), F.lit("|7"))), "date").limit(_AUDITED_DAYS).collect()]
+    pairs = written(audit.panel_pairs(inputs, days, panel.feature_panel, _WHOLE_AUDIT), "audit-pairs")
+    sums = pairs.groupBy("feature").agg(F.round(F.sum(F.round("cut", 6).cast("decimal(28,6)")).cast("double"), 3).alias("sum_cut"))
+    return audit.lookahead_summary(pairs).join(sums, "feature").select("feature", "n_compared", "n_values", "sum_cut", "n_mismatched")
+
+
+@query(
+    "select series, case when day(date) % 9 = 5 then 'malformed' when day(date) % 9 = 7 then 'date' when value = '.' then 'missing' else 'row' end as kind, count(*) as n, case when max(case when day(date) % 9 not in (5, 7) and value <> '.' then 1 else 0 end) = 1 then round(cast(sum(cast(case when value <> '.' then value end as decimal(18, 4))) as double), 4) end as total from {macro_long} group by series, kind"
+)
+def landed_macro(spark, d):
+    """Macro series landed as text under both date headers, some lines with a field too many or a date that is none: what is read, and what is rejected why."""
+    m, path = bind(spark, d, "macro_long"), new_path(spark, "landed-macro")
+    day = F.dayofmonth("date") % 9
+    date = F.when(day == 7, "soon").otherwise(F.col("date").cast("string"))
+    new_style = F.col("series").isin("DGS10", "T5YIFR")
+    line = F.when(new_style, F.concat_ws(",", date, "value")).otherwise(F.concat_ws(",", "value", date))
+    lines = m.select("series", F.lit(1).alias("turn"), F.when(day == 5, F.concat(line, F.lit(",more"))).otherwise(line).alias("value"))
+    heads = m.select("series").distinct().select("series", F.lit(0).alias("turn"), F.when(new_style, F.concat(F.lit("observation_date,"), F.col("series"))).otherwise(F.concat(F.col("series"), F.lit(",DATE"))).alias("value"))
+    both = lines.unionByName(heads).repartition("series").sortWithinPartitions("series", "turn")
+    both.drop("turn").write.partitionBy("series").text(path)
+    rows, rejects = landed.read_macro(spark, path, r"series=([^/]+)/")
+    read = rows.groupBy("series").agg(F.count("*").alias("n"), F.round(F.sum(F.col("value").cast("decimal(18,4)")).cast("double"), 4).alias("total")).select("series", F.lit("row").alias("kind"), "n", "total")
+    lost = rejects.groupBy(F.regexp_extract("file", r"series=([^/]+)/", 1).alias("series"), F.col("reason").alias("kind")).agg(F.sum("n").alias("n")).withColumn("total", F.lit(None).cast("double"))
+    return read.unionByName(lost)
+
+
 # ---- reports
 
 
