@@ -37,7 +37,9 @@ from plumbline.llm.near_dup import _sketches, confirm, may_be_similar, shingle_s
 #: Counters of the order, and those that travel in one row.
 LEVELS, SLICE = 1 << 26, 1 << 16
 #: Rounds in which a shingle's groups are compared with one centre before all that is left is.
-STAR_ROUNDS = 2
+STAR_ROUNDS = 3
+#: Centres that a shingle has in each round after the first.
+CENTRES = 8
 #: Members of a shingle that are compared in one group, and pairs that are compared at a time.
 BLOCK, PAIRS_AT_ONCE = 512, 1 << 15
 _C1, _C2 = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
@@ -199,15 +201,24 @@ def _compared(t: pa.Table, similar: int) -> Iterator[pa.RecordBatch]:
     same = bool(t.column("lo")[0] == t.column("hi")[0])
     first = np.flatnonzero(np.r_[True, gid[1:] != gid[:-1]])
     size = np.diff(np.r_[first, len(gid)])
-    low = None
-    for g in range(len(first)):
-        others = np.arange(g, len(first))
-        others = others[_room(n[first[g]], pos[first[g]], n[first[others]], pos[first[others]], similar)]
-        mine = np.arange(first[g], first[g] + size[g])
-        member = np.concatenate([np.arange(first[o], first[o] + size[o]) for o in others]) if len(others) else mine[:0]
-        for at in range(0, len(mine), max(1, PAIRS_AT_ONCE // max(1, len(member)))):
-            some = mine[at : at + max(1, PAIRS_AT_ONCE // max(1, len(member)))]
-            x, y = np.repeat(some, len(member)), np.tile(member, len(some))
+    n, pos, lo, hi = n[first], pos[first], np.minimum.reduceat(root, first), np.maximum.reduceat(root, first)
+    whole, every, low = lo == hi, np.arange(len(first)), None
+    step = max(1, PAIRS_AT_ONCE // len(first))
+    for at in range(0, len(first), step):
+        a = every[at : at + step, None]
+        room = _room(n[a], pos[a], n[None, :], pos[None, :], similar) & (every[None, :] >= a)
+        room &= ~(whole[a] & whole[None, :] & (lo[a] == lo[None, :]))
+        g, o = np.nonzero(room)
+        g += at
+        count = size[g] * size[o]
+        ends, done = np.cumsum(count), 0
+        while done < len(g):  # a pair of groups has BLOCK * BLOCK pairs of members at most
+            to = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + PAIRS_AT_ONCE, "right")))
+            c = count[done:to]
+            pair = np.repeat(np.arange(done, to), c)
+            k = np.arange(len(pair)) - np.repeat(np.cumsum(c) - c, c)
+            x, y = first[g[pair]] + k // size[o[pair]], first[o[pair]] + k % size[o[pair]]
+            done = to
             keep = (x < y) & (root[x] != root[y]) & (same | (block[x] != block[y]))
             x, y = x[keep], y[keep]
             if len(x):
@@ -241,9 +252,9 @@ def similar_documents(docs: DataFrame, k: int = 5, similar: int = 80) -> DataFra
             node = materialize(node, "rooted")
             span = node.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
             known = buckets.drop("centre").join(span, "gid")
-            split = known.groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max(F.struct("gid", "n", "pos", F.col("lo").alias("root"))).alias("centre")).where("lo <> hi").select("key", "centre")
+            split = known.groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.array(*[F.min(F.struct(F.xxhash64("gid", "key", F.lit(turn * CENTRES + i)).alias("turn"), "gid", "n", "pos", F.col("lo").alias("root"))) for i in range(CENTRES)]).alias("centres")).where("lo <> hi").select("key", "centres")
             open_ = known.join(split, "key")
-            meet = open_.where("lo <> hi or lo <> centre.root or members > 1").select("centre", "gid", "n", "pos", "members")
+            meet = open_.withColumn("centre", F.explode("centres")).where("lo <> hi or lo <> centre.root or members > 1").select("centre", "gid", "n", "pos", "members")
         if turn < STAR_ROUNDS:
             meet = meet.where("gid <> centre.gid or members > 1").where(_room(F.col("n"), F.col("pos"), F.col("centre.n"), F.col("centre.pos"), similar))
             pairs = meet.select(F.col("centre.gid").alias("a"), "gid").distinct()  # the centre stands for its group by its first member
