@@ -15,27 +15,29 @@ leaves a task are pairs under the signature distance whose sketches (the lowest
 sets) don't rule the similarity out, each from the first key that it shares.
 
 Defined results: documents without words link with nothing; with fewer words than a shingle the
-whole sequence is the one shingle; repeated rows (one doc_id) are one document and get a row each;
-rows with a null doc_id belong to the class of their set and so to its component, but a set that no
-row with a doc_id has links with nothing (its component is null); of different texts under one doc_id
-one stands for both when pairs are confirmed; an empty table gives an empty one. Of the input only doc_id and text are read.
+whole sequence is the one shingle; repeated rows get a row each; a null doc_id takes part like any
+other document, also as a bridge, and a component of null ids alone has a null component_id; texts under
+one doc_id are documents of their own; an empty table gives an empty one. Of the input only doc_id and text are read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import LOWER, Prints, in_sketch, materialize, mix, pieces, sketch, text_buffer, words_of
 from plumbline.llm.components import components
 
-SYMBOLS, BITS, CHUNKS, DISTANCE = 64, 16, 16, 20
+SYMBOLS, BITS, CHUNKS = 64, 16, 16
+#: Share of pairs at the threshold itself that may be further apart than the signature distance.
+LOSS = 4e-4
 #: Rounds in which a bucket's members are compared with one centre before all that is left is.
 STAR_ROUNDS = 2
 #: Members of a bucket that are compared in one group, and pairs that are compared at a time.
@@ -94,7 +96,17 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def index_keys(sig: np.ndarray, chunks: int = CHUNKS, distance: int = DISTANCE) -> np.ndarray:
+def distance_for(similar: int) -> int:
+    """The least signature distance that loses at most LOSS of the pairs of that similarity (hundredths): values differ independently, each with chance 1 - similarity."""
+    p = 1 - similar / 100
+    left, d = 1.0, -1
+    while left > LOSS and d < SYMBOLS:
+        d += 1
+        left -= math.comb(SYMBOLS, d) * p**d * (1 - p) ** (SYMBOLS - d)
+    return d
+
+
+def index_keys(sig: np.ndarray, distance: int, chunks: int = CHUNKS) -> np.ndarray:
     """The keys of each signature (a row of 64-bit numbers) under which any other within `distance` meets it."""
     errors, rest = divmod(distance, chunks)
     size = sig.shape[1] // chunks
@@ -149,27 +161,34 @@ def _signature_rows(col: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), np.uint16).reshape(-1, SYMBOLS)
 
 
-def _with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in ids; a bitmap of fixed size keeps nearly all others out of the exchange."""
-    ids = materialize(ids.select(F.col("id").alias("doc_id")).distinct(), "wanted-ids")
-    bits = docs.sparkSession.sparkContext.broadcast(sketch(ids, "doc_id"))
+def class_texts(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """id and text of the classes ids; a bitmap of fixed size keeps nearly all other texts out of the exchange. classes: id and rep, one document's doc_id and digest (xxhash64 of its text)."""
+    wanted = materialize(ids.distinct().join(classes.select("id", "rep"), "id").select("id", F.col("rep.doc_id").alias("doc_id"), F.col("rep.digest").alias("digest")), "wanted")
+    bits = docs.sparkSession.sparkContext.broadcast(sketch(wanted, "digest"))
 
     @F.pandas_udf("boolean")
     def maybe(x: pd.Series) -> pd.Series:
         return pd.Series(in_sketch(bits.value, x.to_numpy(np.int64)))
 
-    return docs.where("doc_id is not null").where(maybe(F.coalesce("doc_id", F.lit(-1).cast("long")))).join(ids, "doc_id", "left_semi")
+    texts = docs.withColumn("digest", F.xxhash64("text")).where(maybe("digest")).alias("a")
+    found = texts.join(wanted.alias("b"), (F.col("a.digest") == F.col("b.digest")) & F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")))
+    return materialize(found.groupBy("b.id").agg(F.first("a.text").alias("text")), "pair-texts")  # rows of one id have the same text
+
+
+def representative() -> Column:
+    """Of a class: the doc_id and digest of its first document, one without a doc_id last."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest"))
 
 
-def _open_sketches(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+def _open_sketches(ids: DataFrame, reps: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """id and sketch (`low`) of each of the classes ids."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, 1 << 20):
             sets = shingle_sets(text_buffer(b.column("text")), k)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([sketch_of(x) for x in sets], pa.binary())], ["id", "low"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([sketch_of(x) for x in sets], pa.binary())], ["id", "low"])
 
-    return materialize(_with_ids(docs, ids).mapInArrow(scan, "id long, low binary").dropDuplicates(["id"]), "open-sketches")
+    return materialize(class_texts(ids.select("id"), reps, docs).mapInArrow(scan, "id long, low binary"), "open-sketches")
 
 
 def _block_pairs(open_: DataFrame, reps: DataFrame, docs: DataFrame, k: int, similar: int) -> DataFrame:
@@ -181,9 +200,10 @@ def _block_pairs(open_: DataFrame, reps: DataFrame, docs: DataFrame, k: int, sim
     dealt = open_.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = dealt.select("key", "id", "root", "block", other.alias("other")).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-    carried = _open_sketches(open_, docs, k).join(reps.select("id", "sig"), "id")
+    carried = _open_sketches(open_, reps, docs, k).join(reps.select("id", "sig"), "id")
     dealt = dealt.join(carried, "id").select("key", "lo", "hi", "block", "id", "root", "sig", "low")
     grouped = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    distance = distance_for(similar)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[pa.RecordBatch] = []
@@ -193,10 +213,10 @@ def _block_pairs(open_: DataFrame, reps: DataFrame, docs: DataFrame, k: int, sim
             t = pa.Table.from_batches([*rest, b]).combine_chunks()
             edges = _group_edges(t)
             rest = t.slice(edges[-2]).to_batches()
-            yield from _compared(t.slice(0, edges[-2]), edges[:-1], similar)
+            yield from _compared(t.slice(0, edges[-2]), edges[:-1], similar, distance)
         if rest:
             t = pa.Table.from_batches(rest).combine_chunks()
-            yield from _compared(t, _group_edges(t), similar)
+            yield from _compared(t, _group_edges(t), similar, distance)
 
     return grouped.mapInArrow(compare, "a long, b long")
 
@@ -211,7 +231,7 @@ def _group_edges(t: pa.Table) -> np.ndarray:
     return np.append(np.flatnonzero(new), t.num_rows)
 
 
-def _compared(t: pa.Table, edges: np.ndarray, similar: int) -> Iterator[pa.RecordBatch]:
+def _compared(t: pa.Table, edges: np.ndarray, similar: int, distance: int) -> Iterator[pa.RecordBatch]:
     if not t.num_rows:
         return
     key, lo, hi, block, ids, root = (t.column(c).to_numpy() for c in ("key", "lo", "hi", "block", "id", "root"))
@@ -226,9 +246,9 @@ def _compared(t: pa.Table, edges: np.ndarray, similar: int) -> Iterator[pa.Recor
         at = to
         keep = (root[x] != root[y]) & ((block[x] != block[y]) | (lo[x] == hi[x]))
         x, y = x[keep], y[keep]
-        keep = (sig[x] != sig[y]).sum(1) <= DISTANCE
+        keep = (sig[x] != sig[y]).sum(1) <= distance
         x, y = x[keep], y[keep]
-        kx, ky = index_keys(sig[x]), index_keys(sig[y])
+        kx, ky = index_keys(sig[x], distance), index_keys(sig[y], distance)
         keep = kx[np.arange(len(x)), (kx == ky).argmax(1)].view(np.int64) == key[x]
         x, y = x[keep], y[keep]
         keep = may_be_similar(low[x], low[y], similar)
@@ -257,25 +277,19 @@ def _classes(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("digest"), "text").mapInArrow(scan, "doc_id long, digest long, n_shingles long, set1 long, set2 long, sig binary")
 
 
-def _close(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+def _close(pairs: DataFrame, reps: DataFrame, distance: int) -> DataFrame:
     """Those of pairs (a, b: class ids) under the signature distance."""
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                keep = (_signature_rows(b.column("sa")) != _signature_rows(b.column("sb"))).sum(1) <= DISTANCE
+                keep = (_signature_rows(b.column("sa")) != _signature_rows(b.column("sb"))).sum(1) <= distance
                 yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep))
 
     one, two = (reps.select(F.col("id").alias(x), F.col("sig").alias(f"s{x}")) for x in ("a", "b"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(near, "a long, b long")
 
 
-def _confirmed(close: DataFrame, docs: DataFrame, k: int, similar: int) -> DataFrame:
-    """Those of pairs (a, b: class ids) whose full sets are similar."""
-    texts = materialize(_with_ids(docs, close.select(F.col("a").alias("id")).union(close.select("b"))).groupBy("doc_id").agg(F.first("text").alias("text")), "pair-texts")
-    return confirm(close, texts.withColumnRenamed("doc_id", "id"), k, similar)
-
-
 def confirm(close: DataFrame, texts: DataFrame, k: int, similar: int) -> DataFrame:
     """Those of pairs (a, b) whose full sets, of texts (id, text), are similar.
 
@@ -304,16 +318,19 @@ def confirm(close: DataFrame, texts: DataFrame, k: int, similar: int) -> DataFra
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, similar: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, digest (xxhash64 of the text) for each row of docs. similar: least similarity in hundredths."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    """doc_id, n_shingles, component_id, kept, digest (xxhash64 of the text) and first for each row of docs. similar: least similarity in hundredths.
+
+    kept: the row has its component's id. first: it is that one document (doc_id, digest) of its component that stands for all.
+    """
+    docs, distance = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), distance_for(similar)
     every = materialize(_classes(docs, k), "shingled")
-    full = every.where("n_shingles > 0")
-    reps = materialize(full.where("doc_id is not null").groupBy("set1", "set2", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")), "set-classes")
+    full, of_set = every.where("n_shingles > 0"), ["set1", "set2", "n_shingles"]
+    reps = materialize(full.groupBy(*of_set).agg(representative().alias("rep"), F.first("sig").alias("sig")).withColumn("id", F.monotonically_increasing_id()), "set-classes")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                keys = index_keys(np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint16).reshape(-1, SYMBOLS))
+                keys = index_keys(np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint16).reshape(-1, SYMBOLS), distance)
                 ids = np.repeat(b.column("id").to_numpy(), keys.shape[1])
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(ids)], ["key", "id"])
 
@@ -333,13 +350,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, similar: int = 80) -> DataFrame
             pairs = open_.join(ends, "key").where("root <> r2").select(F.col("last").alias("a"), F.col("id").alias("b"))
         if turn < STAR_ROUNDS:
             pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-            close = materialize(_close(pairs, reps), "close-pairs")
+            close = materialize(_close(pairs, reps, distance), "close-pairs")
         else:
             close = materialize(_block_pairs(open_.select("key", "id", "root"), reps, docs, k, similar), "close-pairs")
-        found = materialize(_confirmed(close, docs, k, similar), "near-links")
+        texts = class_texts(close.select(F.col("a").alias("id")).union(close.select("b")), reps, docs)
+        found = materialize(confirm(close, texts, k, similar), "near-links")
         links = found if links is None else links.unionByName(found)
         roots = components(links)
-    class_roots = reps.select("set1", "set2", "n_shingles", "id").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("set1", "set2", "n_shingles", F.coalesce("root", "id").alias("component"))
-    out = every.alias("a").join(class_roots.alias("b"), (F.col("a.set1") == F.col("b.set1")) & (F.col("a.set2") == F.col("b.set2")) & (F.col("a.n_shingles") == F.col("b.n_shingles")), "left")
-    out = out.select("a.doc_id", "a.n_shingles", F.coalesce("component", "a.doc_id").alias("component_id"), "a.digest")
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "digest")
+    return with_components(every, reps, roots).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "n_shingles", "component_id", "kept", "digest", "first")
+
+
+def with_components(every: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """every (doc_id, digest, n_shingles, set1, set2) with component_id and first: classes (id, rep) of one root are one component."""
+    of_set = ["set1", "set2", "n_shingles"]
+    named = classes.select("id", *of_set, "rep").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    named = named.join(named.groupBy("root").agg(F.min("rep").alias("lead")), "root").select(*of_set, "lead")
+    # A group of copies with a third of all rows meets one row here, which Spark may split.
+    out = every.select("doc_id", "digest", *of_set).join(named, of_set, "left")
+    alone = F.col("n_shingles") == 0
+    first = alone | (F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("digest") == F.col("lead.digest")))
+    return out.select("doc_id", "digest", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("lead.doc_id")).alias("component_id"), F.coalesce(first, F.lit(False)).alias("first"))

@@ -25,14 +25,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import give_back, in_sketch, materialize, mix, pieces, sketch, text_buffer
+from plumbline.llm.common import give_back, materialize, mix, pieces, text_buffer
 from plumbline.llm.components import components
-from plumbline.llm.near_dup import _sketches, confirm, may_be_similar, shingle_sets, sketch_of
+from plumbline.llm.near_dup import _sketches, class_texts, confirm, may_be_similar, representative, shingle_sets, sketch_of, with_components
 
 #: Counters of the order, and those that travel in one row.
 LEVELS, SLICE = 1 << 26, 1 << 16
@@ -141,20 +140,6 @@ def _room(n1, p1, n2, p2, similar: int):
     return (least(n1 - p1, n2 - p2) * (100 + similar) >= similar * (n1 + n2)) & (n1 * 100 >= similar * n2) & (n2 * 100 >= similar * n1)
 
 
-def _texts(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """id and text of the classes ids; a bitmap of fixed size keeps nearly all other texts out of the exchange."""
-    wanted = materialize(ids.distinct().join(classes.select("id", "rep"), "id").select("id", F.col("rep.doc_id").alias("doc_id"), F.col("rep.digest").alias("digest")), "wanted")
-    bits = docs.sparkSession.sparkContext.broadcast(sketch(wanted, "digest"))
-
-    @F.pandas_udf("boolean")
-    def maybe(x: pd.Series) -> pd.Series:
-        return pd.Series(in_sketch(bits.value, x.to_numpy(np.int64)))
-
-    texts = docs.withColumn("digest", F.xxhash64("text")).where(maybe("digest")).alias("a")
-    found = texts.join(wanted.alias("b"), (F.col("a.digest") == F.col("b.digest")) & F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")))
-    return materialize(found.groupBy("b.id").agg(F.first("a.text").alias("text")), "pair-texts")  # rows of one id have the same text
-
-
 def _blocks(open_: DataFrame, classes: DataFrame, docs: DataFrame, k: int, similar: int) -> DataFrame:
     """The pairs (a, b) of members (key, gid, n, pos, id, root) that share a shingle, lie in different components, have room for the overlap and aren't ruled out by sketches."""
     blocks = open_.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
@@ -166,7 +151,7 @@ def _blocks(open_: DataFrame, classes: DataFrame, docs: DataFrame, k: int, simil
         for b in pieces(batches, 1 << 20):
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([sketch_of(x) for x in shingle_sets(text_buffer(b.column("text")), k)], pa.binary())], ["id", "low"])
 
-    lows = materialize(_texts(open_.select("id"), classes, docs).mapInArrow(low, "id long, low binary"), "sketches")
+    lows = materialize(class_texts(open_.select("id"), classes, docs).mapInArrow(low, "id long, low binary"), "sketches")
     rows = dealt.join(lows, "id").select("key", "lo", "hi", "gid", "n", "pos", "block", "id", "root", "low")
     rows = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "gid")
 
@@ -234,8 +219,7 @@ def similar_documents(docs: DataFrame, k: int = 5, similar: int = 80) -> DataFra
     levels = docs.sparkSession.sparkContext.broadcast(shingle_levels(docs, k))
     every = materialize(_shingled(docs, levels, k, similar), "shingled")
     of_set = ["set1", "set2", "n_shingles"]
-    rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("rep")
-    classes = every.where("n_shingles > 0").groupBy(*of_set).agg(rep, F.first("pre1").alias("pre1"), F.first("pre2").alias("pre2"), F.first("prefix").alias("prefix"))
+    classes = every.where("n_shingles > 0").groupBy(*of_set).agg(representative().alias("rep"), F.first("pre1").alias("pre1"), F.first("pre2").alias("pre2"), F.first("prefix").alias("prefix"))
     classes = materialize(classes.withColumn("id", F.monotonically_increasing_id()), "set-classes")
     of_group = ["pre1", "pre2", "n_shingles"]
     groups = materialize(classes.groupBy(*of_group).agg(F.min("id").alias("gid"), F.count("*").alias("members"), F.first("prefix").alias("prefix")).withColumn("n", F.col("n_shingles")), "groups")
@@ -266,13 +250,8 @@ def similar_documents(docs: DataFrame, k: int = 5, similar: int = 80) -> DataFra
         else:
             inside = open_.select("key", "gid", "n", "pos").join(node, "gid")
             pairs = materialize(_blocks(inside, classes, docs, k, similar), "pairs")
-        texts = _texts(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), classes, docs)
+        texts = class_texts(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), classes, docs)
         found = materialize(confirm(pairs, texts, k, similar), "links")
         links = found if links is None else links.unionByName(found)
         roots = components(links)
-    named = classes.select("id", *of_set, F.col("rep.doc_id").alias("least")).join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    smallest = named.groupBy("root").agg(F.min("least").alias("component"))
-    named = named.join(smallest, "root").select(*of_set, "component")
-    # A group of copies with a third of all rows meets one row here, which Spark may split.
-    out = every.select("doc_id", *of_set).join(named, of_set, "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    return with_components(every, classes, roots).select("doc_id", "n_shingles", "component_id")
