@@ -23,13 +23,11 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five words, similarity 0.8): that of the smallest doc_id, or of equal texts alone without one any."""
-    found = near_dup.near_duplicates(docs, k=5, similar=80).where("kept").select("doc_id", "digest").distinct()
+    """One document of each group of near-duplicates (five words, similarity 0.8): that of the smallest doc_id. Texts under one doc_id, null too, are judged each by itself; repeated rows are one document."""
+    found = near_dup.near_duplicates(docs, k=5, similar=80).where("first").select("doc_id", "digest").distinct()
     mine = F.xxhash64("a.text") == F.col("b.digest")
     out = docs.alias("a").join(found.alias("b"), same("doc_id") & mine, "left_semi")
-    # Rows alike in doc_id are one document; without one, rows alike in text are.
-    of = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
-    turn = F.row_number().over(Window.partitionBy("doc_id", of).orderBy("text"))
+    turn = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("text"))
     return out.withColumn("__turn", turn).where("__turn = 1").select(*docs.columns)
 
 
