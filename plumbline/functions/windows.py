@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -105,6 +105,18 @@ def day_of(x: Column) -> Column:
     return F.try_to_timestamp(x, F.lit("dd-MMM-yyyy")).cast("date")
 
 
+def quarter_of(d: Column) -> Column:
+    """The calendar quarter of a date: 2025q3."""
+    return F.concat(F.year(d).cast("string"), F.lit("q"), F.quarter(d).cast("string"))
+
+
+def quarters(spark: SparkSession, start: str, end: str) -> DataFrame:
+    """quarter, first_day and last_day of every calendar quarter from that of start to that of end."""
+    from_, to = (F.trunc(F.lit(d).cast("date"), "quarter") for d in (start, end))
+    d = spark.range(1).select(F.explode(F.sequence(from_, to, F.expr("interval 3 months"))).alias("first_day")) if start <= end else spark.createDataFrame([], "first_day date")
+    return d.select(quarter_of(F.col("first_day")).alias("quarter"), "first_day", F.date_sub(F.add_months("first_day", 3), 1).alias("last_day"))
+
+
 def over_safe(num: Column, den: Column) -> Column:
     """num / den, null where den isn't positive."""
     return num / F.when(den > 0, den)

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.scratch import new_path, written
+from plumbline.functions.windows import day_of, quarter_of, quarters
 from plumbline.operators import audit, events, fundamentals, membership, panel, portfolio, technicals
 from plumbline.plans import model
 from plumbline.queries import LIMITS, N, PASSES, PERF, RATIOS, RAW, STATS, _market, _nav, _PERF_OFFSET, _RANKED, _trades, query, rounded, scored
 from plumbline.sources import landed, tables
-from plumbline.sources.bindings import bind
+from plumbline.sources.bindings import SELECTS, bind
 from plumbline.streaming import stream
 from plumbline.streaming.months import MonthTable
 
@@ -177,6 +178,52 @@ def landed_macro(spark, d):
     return read.unionByName(lost)
 
 
+_LOST = "cast(accession as bigint) % 13 = 0"
+
+
+@query(
+    "select q.quarter, coalesce(t.n, 0) as n_trades, coalesce(t.value, 0) as value, coalesce(b.n, 0) as n_malformed from (select concat(cast(year(d) as varchar), 'q', cast(quarter(d) as varchar)) as quarter from (select cast(unnest(generate_series(date '1994-10-01', date '2002-01-01', interval 3 month)) as date) as d) r) q"
+    " left join (select concat(cast(year(filing_date) as varchar), 'q', cast(quarter(filing_date) as varchar)) as quarter, count(*) as n, round(cast(sum(cast(value as decimal(18, 2))) as double), 2) as value from {trades} group by 1) t on t.quarter = q.quarter"
+    " left join (select concat(cast(year(filing_date) as varchar), 'q', cast(quarter(filing_date) as varchar)) as quarter, count(*) as n from {all_raw} where " + _LOST + " group by 1) b on b.quarter = q.quarter",
+    all_raw=SELECTS["insider_raw"], insider_raw=SELECTS["insider_raw"].replace("from {events}", "from {events} where event_id % 13 <> 0"),
+)
+def landed_insider(spark, d):
+    """Insider files of each quarter landed as text, some submissions a field short: trades, their value and lost lines for every quarter, also for those without files."""
+    path = new_path(spark, "landed-insider")
+    s, t = bind(spark, d, "insider_submission"), bind(spark, d, "insider_trans")
+    filed = s.select("ACCESSION_NUMBER", quarter_of(day_of(F.col("FILING_DATE"))).alias("quarter"))
+    for name, table, style in (("submission", s, str.upper), ("trans", t.join(filed, "ACCESSION_NUMBER"), str.lower)):
+        d1 = table if "quarter" in table.columns else table.withColumn("quarter", quarter_of(day_of(F.col("FILING_DATE"))))
+        cols = [c for c in table.columns if c != "quarter"]
+        whole, short = F.concat_ws("\t", *cols), F.concat_ws("\t", *cols[:-1])
+        line = F.when(F.expr("cast(ACCESSION_NUMBER as bigint) % 13 = 0"), short).otherwise(whole) if name == "submission" else whole
+        lines = d1.select("quarter", F.lit(1).alias("turn"), line.alias("value"))
+        head = d1.select("quarter").distinct().select("quarter", F.lit(0).alias("turn"), F.lit(style("\t".join(cols))).alias("value"))
+        lines.unionByName(head).repartition("quarter").sortWithinPartitions("quarter", "turn").drop("turn").write.partitionBy("quarter").text(f"{path}/{name}")
+    subs, trans, rejects = landed.read_insider(spark, f"{path}/submission", f"{path}/trans")
+    trades = events.insider_trades(subs, trans).groupBy(quarter_of(F.col("filing_date")).alias("quarter")).agg(F.count("*").alias("n_trades"), F.round(F.sum(F.col("value").cast("decimal(18,2)")).cast("double"), 2).alias("value"))
+    lost = rejects.where("reason = 'malformed'").groupBy(F.regexp_extract("file", "quarter=([^/]+)/", 1).alias("quarter")).agg(F.sum("n").alias("n_malformed"))
+    return quarters(spark, "1994-12-31", "2002-01-01").select("quarter").join(trades, "quarter", "left").join(lost, "quarter", "left").na.fill(0, ["n_trades", "n_malformed"]).na.fill(0.0, ["value"])
+
+
+@query("select kind, ticker, count(*) as n, round(cast(sum(cast(round(close, 4) as decimal(18, 4))) as double), 4) as total from {bars} cross join (select unnest(['csv', 'json', 'per_ticker']) as kind) k where date >= date '2001-01-01' group by kind, ticker")
+def sinks_round_trip(spark, d):
+    """Bars written as CSV, as JSON and as a folder a ticker, and read back; in the last the ticker is in the files' names alone."""
+    bars = written(bind(spark, d, "bars").where("date >= '2001-01-01'").select("ticker", "date", F.round("close", 4).alias("close")), "recent-bars")
+    path = new_path(spark, "sinks")
+    tables.write_csv(bars, f"{path}/csv")
+    tables.write_json(bars, f"{path}/json")
+    tables.write_per_ticker(bars, f"{path}/per_ticker")
+    back = {
+        "csv": spark.read.option("header", True).schema(bars.schema).csv(f"{path}/csv"),
+        "json": spark.read.schema(bars.schema).json(f"{path}/json"),
+        "per_ticker": tables.read_per_ticker(spark, f"{path}/per_ticker", tables.TICKER_FOLDER),
+    }
+    out = [r.select(F.lit(k).alias("kind"), "ticker", "close") for k, r in back.items()]
+    both = out[0].unionByName(out[1]).unionByName(out[2])
+    return both.groupBy("kind", "ticker").agg(F.count("*").alias("n"), F.round(F.sum(F.col("close").cast("decimal(18,4)")).cast("double"), 4).alias("total"))
+
+
 # ---- reports
 
 

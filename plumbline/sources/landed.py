@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.functions.windows import day_of
+
 _BAD = "__corrupt"
 
 
@@ -41,10 +43,12 @@ def read_landed(spark: SparkSession, path: str, names: dict[str, tuple[str, ...]
                 found[c] = next((h for h in columns if h not in found.values()), None)
         unique = [f"c{i}" for i in range(len(columns))]
         schema = ", ".join([f"{u} string" for u in unique] + [f"{_BAD} string"])
-        d = spark.read.schema(schema).option("header", True).option("sep", separator).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _BAD).csv(files)
+        d = spark.read.schema(schema).option("header", True).option("sep", separator).option("mode", "PERMISSIVE").option("columnPruning", False).option("columnNameOfCorruptRecord", _BAD).csv(files)  # fields can't be counted when some aren't split off
         known = None not in found.values()
         at = {c: F.col(unique[columns.index(found[c])]) if known else F.lit(None).cast("string") for c in names}
-        reason = F.when(F.lit(not known), "header").when(F.col(_BAD).isNotNull(), "malformed")
+        # Spark refuses a scan of the corrupt lines alone: the first field is read beside them.
+        bad = F.col(_BAD).isNotNull() & (F.length(F.coalesce(unique[0], F.lit(""))) >= 0)
+        reason = F.when(F.lit(not known), "header").when(bad, "malformed")
         file = F.col("_metadata.file_path")
         more = {file_as[0]: F.regexp_extract(file, file_as[1], 1)} if file_as else {}
         parts.append(d.select(*[at[c].alias(c) for c in names], *[v.alias(k) for k, v in more.items()], file.alias("__file"), reason.alias("__reason")))
@@ -72,3 +76,15 @@ def read_macro(spark: SparkSession, path: str, series: str = r"([^/]+)\.csv") ->
     rules = {"date": F.expr("try_cast(date as date) is null"), "missing": F.expr("try_cast(value as double) is null")}
     rows, rejects = read_landed(spark, path, {"date": MACRO_DATE, "value": None}, file_as=("series", series), rules=rules)
     return rows.select("series", F.col("date").cast("date").alias("date"), F.col("value").cast("double").alias("value")), rejects
+
+
+# The columns of the two insider files that are read, by their plain names.
+INSIDER_SUBMISSION = {"ACCESSION_NUMBER": ("accessionnumber",), "FILING_DATE": ("filingdate",), "DOCUMENT_TYPE": ("documenttype",), "ISSUERTRADINGSYMBOL": ("issuertradingsymbol",)}
+INSIDER_TRANS = {"ACCESSION_NUMBER": ("accessionnumber",), "TRANS_DATE": ("transdate",), "TRANS_CODE": ("transcode",), "TRANS_SHARES": ("transshares",), "TRANS_PRICEPERSHARE": ("transpricepershare",), "DIRECT_INDIRECT_OWNERSHIP": ("directindirectownership",)}
+
+
+def read_insider(spark: SparkSession, submissions: str, trades: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The two tables that `events.insider_trades` joins, from tab-separated files, and the rejects of both."""
+    s, no_s = read_landed(spark, submissions, INSIDER_SUBMISSION, "\t", rules={"date": day_of(F.col("FILING_DATE")).isNull()})
+    t, no_t = read_landed(spark, trades, INSIDER_TRANS, "\t")
+    return s, t, no_s.unionByName(no_t)

@@ -8,9 +8,19 @@ from pyspark.sql import functions as F
 from plumbline.functions.windows import clean_ticker
 
 
+#: What read_per_ticker finds a ticker by in the folders of write_per_ticker.
+TICKER_FOLDER = r"of=([^/]+)/"
+
+
+def write_per_ticker(df: DataFrame, path: str) -> None:
+    """A folder for each ticker, whose rows no longer hold it; a ticker's rows are one file."""
+    df.withColumnRenamed("ticker", "of").repartition("of").write.mode("overwrite").partitionBy("of").parquet(path)
+
+
 def read_per_ticker(spark: SparkSession, path: str, pattern: str = r"([^/]+)\.parquet") -> DataFrame:
     """One table of a folder of files that are named by their ticker, which becomes a column."""
-    return spark.read.parquet(path).select("*", clean_ticker(F.regexp_extract("_metadata.file_path", pattern, 1)).alias("ticker"))
+    # Folders named like of=A would become a column of a guessed type.
+    return spark.read.option("recursiveFileLookup", True).parquet(path).select("*", clean_ticker(F.regexp_extract("_metadata.file_path", pattern, 1)).alias("ticker"))
 
 
 def read_delimited(spark: SparkSession, path: str, separator: str = "|") -> DataFrame:
