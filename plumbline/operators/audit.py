@@ -20,9 +20,11 @@ def lookahead_pairs(bars: DataFrame, market: DataFrame, compute: Callable[[DataF
 
     compute(bars, market, keys) gives features by `ticker` and `date`; market has one row a date (and keys). A date without a market row is skipped. Two nulls are the same, one isn't.
     """
-    full = compute(bars, market, ()).select("ticker", "date", *columns)
     trading = market.where("spy_close is not null").select("date")
     picked = seeded_sample(bars.where(F.col("date") >= start).select("ticker", "date").join(F.broadcast(trading), "date", "left_semi").select("ticker", "date"), n, seed)
+    picked = written(picked, "audited")  # n rows
+    bars = bars.join(F.broadcast(picked.select("ticker").distinct()), "ticker", "left_semi")
+    full = compute(bars, market, ()).select("ticker", "date", *columns)
     # Each sample becomes a ticker of its own with a market of its own, both cut at its date, so that all are recomputed in one job.
     at = F.broadcast(picked.select("ticker", F.col("date").alias("cut_date")))
     cut = bars.join(at, "ticker").where("date <= cut_date").withColumn("ticker", F.concat_ws("@", "ticker", "cut_date"))

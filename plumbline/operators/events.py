@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.windows import as_of, clean_ticker, day_of
 
+# Forms that report a period, and those that report an event; symbols that mean there is none.
 PERIODIC, CURRENT = ("10-K", "10-K/A", "10-Q", "10-Q/A"), ("8-K", "8-K/A")
-#: Symbols that mean there is none.
 NO_SYMBOL = ("", "NONE", "N/A", "NA", "NULL")
 
 

@@ -154,7 +154,7 @@ def attach_fundamentals(panel: DataFrame, fund: DataFrame) -> DataFrame:
     }).drop(*FUNDAMENTAL_INPUTS)
 
 
-#: Column, sign (1: too large, -1: too small) and limit of the quality filter; null passes.
+# Column, sign (1: too large, -1: too small) and limit of the quality filter; null passes.
 QUALITY = {"debt_to_equity": (1, 10.0), "current_ratio": (-1, 0.3), "sales_growth_yoy": (-1, -0.5), "insider_net_dollar_60d": (-1, -50_000_000.0)}
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ PUBLISHED_AFTER = 8
 
 def normalise(raw: DataFrame) -> DataFrame:
     """settlement_date, ticker, current_short, avg_daily_volume, days_to_cover of a file of text columns; what can't be read is null, rows without date or ticker go."""
-    plain = {c.strip().lower().replace(" ", "").replace("_", ""): c for c in raw.columns}
+    plain = {re.sub(r"[\W_]+", "", c).casefold(): c for c in raw.columns}
     found = {k: next((plain[n] for n in names if n in plain), None) for k, names in HEADERS.items()}
     text = lambda k: F.col(f"`{found[k]}`") if found[k] else F.lit(None).cast("string")
     d = raw.select(*[text(k).cast("string").alias(k) for k in HEADERS])

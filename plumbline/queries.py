@@ -163,7 +163,8 @@ def tickers_since_day(spark, d):
 @query("select date, ticker, false as synthetic from {membership} union all select date '2029-12-31', ticker, true from {membership} where date = (select min(date) from {membership}) union all select date '2030-01-01', ticker, true from {membership} where date = (select max(date) from {membership})")
 def snapshot_append(spark, d):
     m = written(bind(spark, d, "membership").withColumn("synthetic", F.lit(False)), "membership")
-    first, last = (membership.members_on(m, day) for day in (str(m.agg(F.min("date")).first()[0]), "2100-01-01"))
+    first = m.join(F.broadcast(m.agg(F.min("date").alias("date"))), "date", "left_semi").select("ticker")  # one row
+    last = membership.members_on(m, "2100-01-01")
     m = membership.append_snapshot(m, first, "2029-12-31")
     m = membership.append_snapshot(m, first, "2030-01-01")
     m = membership.append_snapshot(m, last, "2030-01-01")  # a second run on that day replaces the first
