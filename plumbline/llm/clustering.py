@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import shared_dir
+from plumbline.functions.scratch import new_path
 
 #: A component becomes floor(SCALE * component).
 SCALE = 64
@@ -201,7 +201,7 @@ def cluster(vectors: DataFrame, k: int = 16, rounds: int = 3, column: str = "emb
     if not len(c):
         empty = "vec_id long, cluster int, distance long, cluster_inertia long, inertia long, centroid_sha256 string"
         return spark.createDataFrame([], empty)
-    folder = f"{shared_dir(spark)}/clusters-{hashlib.sha256(np.random.bytes(16)).hexdigest()[:24]}"
+    folder = new_path(spark, "clusters")
     state = _written(first_state(whole, c), f"{folder}/0")
     found = _sums(state, size)
     for turn in range(1, rounds + 1):

@@ -9,14 +9,14 @@ document; an empty table gives an empty one. Of the input only doc_id and text a
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import pieces, same, shared_dir, text_buffer
+from plumbline.functions.scratch import new_path
+from plumbline.llm.common import pieces, same, text_buffer
 from plumbline.llm.tokens import tokenizer, version_digest
 
 CACHE = "content binary, version string, n_tokens long"
@@ -35,7 +35,7 @@ def read_cache(spark: SparkSession, path: str, version: str) -> DataFrame:
 def token_counts(docs: DataFrame, tokenizer_path: str, cache: str | None = None, limit: int = 2048) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for each row of docs. cache: the folder, by default a new one in the shared folder."""
     spark = docs.sparkSession
-    cache = cache or f"{shared_dir(spark)}/token-cache-{uuid.uuid4().hex}"
+    cache = cache or new_path(spark, "token-cache")
     version = version_digest(tokenizer_path)
     spark.createDataFrame([], CACHE).write.mode("append").parquet(cache)  # so that it exists
     d = docs.select("doc_id", "text", content_digest(F.col("text")).alias("content"))
