@@ -31,16 +31,18 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import give_back, materialize, mix, pieces, text_buffer
 from plumbline.llm.components import components
-from plumbline.llm.near_dup import _sketches, class_texts, confirm, may_be_similar, representative, shingle_sets, sketch_of, with_components
+from plumbline.llm.near_dup import class_texts, confirm, representative, shingle_sets, with_components
 
 #: Counters of the order, and those that travel in one row.
 LEVELS, SLICE = 1 << 26, 1 << 16
 #: Rounds in which a shingle's groups are compared with one centre before all that is left is.
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 #: Centres that a shingle has in each round after the first.
 CENTRES = 8
 #: Members of a shingle that are compared in one group, and pairs that are compared at a time.
 BLOCK, PAIRS_AT_ONCE = 512, 1 << 15
+#: 64-bit words of a prefix's bitmap.
+WORDS = 16
 _C1, _C2 = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 _SHIFT = np.uint64(64 - LEVELS.bit_length() + 1)
 
@@ -92,7 +94,31 @@ def prefix_of(shingles: np.ndarray, levels: np.ndarray, similar: int) -> np.ndar
     """The prefix of a sorted set: its first shingles by (level, hash)."""
     n = len(shingles)
     key = (level_of(levels, shingles).astype(np.uint64) << np.uint64(60)) | (shingles >> np.uint64(4))
-    return shingles[np.argsort(key, kind="stable")[: n - -(-similar * n // 100) + 1]]
+    return shingles[np.argsort(key, kind="stable")[: prefix_size(n, similar)]]
+
+
+def prefix_size(n, similar: int):
+    return n - -(-similar * n // 100) + 1
+
+
+def bitmap_of(prefix: np.ndarray) -> np.ndarray:
+    """A bit for each shingle of a prefix, by its hash."""
+    at = (prefix & np.uint64(64 * WORDS - 1)).astype(np.int64)
+    out = np.zeros(WORDS, np.uint64)
+    np.bitwise_or.at(out, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+    return out
+
+
+def _enough(n1, bits1, n2, bits2, similar: int) -> np.ndarray:
+    """Whether sets of sizes n1 and n2 may be similar by what their prefixes share.
+
+    Bits in common, and shingles that share a bit with others, bound the common prefix shingles. Of the set whose prefix ends
+    first in the order, all other common shingles lie behind its prefix.
+    """
+    p1, p2 = prefix_size(n1, similar), prefix_size(n2, similar)
+    common = np.bitwise_count(bits1 & bits2).sum(1).astype(np.int64)
+    hidden = np.minimum(p1 - np.bitwise_count(bits1).sum(1).astype(np.int64), p2 - np.bitwise_count(bits2).sum(1).astype(np.int64))
+    return (common + hidden + np.maximum(n1 - p1, n2 - p2)) * (100 + similar) >= similar * (n1 + n2)
 
 
 def _digests(x: np.ndarray) -> tuple[int, int]:
@@ -140,19 +166,20 @@ def _room(n1, p1, n2, p2, similar: int):
     return (least(n1 - p1, n2 - p2) * (100 + similar) >= similar * (n1 + n2)) & (n1 * 100 >= similar * n2) & (n2 * 100 >= similar * n1)
 
 
-def _blocks(open_: DataFrame, classes: DataFrame, docs: DataFrame, k: int, similar: int) -> DataFrame:
-    """The pairs (a, b) of members (key, gid, n, pos, id, root) that share a shingle, lie in different components, have room for the overlap and aren't ruled out by sketches."""
+def _blocks(open_: DataFrame, groups: DataFrame, similar: int) -> DataFrame:
+    """The pairs (a, b) of members (key, gid, n, pos, id, root) that share a shingle, lie in different components and have room for the overlap, as far as their prefixes tell."""
     blocks = open_.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = open_.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = dealt.select("*", other.alias("other")).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
 
-    def low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, 1 << 20):
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([sketch_of(x) for x in shingle_sets(text_buffer(b.column("text")), k)], pa.binary())], ["id", "low"])
+    def bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, 1 << 20, "prefix"):
+            bits = [bitmap_of(np.frombuffer(x, np.uint64)).tobytes() for x in b.column("prefix").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("gid"), pa.array(bits, pa.binary())], ["gid", "bits"])
 
-    lows = materialize(class_texts(open_.select("id"), classes, docs).mapInArrow(low, "id long, low binary"), "sketches")
-    rows = dealt.join(lows, "id").select("key", "lo", "hi", "gid", "n", "pos", "block", "id", "root", "low")
+    carried = groups.select("gid", "prefix").join(open_.select("gid").distinct(), "gid", "left_semi").mapInArrow(bitmaps, "gid long, bits binary")
+    rows = dealt.join(carried, "gid").select("key", "lo", "hi", "gid", "n", "pos", "block", "id", "root", "bits")
     rows = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "gid")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +214,10 @@ def _compared(t: pa.Table, similar: int) -> Iterator[pa.RecordBatch]:
     first = np.flatnonzero(np.r_[True, gid[1:] != gid[:-1]])
     size = np.diff(np.r_[first, len(gid)])
     n, pos, lo, hi = n[first], pos[first], np.minimum.reduceat(root, first), np.maximum.reduceat(root, first)
-    whole, every, low = lo == hi, np.arange(len(first)), None
+    whole, every = lo == hi, np.arange(len(first))
+    if lo.min() == hi.max():
+        return
+    bits = np.frombuffer(b"".join(t.column("bits").take(first).to_pylist()), np.uint64).reshape(-1, WORDS)
     step = max(1, PAIRS_AT_ONCE // len(first))
     for at in range(0, len(first), step):
         a = every[at : at + step, None]
@@ -195,6 +225,8 @@ def _compared(t: pa.Table, similar: int) -> Iterator[pa.RecordBatch]:
         room &= ~(whole[a] & whole[None, :] & (lo[a] == lo[None, :]))
         g, o = np.nonzero(room)
         g += at
+        keep = _enough(n[g], bits[g], n[o], bits[o], similar)
+        g, o = g[keep], o[keep]
         count = size[g] * size[o]
         ends, done = np.cumsum(count), 0
         while done < len(g):  # a pair of groups has BLOCK * BLOCK pairs of members at most
@@ -205,11 +237,8 @@ def _compared(t: pa.Table, similar: int) -> Iterator[pa.RecordBatch]:
             x, y = first[g[pair]] + k // size[o[pair]], first[o[pair]] + k % size[o[pair]]
             done = to
             keep = (x < y) & (root[x] != root[y]) & (same | (block[x] != block[y]))
-            x, y = x[keep], y[keep]
+            x, y = ids[x[keep]], ids[y[keep]]
             if len(x):
-                low = _sketches(t.column("low")) if low is None else low
-                keep = may_be_similar(low[x], low[y], similar)
-                x, y = ids[x[keep]], ids[y[keep]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
 
@@ -236,9 +265,12 @@ def similar_documents(docs: DataFrame, k: int = 5, similar: int = 80) -> DataFra
             node = materialize(node, "rooted")
             span = node.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
             known = buckets.drop("centre").join(span, "gid")
-            split = known.groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.array(*[F.min(F.struct(F.xxhash64("gid", "key", F.lit(turn * CENTRES + i)).alias("turn"), "gid", "n", "pos", F.col("lo").alias("root"))) for i in range(CENTRES)]).alias("centres")).where("lo <> hi").select("key", "centres")
-            open_ = known.join(split, "key")
-            meet = open_.withColumn("centre", F.explode("centres")).where("lo <> hi or lo <> centre.root or members > 1").select("centre", "gid", "n", "pos", "members")
+            split = known.groupBy("key").agg(F.min("lo").alias("least"), F.max("hi").alias("most")).where("least <> most").select("key")
+            open_ = materialize(known.join(split, "key"), "open")
+        if turn and turn < STAR_ROUNDS:
+            drawn = [F.min(F.struct(F.xxhash64("gid", "key", F.lit(i)).alias("turn"), "gid", "n", "pos", F.col("lo").alias("root"))) for i in range(turn * CENTRES, (turn + 1) * CENTRES)]
+            meet = open_.join(open_.groupBy("key").agg(F.array_distinct(F.array(*drawn)).alias("centres")), "key").withColumn("centre", F.explode("centres"))
+            meet = meet.where("lo <> hi or lo <> centre.root or members > 1").select("centre", "gid", "n", "pos", "members")
         if turn < STAR_ROUNDS:
             meet = meet.where("gid <> centre.gid or members > 1").where(_room(F.col("n"), F.col("pos"), F.col("centre.n"), F.col("centre.pos"), similar))
             pairs = meet.select(F.col("centre.gid").alias("a"), "gid").distinct()  # the centre stands for its group by its first member
@@ -249,7 +281,7 @@ def similar_documents(docs: DataFrame, k: int = 5, similar: int = 80) -> DataFra
             pairs = materialize(pairs, "pairs")
         else:
             inside = open_.select("key", "gid", "n", "pos").join(node, "gid")
-            pairs = materialize(_blocks(inside, classes, docs, k, similar), "pairs")
+            pairs = materialize(_blocks(inside, groups, similar), "pairs")
         texts = class_texts(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), classes, docs)
         found = materialize(confirm(pairs, texts, k, similar), "links")
         links = found if links is None else links.unionByName(found)

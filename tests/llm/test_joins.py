@@ -224,6 +224,8 @@ def test_prefixes_meet():
             if both and 100 * both >= similar * (len(x) + len(y) - both):
                 p, q = (ngram_join.prefix_of(s, levels, similar).tolist() for s in (x, y))
                 common = [s for s in p if s in q]
+                bits = [ngram_join.bitmap_of(ngram_join.prefix_of(z, levels, similar))[None] for z in (x, y)]
+                assert ngram_join._enough(np.array([len(x)]), bits[0], np.array([len(y)]), bits[1], similar)[0]
                 assert common and ngram_join._room(np.array(len(x)), np.array(p.index(common[0])), np.array(len(y)), np.array(q.index(common[0])), similar)
 
 
