@@ -21,6 +21,17 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+#: Bytes of an Arrow batch. The JVM and a Python worker hold a few batches of each task at once.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on Arrow batches of this session end at BATCH_BYTES, unless they do sooner: their rows may be long texts."""
+    held = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "-1").lower().removesuffix("b")
+    if not held.isdigit() or int(held) > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

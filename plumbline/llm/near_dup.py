@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import LOWER, Prints, in_sketch, materialize, mix, pieces, sketch, text_buffer, words_of
+from plumbline.llm.common import LOWER, Prints, bounded_batches, in_sketch, materialize, mix, pieces, sketch, text_buffer, words_of
 from plumbline.llm.components import components
 
 SYMBOLS, BITS, CHUNKS = 64, 16, 16
@@ -322,6 +322,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, similar: int = 80) -> DataFrame
 
     kept: the row has its component's id. first: it is that one document (doc_id, digest) of its component that stands for all.
     """
+    bounded_batches(docs.sparkSession)
     docs, distance = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), distance_for(similar)
     every = materialize(_classes(docs, k), "shingled")
     full, of_set = every.where("n_shingles > 0"), ["set1", "set2", "n_shingles"]

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import give_back, materialize, mix, pieces, text_buffer
+from plumbline.llm.common import bounded_batches, give_back, materialize, mix, pieces, text_buffer
 from plumbline.llm.components import components
 from plumbline.llm.near_dup import class_texts, confirm, representative, shingle_sets, with_components
 
@@ -244,6 +244,7 @@ def _compared(t: pa.Table, similar: int) -> Iterator[pa.RecordBatch]:
 
 def similar_documents(docs: DataFrame, k: int = 5, similar: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs. similar: least Jaccard similarity in hundredths, of sets of k-word shingles."""
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     levels = docs.sparkSession.sparkContext.broadcast(shingle_levels(docs, k))
     every = materialize(_shingled(docs, levels, k, similar), "shingled")

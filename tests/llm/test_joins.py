@@ -187,7 +187,7 @@ def near_rows():
     return rows
 
 
-@pytest.mark.parametrize("op,k,similar", [("join", 4, 85), ("join", 5, 80), ("join", 2, 50), ("minhash", 3, 85), ("minhash", 5, 80)])
+@pytest.mark.parametrize("op,k,similar", [("join", 4, 85), ("join", 2, 50), ("minhash", 5, 80)])
 def test_near_documents(spark, op, k, similar):
     rows = near_rows()
     d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("id", F.lit("clash")).withColumn("component_id", F.lit(1)).repartition(3)
