@@ -13,8 +13,8 @@ TICKER_FOLDER = r"of=([^/]+)/"
 
 
 def write_per_ticker(df: DataFrame, path: str) -> None:
-    """A folder for each ticker, whose rows no longer hold it; a ticker's rows are one file."""
-    df.withColumnRenamed("ticker", "of").repartition("of").write.mode("overwrite").partitionBy("of").parquet(path)
+    """A folder for each ticker, whose rows no longer hold it; a ticker's rows are written together, a busy one's in several files."""
+    df.withColumnRenamed("ticker", "of").hint("rebalance", F.col("of")).write.mode("overwrite").partitionBy("of").parquet(path)
 
 
 def read_per_ticker(spark: SparkSession, path: str, pattern: str = r"([^/]+)\.parquet") -> DataFrame:

@@ -13,7 +13,7 @@ MANIFEST = "month string, batch long, n_rows long"
 
 
 class MonthTable:
-    """Rows with a `date`, kept under path/data/month=M/batch=N.
+    """Rows with a `date`, kept under path/data/month=M/batch=N. A month's rows are written together, a large month's in several files.
 
     A version of the table is a manifest, path/manifest/N, that names one batch for each month. Spark marks a
     written manifest as whole last of all, so a reader sees the version before a batch or the one after it,
@@ -58,7 +58,7 @@ class MonthTable:
         live = self.live(before=batch)
         merged = how(self.read(batch, touched), new).select(*self.schema.names).withColumn("month", month)
         if touched:
-            merged.withColumn("batch", F.lit(batch).cast("long")).repartition("month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month", "batch").parquet(f"{self.path}/data")
+            merged.withColumn("batch", F.lit(batch).cast("long")).hint("rebalance", F.col("month")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month", "batch").parquet(f"{self.path}/data")
             held = [f"{self.path}/data/month={m}/batch={batch}" for m in touched if self._fs.exists(self._hadoop(f"{self.path}/data/month={m}/batch={batch}"))]
             rows = self.spark.read.schema(self.schema).option("basePath", f"{self.path}/data").parquet(*held).groupBy(month.alias("month")).count().collect() if held else []
             counts = {r["month"]: r["count"] for r in rows}

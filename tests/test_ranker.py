@@ -141,3 +141,50 @@ def test_landed_lines(spark, tmp_path):
     rows, rejects = landed.read_macro(spark, str(tmp_path))
     assert sorted((r.series, r.value) for r in rows.collect()) == [("A", 1.0), ("B", 2.5)]
     assert sorted((r.file[-5:], r.reason, r.n) for r in rejects.collect()) == [("A.csv", "date", 1), ("A.csv", "malformed", 2), ("A.csv", "missing", 1), ("C.csv", "header", 2)]
+
+
+def test_metrics_of_written_scores_against_duckdb(spark, tmp_path):
+    """K4, K5: what the fitted ranker scores is written, and its metrics are those that the statement finds in the file."""
+    import duckdb
+
+    from plumbline import queries
+    from plumbline.functions.scratch import written
+    from plumbline.operators import membership, portfolio
+    from plumbline.sources.bindings import with_tables
+
+    sf = "/root/testdata/sf0.001"
+    y = "forward_21d_return_demeaned"
+    p = written(membership.time_split(membership.label(queries.scored(spark, sf).drop("predicted_return"))), "labelled")
+    prepared = model.prepare(p, ["ret_63d", "vol_60d", "dist_52w_high"], [], y)
+    trees, k, _ = model.fit_ranked(prepared, y, queries.N, n_estimators=6)
+    model.score(trees, prepared.table, k).select("split", "date", "ticker", y, "predicted_return").write.parquet(str(tmp_path / "scores"))
+    got = {r.split: r for r in portfolio.rank_metrics(spark.read.parquet(str(tmp_path / "scores")), y, "predicted_return", queries.N).collect()}
+    sql, more = queries.RAW["ranking_metrics"]
+    want = duckdb.connect().sql(with_tables(sql, **(queries.TABLES | more | {"labelled": f"select * from read_parquet('{tmp_path}/scores/*.parquet')"}))).df()
+    assert set(want["split"]) == set(got) == {"train", "val", "test"}
+    for r in want.to_dict("records"):
+        for c in ("rmse", "ic", "decile_spread", "topn_mean", "topn_sharpe"):
+            assert getattr(got[r["split"]], c) == pytest.approx(r[c], abs=2e-6)
+
+
+def test_panel_audit_finds_a_leak(spark):
+    """Facts used before they were filed are found, and nothing else is; the true panel has no leak."""
+    from plumbline import report_queries
+    from plumbline.functions.scratch import written
+    from plumbline.operators import audit, panel
+
+    inputs = {k: written(v, "audit") for k, v in report_queries.panel_inputs(spark, "/root/testdata/sf0.001").items()}
+    day = inputs["bars"].where("date >= '2000-03-01'").agg(F.min("date")).first()[0]
+    columns = ["ret_21d", "earnings_yield", "roa", "roa_rank", "insider_buy_count_60d"]
+    early = lambda **i: panel.feature_panel(**(i | {"facts": i["facts"].withColumn("filed", F.date_sub("filed", 120))}))
+    bad = {r.feature: r.n_mismatched for r in audit.lookahead_summary(audit.panel_pairs(inputs, [day], early, columns)).collect()}
+    assert bad["roa"] > 0 and bad["earnings_yield"] > 0 and bad["ret_21d"] == 0 and bad["insider_buy_count_60d"] == 0
+    with pytest.raises(audit.LookaheadError, match="roa"):
+        audit.require_no_lookahead(audit.panel_pairs(inputs, [day], early, ["roa"]))
+
+
+def test_quarters(spark):
+    from plumbline.functions.windows import quarters
+
+    got = [(r.quarter, str(r.first_day), str(r.last_day)) for r in quarters(spark, "2023-11-05", "2024-04-01").orderBy("first_day").collect()]
+    assert got == [("2023q4", "2023-10-01", "2023-12-31"), ("2024q1", "2024-01-01", "2024-03-31"), ("2024q2", "2024-04-01", "2024-06-30")] and quarters(spark, "2024-01-01", "2023-01-01").count() == 0
