@@ -27,7 +27,7 @@ BATCH_BYTES = 4 << 20
 
 def bounded_batches(spark: SparkSession) -> None:
     """From now on Arrow batches of this session end at BATCH_BYTES, unless they do sooner: their rows may be long texts."""
-    held = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "-1").lower().removesuffix("b")
+    held = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").lower().removesuffix("b")
     if not held.isdigit() or int(held) > BATCH_BYTES:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
