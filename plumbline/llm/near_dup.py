@@ -170,9 +170,11 @@ def class_texts(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
     def maybe(x: pd.Series) -> pd.Series:
         return pd.Series(in_sketch(bits.value, x.to_numpy(np.int64)))
 
-    texts = docs.withColumn("digest", F.xxhash64("text")).where(maybe("digest")).alias("a")
-    found = texts.join(wanted.alias("b"), (F.col("a.digest") == F.col("b.digest")) & F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")))
-    return materialize(found.groupBy("b.id").agg(F.first("a.text").alias("text")), "pair-texts")  # rows of one id have the same text
+    # Rows alike are made one before they are sent, and texts are sent once: both sides are dealt by the same plain keys.
+    key = {"digest": F.col("digest"), "known": F.col("doc_id").isNotNull(), "number": F.coalesce("doc_id", F.lit(0).cast("long"))}
+    texts = docs.withColumn("digest", F.xxhash64("text")).where(maybe("digest"))
+    texts = texts.groupBy(*[c.alias(k) for k, c in key.items()]).agg(F.first("text").alias("text"))
+    return materialize(texts.join(wanted.select("id", *[c.alias(k) for k, c in key.items()]), list(key)).select("id", "text"), "pair-texts")
 
 
 def representative() -> Column:

@@ -42,7 +42,7 @@ CENTRES = 8
 #: Members of a shingle that are compared in one group, and pairs that are compared at a time.
 BLOCK, PAIRS_AT_ONCE = 512, 1 << 15
 #: 64-bit words of a prefix's bitmap.
-WORDS = 16
+WORDS = 8
 _C1, _C2 = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 _SHIFT = np.uint64(64 - LEVELS.bit_length() + 1)
 
@@ -144,6 +144,34 @@ def _shingled(docs: DataFrame, levels, k: int, similar: int) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("digest"), "text").mapInArrow(scan, "doc_id long, digest long, n_shingles long, set1 long, set2 long, pre1 long, pre2 long, prefix binary")
 
 
+def _with_bitmaps(groups: DataFrame) -> DataFrame:
+    """groups with `bits`, the bitmap of their prefix."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, 1 << 20, "prefix"):
+            bits = [bitmap_of(np.frombuffer(x, np.uint64)).tobytes() for x in b.column("prefix").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(bits, pa.binary())], [*b.schema.names, "bits"])
+
+    return groups.mapInArrow(add, "gid long, n long, members long, pre1 long, pre2 long, prefix binary, bits binary")
+
+
+def _bitmaps(col: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(col.to_pylist()), np.uint64).reshape(-1, WORDS)
+
+
+def _likely(pairs: DataFrame, groups: DataFrame, similar: int) -> DataFrame:
+    """Those of pairs (a, gid: groups) whose prefixes share enough."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                keep = _enough(b.column("na").to_numpy(), _bitmaps(b.column("bits_a")), b.column("n").to_numpy(), _bitmaps(b.column("bits")), similar)
+                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("gid")], ["a", "gid"]).filter(pa.array(keep))
+
+    one = groups.select(F.col("gid").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
+    return pairs.join(one, "a").join(groups.select("gid", "n", "bits"), "gid").select("a", "gid", "na", "n", "bits_a", "bits").mapInArrow(compare, "a long, gid long")
+
+
 def _prefix_rows(groups: DataFrame, levels) -> DataFrame:
     """A row (key, gid, n, pos, members) for each prefix shingle of each group that more than one document may hold."""
     names = ["key", "gid", "n", "pos", "members"]
@@ -173,13 +201,7 @@ def _blocks(open_: DataFrame, groups: DataFrame, similar: int) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = dealt.select("*", other.alias("other")).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
 
-    def bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, 1 << 20, "prefix"):
-            bits = [bitmap_of(np.frombuffer(x, np.uint64)).tobytes() for x in b.column("prefix").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("gid"), pa.array(bits, pa.binary())], ["gid", "bits"])
-
-    carried = groups.select("gid", "prefix").join(open_.select("gid").distinct(), "gid", "left_semi").mapInArrow(bitmaps, "gid long, bits binary")
-    rows = dealt.join(carried, "gid").select("key", "lo", "hi", "gid", "n", "pos", "block", "id", "root", "bits")
+    rows = dealt.join(groups.select("gid", "bits"), "gid").select("key", "lo", "hi", "gid", "n", "pos", "block", "id", "root", "bits")
     rows = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "gid")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +239,7 @@ def _compared(t: pa.Table, similar: int) -> Iterator[pa.RecordBatch]:
     whole, every = lo == hi, np.arange(len(first))
     if lo.min() == hi.max():
         return
-    bits = np.frombuffer(b"".join(t.column("bits").take(first).to_pylist()), np.uint64).reshape(-1, WORDS)
+    bits = _bitmaps(t.column("bits").take(first))
     step = max(1, PAIRS_AT_ONCE // len(first))
     for at in range(0, len(first), step):
         a = every[at : at + step, None]
@@ -249,11 +271,14 @@ def similar_documents(docs: DataFrame, k: int = 5, similar: int = 80) -> DataFra
     levels = docs.sparkSession.sparkContext.broadcast(shingle_levels(docs, k))
     every = materialize(_shingled(docs, levels, k, similar), "shingled")
     of_set = ["set1", "set2", "n_shingles"]
-    classes = every.where("n_shingles > 0").groupBy(*of_set).agg(representative().alias("rep"), F.first("pre1").alias("pre1"), F.first("pre2").alias("pre2"), F.first("prefix").alias("prefix"))
+    full, of_group = every.where("n_shingles > 0"), ["pre1", "pre2", "n_shingles"]
+    classes = full.groupBy(*of_set).agg(representative().alias("rep"), F.first("pre1").alias("pre1"), F.first("pre2").alias("pre2"))
     classes = materialize(classes.withColumn("id", F.monotonically_increasing_id()), "set-classes")
-    of_group = ["pre1", "pre2", "n_shingles"]
-    groups = materialize(classes.groupBy(*of_group).agg(F.min("id").alias("gid"), F.count("*").alias("members"), F.first("prefix").alias("prefix")).withColumn("n", F.col("n_shingles")), "groups")
-    members = materialize(classes.select("id", *of_group).join(groups.select("gid", *of_group), of_group).select("gid", "id"), "members")
+    # A prefix is as long as a seventh of its document: it is sent once for each group and task.
+    prefixes = full.groupBy(*of_group).agg(F.first("prefix").alias("prefix"))
+    groups = classes.groupBy(*of_group).agg(F.min("id").alias("gid"), F.count("*").alias("members")).join(prefixes, of_group)
+    groups = materialize(_with_bitmaps(groups.select("gid", F.col("n_shingles").alias("n"), "members", "pre1", "pre2", "prefix")), "groups")
+    members = materialize(classes.select("id", *of_group).join(groups.select("gid", "pre1", "pre2", F.col("n").alias("n_shingles")), of_group).select("gid", "id"), "members")
     keyed = _prefix_rows(groups, levels)
     shared = keyed.groupBy("key").agg(F.sum("members").alias("all"), F.min(F.struct("gid", "n", "pos")).alias("centre")).where(F.col("all") > 1).select("key", "centre")
     buckets = materialize(keyed.join(shared, "key"), "buckets")
@@ -274,7 +299,7 @@ def similar_documents(docs: DataFrame, k: int = 5, similar: int = 80) -> DataFra
             meet = meet.where("lo <> hi or lo <> centre.root or members > 1").select("centre", "gid", "n", "pos", "members")
         if turn < STAR_ROUNDS:
             meet = meet.where("gid <> centre.gid or members > 1").where(_room(F.col("n"), F.col("pos"), F.col("centre.n"), F.col("centre.pos"), similar))
-            pairs = meet.select(F.col("centre.gid").alias("a"), "gid").distinct()  # the centre stands for its group by its first member
+            pairs = _likely(meet.select(F.col("centre.gid").alias("a"), "gid").distinct(), groups, similar)  # the centre stands for its group by its first member
             pairs = pairs.join(members, "gid").where("a <> id").select("a", F.col("id").alias("b"))
             if roots is not None:  # what is one component already isn't compared again
                 at = node.select("id", "root")
