@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline import queries, report_queries  # noqa: F401
 from plumbline.functions.windows import as_of, business_days_after, ewm_mean, pct_rank
-from plumbline.operators import audit, events, fundamentals, membership, portfolio
+from plumbline.operators import audit, events, fundamentals, membership, panel, portfolio, technicals
 from plumbline.sources import tables
 from tests.oracle_check import compare, connect
 
@@ -30,6 +30,18 @@ def test_ewm_gaps(spark):
     assert got[0] is None and got[1:] == pytest.approx([1, 1.5, 1.5, 1.5, 2.7])
 
 
+def test_ewm_long_gap(spark):
+    rows = [("a", i, 4.0 if i == 0 else 10.0 if i == 1500 else None) for i in range(1502)]
+    got = [r.y for r in ewm_mean(spark.createDataFrame(rows, "ticker string, date int, x double"), "x", 0.1, "y").orderBy("date").collect()]
+    assert got[0] == got[1] == got[1499] == 4 and got[1500] == got[1501] == pytest.approx(10)
+
+
+def test_exponential_means_share_one_sort(spark):
+    bars = spark.createDataFrame([("a", 1, 3.0, 1.0, 2.0)], "ticker string, date int, high double, low double, close double")
+    plan = technicals.exponential_technicals(bars)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == plan.count("Sort [") == 1
+
+
 def test_pct_rank_ties(spark):
     df = spark.createDataFrame([(1, x) for x in (3.0, 1.0, 1.0, None)], "d int, x double").withColumn("r", pct_rank("x", "d"))
     assert sorted((r.r for r in df.collect() if r.r is not None)) == [0.5, 0.5, 1.0] and df.where("x is null and r is null").count() == 1
