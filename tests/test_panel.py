@@ -54,6 +54,26 @@ def test_as_of_strictness_and_ties(spark):
     assert {r.k: r.v for r in as_of(left, right, "k", "d", "e", ["v"], ["t"], strict=True).collect()} == {"a": 5, "b": None}
 
 
+def test_stacked_rows_stay_dealt_and_sorted(spark):
+    rows = spark.createDataFrame([("a", D(5), 1.0), ("a", D(1), 2.0)], "ticker string, date date, close double")
+    dates = spark.createDataFrame([("a", D(3)), ("a", D(5))], "ticker string, report_date date")
+    d = events.earnings_distance(rows, dates)
+    assert [(r.days_to_earnings, r.days_since_earnings) for r in d.orderBy("date").collect()] == [(2, None), (0, 2)]
+    w = F.lag("close").over(Window.partitionBy("ticker").orderBy("date"))
+    for more in (d, as_of(rows, dates, "ticker", "date", "report_date", ["report_date"], [])):
+        plans = [x._jdf.queryExecution().executedPlan().toString() for x in (more, more.withColumn("before", w))]
+        assert all(plans[0].count(s) == plans[1].count(s) for s in ("Exchange", "Sort ["))
+
+
+def test_panel_sends_rows_once_by_date(spark):
+    p = report_queries.feature_table(spark, SF)
+    plan = p._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_COL") == 2 and "panel-by-ticker" not in plan  # facts by ticker, rows by date
+    day = p.select("date").distinct().orderBy("date").collect()[40].date
+    some = panel.feature_panel(**report_queries.panel_inputs(spark, SF), days=[day])
+    assert sorted(map(tuple, some.collect()), key=str) == sorted(map(tuple, p.where(F.col("date") == day).collect()), key=str)
+
+
 def test_member_that_comes_back(spark):
     m = spark.createDataFrame([(D(0), "a"), (D(0), "b"), (D(10), "b"), (D(20), "a"), (D(20), "b")], "date date, ticker string")
     p = spark.createDataFrame([("a", D(n)) for n in (-1, 0, 9, 10, 19, 20, 99)], "ticker string, date date")
