@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.scratch import written
 from plumbline.functions.windows import pct_rank
-from plumbline.operators.fundamentals import QUALITY, passes, quality_filter
+from plumbline.operators.fundamentals import QUALITY, passes
 
 
 def rank_metrics(scored: DataFrame, y: str, p: str, n: int, by: tuple[str, ...] = ("split",)) -> DataFrame:
@@ -63,8 +63,10 @@ def backtest(panel: DataFrame, market: DataFrame, n: int = 40, hold: int = 21, c
     # One row a date: the unpartitioned window is over the calendar, not the panel.
     dates = panel.select("date").distinct().withColumn("i", F.row_number().over(Window.orderBy("date")) - 1)
     dates = written(dates.join(market.select("date", "spy_vol_20d"), "date", "left").withColumn("x", exposure(F.col("spy_vol_20d"), target)).select("date", "i", "x"), "backtest-dates")
-    basket = weighted(top_picks(panel.where("eligible"), n), mode).select("date", "ticker", "weight")
-    d = panel.drop("eligible", "predicted_return").join(F.broadcast(dates), "date").join(basket, ["date", "ticker"], "left")
+    basket = written(weighted(top_picks(panel.where("eligible"), n), mode).select("date", "ticker", "weight"), "backtest-baskets")
+    # Only what a basket holds once matters from here on: n rows a date name those tickers.
+    d = panel.drop("eligible", "predicted_return").join(F.broadcast(basket.select("ticker").distinct()), "ticker", "left_semi")
+    d = written(d.join(F.broadcast(dates), "date").join(basket, ["date", "ticker"], "left"), "backtest-held")
     # What a ticker returns on a day goes to those of its baskets that are still held then.
     near = Window.partitionBy("ticker").orderBy("i")
     held_by = F.collect_list(F.when(F.col("weight").isNotNull(), F.struct("i", "weight"))).over(near.rangeBetween(-hold, -1))
@@ -142,8 +144,12 @@ def nav_table(nav: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def live_picks(scored: DataFrame, market: DataFrame, n: int = 40, mode: str = "equal", target: float = 0.20, limits: dict | None = None, score: str = "predicted_return") -> DataFrame:
     """date, ticker, score, weight of the latest scored date: quality filter, best n, weights times the exposure of the latest market row. No exposure, no picks."""
-    latest = scored.where(F.col(score).isNotNull()).agg(F.max("date").alias("date"))
-    today = quality_filter(scored.where(F.col(score).isNotNull()).join(F.broadcast(latest), "date", "left_semi"), QUALITY if limits is None else limits)
+    # Which date is the latest is known once all are scored: each leaves at most n rows, those that pass the filter first, so that the scores are worked out once.
+    ok = passes(scored.columns, QUALITY if limits is None else limits)
+    best = Window.partitionBy("date").orderBy(F.desc("__ok"), F.desc(score), "ticker")
+    d = scored.where(F.col(score).isNotNull()).select("date", "ticker", score, ok.alias("__ok"))
+    d = written(d.withColumn("__r", F.row_number().over(best)).where(F.col("__r") <= max(n, 1)), "best-by-date")
+    today = d.join(F.broadcast(d.agg(F.max("date").alias("date"))), "date", "left_semi").where("__ok")
     now = market.agg(F.max_by("spy_vol_20d", "date").alias("vol")).select(exposure(F.col("vol"), target).alias("__x"))
     p = weighted(top_picks(today, n, score), mode, score).crossJoin(F.broadcast(now)).where("__x > 0")
     return p.select("date", "ticker", score, (F.col("weight") * F.col("__x")).alias("weight"))
