@@ -5,10 +5,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plumbline import queries, report_queries  # noqa: F401
-from plumbline.functions.scratch import written
+from plumbline.functions.scratch import drop, written
 from plumbline.functions.windows import as_of, business_days_after, ewm_mean, pct_rank
 from plumbline.operators import audit, events, fundamentals, membership, panel, portfolio, technicals
-from plumbline.sources import tables
+from plumbline.sources import bindings, tables
 from tests.oracle_check import compare, connect
 
 SF = "/root/testdata/sf0.001"
@@ -179,3 +179,55 @@ def test_backtest_by_hand(spark):
     assert got["raw", 1, 0] == (1.0, 0.0, "") and got["raw", 1, 3] == (round(c * 1.3 * 1.4, 10), 1.0, "")
     h = 1 - 0.005
     assert got["overlay", 0, 3] == (round(h * 1.05 * 1.1 * (1 - 0.01) * 1.2, 10), 0.5, "b")
+
+
+def test_native_tables_are_their_statements(spark, tmp_path):
+    """Also with prices that are no whole hundredths, nulls over a whole window, and discounts that are missing."""
+    day = lambda i: dt.datetime(1995, 1, 2) + dt.timedelta(7 * i)
+    rows = [(k, day(i), None if k == 1 and i < 25 else 1.0 + i % 7, None if i == 3 else 100.005 * (i + 1), None if i % 5 == 0 else 0.05) for k in (0, 1, 2) for i in range(60)]
+    spark.createDataFrame(rows, "l_suppkey long, l_shipdate timestamp, l_quantity double, l_extendedprice double, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    for sf in (str(tmp_path), SF):
+        for name in ("bars", "market_all", "membership", "quarters"):
+            got = bindings.bind(spark, sf, name)
+            told = spark.sql(bindings.SELECTS[name], lineitem=bindings.bind(spark, sf, "lineitem")).select(*[F.col(c).cast(t).alias(c) for c, t in got.dtypes])
+            assert got.count() == told.count() > 0 and got.exceptAll(told).count() == 0
+
+
+def test_bars_are_sent_once(spark):
+    plan = bindings.bind(spark, SF, "bars")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == plan.count("Sort [") == 1
+
+
+def test_live_picks_work_scores_out_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = [("a", D(1), 0.9, 20.0), ("b", D(1), 0.5, 1.0), ("c", D(0), 0.8, 1.0), ("d", D(2), None, 1.0)]
+    p = spark.createDataFrame(rows, "ticker string, date date, predicted_return double, debt_to_equity double").mapInArrow(told, "ticker string, date date, predicted_return double, debt_to_equity double")
+    market = spark.createDataFrame([(D(1), 0.1)], "date date, spy_vol_20d double")
+    assert [(r.ticker, r.weight) for r in portfolio.live_picks(p, market, 2).collect()] == [("b", 1.0)] and seen.value == 4
+
+
+def test_facts_share_sorts(spark):
+    f = fundamentals.fundamentals(bindings.bind(spark, SF, "facts_raw"), bindings.bind(spark, SF, "splits"))
+    assert f._jdf.queryExecution().executedPlan().toString().count("Sort [ticker") <= 5
+
+
+def test_bars_until_a_day_send_no_later_line(spark):
+    day = "1998-12-31"
+    whole, cut = bindings.bind(spark, SF, "bars").where(F.col("date") <= day), bindings.bars_until(spark, SF, day)
+    assert whole.count() == cut.count() > 0 and whole.exceptAll(cut).count() == 0
+    plan = cut._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("RepartitionByExpression") < plan.index("1998-12-31")
+
+
+def test_dropped_tables_leave_others(spark):
+    a, b = written(spark.range(3), "gone"), written(spark.range(2), "kept")
+    drop(a)
+    assert b.count() == 2
+    with pytest.raises(Exception, match="exist|PATH_NOT_FOUND|FAILED_READ_FILE"):
+        a.collect()
