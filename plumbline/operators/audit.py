@@ -8,22 +8,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.scratch import written
-from plumbline.operators.membership import seeded_sample
+from plumbline.operators.membership import seeded_keys
 
 
 class LookaheadError(ValueError):
     """A feature changes once later rows are gone."""
 
 
-def lookahead_pairs(bars: DataFrame, market: DataFrame, compute: Callable[[DataFrame, DataFrame, tuple[str, ...]], DataFrame], columns: list[str], n: int = 20, seed: int = 7, start: str = "1900-01-01", tol: float = 1e-6) -> DataFrame:
+def lookahead_pairs(bars: DataFrame, market: DataFrame, compute: Callable[[DataFrame, DataFrame, tuple[str, ...]], DataFrame], columns: list[str], n: int = 20, seed: int = 7, start: str = "1900-01-01", tol: float = 1e-6, keys: DataFrame | None = None) -> DataFrame:
     """ticker, date, feature, full, cut, same: each sampled value beside the one computed from bars and market up to its date.
 
     compute(bars, market, keys) gives features by `ticker` and `date`; market has one row a date (and keys). A date without a market row is skipped. Two nulls are the same, one isn't.
+    keys: ticker and date of each bar, perhaps repeated, where that costs less than the bars. Sampled tickers are named to the bars, so that
+    the bars of others are left out where their rows are read.
     """
+    market = written(market, "audit-market")  # a row a date
     trading = market.where("spy_close is not null").select("date")
-    picked = seeded_sample(bars.where(F.col("date") >= start).select("ticker", "date").join(F.broadcast(trading), "date", "left_semi").select("ticker", "date"), n, seed)
-    picked = written(picked, "audited")  # n rows
-    bars = bars.join(F.broadcast(picked.select("ticker").distinct()), "ticker", "left_semi")
+    keys = (bars if keys is None else keys).where(F.col("date") >= start)
+    picked = written(seeded_keys(keys.join(F.broadcast(trading), "date", "left_semi"), n, seed), "audited")  # n rows
+    bars = bars.where(F.col("ticker").isin([r["ticker"] for r in picked.select("ticker").distinct().collect()]))
     full = compute(bars, market, ()).select("ticker", "date", *columns)
     # Each sample becomes a ticker of its own with a market of its own, both cut at its date, so that all are recomputed in one job.
     at = F.broadcast(picked.select("ticker", F.col("date").alias("cut_date")))

@@ -231,3 +231,16 @@ def test_dropped_tables_leave_others(spark):
     assert b.count() == 2
     with pytest.raises(Exception, match="exist|PATH_NOT_FOUND|FAILED_READ_FILE"):
         a.collect()
+
+
+def test_audit_sends_lines_of_sampled_tickers_alone(spark):
+    """40 rows are audited: neither the lines of other tickers nor the keys that can't be sampled are sent."""
+    whole = membership.seeded_sample(bindings.bind(spark, SF, "bars").select("ticker", "date"), 40, 7)
+    keys = membership.seeded_keys(bindings.bar_keys(spark, SF), 40, 7)
+    assert whole.count() == keys.count() == 40 and whole.exceptAll(keys).count() == 0
+    repeated = spark.createDataFrame([("a", D(n % 3)) for n in range(9000)] + [("b", D(0))], "ticker string, date date")
+    assert membership.seeded_keys(repeated, 4, 7).count() == membership.seeded_keys(repeated, 9, 7).count() == 4
+    pairs = report_queries.audit.lookahead_pairs(bindings.bind(spark, SF, "bars"), queries._market(spark, SF), technicals.features, ["ret_1d"], n=3)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    sent = plan.split("RepartitionByExpression")[1:]
+    assert len(sent) == 2 and all("l_suppkey" in x.split("Filter")[1].split("\n")[0] for x in sent)
