@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline import queries, report_queries  # noqa: F401
 from plumbline.functions.scratch import drop, written
-from plumbline.functions.windows import as_of, business_days_after, ewm_mean, pct_rank
+from plumbline.functions.windows import as_of, business_days_after, ewm_mean, pct_rank, rolled
 from plumbline.operators import audit, events, fundamentals, membership, panel, portfolio, technicals
 from plumbline.sources import bindings, tables
 from tests.oracle_check import compare, connect
@@ -244,3 +244,15 @@ def test_audit_sends_lines_of_sampled_tickers_alone(spark):
     plan = pairs._jdf.queryExecution().optimizedPlan().toString()
     sent = plan.split("RepartitionByExpression")[1:]
     assert len(sent) == 2 and all("l_suppkey" in x.split("Filter")[1].split("\n")[0] for x in sent)
+
+
+def test_ranks_and_rolled_windows_pass_over_rows_seldom(spark):
+    """Two doublings share a pass, a rank needs no frame that slides, and quarters are added up by number."""
+    df = spark.createDataFrame([("a", 1, 2.0)], "ticker string, date int, x double")
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    assert plan(rolled(df, {"h": ("max", "x", 252), "d": ("std", "x", 60)})).count("Window [") <= 6
+    assert "currentrow$(), currentrow$()" not in plan(df.withColumn("r", pct_rank("x", "date")))
+    m = bindings.bind(spark, SF, "membership")._jdf.queryExecution().optimizedPlan().toString()
+    assert any("Aggregate [" in x and ", k#" in x.split("],")[0] for x in m.split("\n"))
+    twice = spark.createDataFrame([("a", 1, float("nan")), ("b", 1, 0.0), ("c", 1, -0.0), ("d", 1, None), ("e", 1, 5.0)], "ticker string, date int, x double")
+    assert {r.ticker: r.r for r in twice.withColumn("r", pct_rank("x", "date")).collect()} == {"a": 1.0, "b": 0.375, "c": 0.375, "d": None, "e": 0.75}
