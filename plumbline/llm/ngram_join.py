@@ -279,7 +279,7 @@ def similar_documents(docs: DataFrame, k: int = 5, similar: int = 80) -> DataFra
     groups = classes.groupBy(*of_group).agg(F.min("id").alias("gid"), F.count("*").alias("members")).join(prefixes, of_group)
     groups = materialize(_with_bitmaps(groups.select("gid", F.col("n_shingles").alias("n"), "members", "pre1", "pre2", "prefix")), "groups")
     members = materialize(classes.select("id", *of_group).join(groups.select("gid", "pre1", "pre2", F.col("n").alias("n_shingles")), of_group).select("gid", "id"), "members")
-    keyed = _prefix_rows(groups, levels)
+    keyed = _prefix_rows(groups, levels).repartition("key")  # sent once: for what a shingle's groups have in common, and for the groups that it has
     shared = keyed.groupBy("key").agg(F.sum("members").alias("all"), F.min(F.struct("gid", "n", "pos")).alias("centre")).where(F.col("all") > 1).select("key", "centre")
     buckets = materialize(keyed.join(shared, "key"), "buckets")
     links = roots = None

@@ -249,3 +249,15 @@ def test_near_dedup_stage(spark):
     assert {x for x in left if not WORD.search(x[1] or "")} == {(None, None), (None, ""), (1, ""), (2, None)}
     assert all((7, t) in left or any(root[place[w]] == root[place[7, t]] for w in worded) for i, t in rows if i == 7)
     assert corpus_pipeline.near_dedup(spark, d.limit(0), SF).count() == 0
+
+
+def test_prefix_rows_are_sent_once(spark, monkeypatch):
+    """What finds the shared shingles and what it is joined with read one exchange."""
+    seen = {}
+    whole = ngram_join.materialize
+    monkeypatch.setattr(ngram_join, "materialize", lambda df, tag: seen.setdefault(tag, df._jdf.queryExecution().executedPlan().toString()) and None or whole(df, tag))
+    docs = spark.createDataFrame([(i, " ".join(f"w{j + i % 3}" for j in range(60))) for i in range(6)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.similar_documents(docs, 4, 85).collect()}
+    assert got == {i: 0 for i in range(6)}
+    plan = seen["buckets"]
+    assert "REPARTITION_BY_COL" in plan and "Exchange hashpartitioning(key" in plan and "ENSURE_REQUIREMENTS" not in "".join(x for x in plan.split("\n") if "hashpartitioning(key" in x)
