@@ -57,16 +57,18 @@ KNOWN_FROM = {"bars": "date", "market": "date", "members": "date", "earnings": "
 SCHEDULED = ("days_to_earnings",)
 
 
-def panel_pairs(inputs: dict[str, DataFrame], dates: list, compute: Callable[..., DataFrame], columns: list[str], tol: float = 1e-6) -> DataFrame:
+def panel_pairs(inputs: dict[str, DataFrame], dates: list, compute: Callable[..., DataFrame], columns: list[str], tol: float = 1e-6, told: bool = False) -> DataFrame:
     """ticker, date, feature, full, cut, same: every row of the dates, from all inputs and from inputs cut at what was known on that date.
 
     compute(**inputs) gives the panel. All tickers of a date are computed again, so ranks and sector means are compared too. A date is a job of its own.
+    told: compute is told the `days` whose rows are wanted, so that it can leave out what these don't need.
     """
-    full = compute(**inputs).where(F.col("date").isin(dates)).select("ticker", "date", *columns)
+    wanted = (lambda days: {"days": days}) if told else (lambda days: {})
+    full = compute(**inputs, **wanted(dates)).where(F.col("date").isin(dates)).select("ticker", "date", *columns)
     again = None
     for day in dates:
         known = {k: d.where(F.col(KNOWN_FROM[k]) <= F.lit(day)) if k in KNOWN_FROM else d for k, d in inputs.items()}
-        rows = written(compute(**known).where(F.col("date") == F.lit(day)).select("ticker", "date", *columns), "cut-panel")
+        rows = written(compute(**known, **wanted([day])).where(F.col("date") == F.lit(day)).select("ticker", "date", *columns), "cut-panel")
         again = rows if again is None else again.unionByName(rows)
     if again is None:
         again = full.limit(0)
